@@ -166,7 +166,7 @@ def with_views(body: str) -> str:
 
     def visit(text: str) -> None:
         for name, sql in VIEWS.items():
-            if name not in order and re.search(rf"(?<![\w'.]){name}(?![\w'(])", text):
+            if name not in order and re.search(rf"(?:FROM|JOIN)\s+{name}\b", text):
                 visit(sql)
                 if name not in order:
                     order.append(name)
