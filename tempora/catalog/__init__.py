@@ -15,6 +15,6 @@ def load(sections=SECTIONS):
     for section in sections:
         module = importlib.import_module(f"tempora.catalog.{section}")
         for name, fn in module.QUERIES.items():
-            queries[name] = (lambda f: lambda spark, sf_dir: present(f(Views(spark, sf_dir))))(fn)
+            queries[name] = (lambda f: lambda spark, sf_dir: present(f(Views(spark, sf_dir)), getattr(f, "digits", 6)))(fn)
         oracle.update(module.ORACLE)
     return queries, oracle

@@ -47,12 +47,13 @@ def _(v):
 
 @query(
     "weekday_sessions",
-    f"""SELECT CAST(d AS DATE) AS dt FROM range(DATE '1996-01-01', DATE '1999-01-01', INTERVAL 1 DAY) t(d)
+    f"""SELECT CAST(d AS DATE) AS dt FROM (SELECT unnest(range((SELECT min(dt) FROM calendar), (SELECT max(dt) + 1 FROM calendar), INTERVAL 1 DAY)) AS d)
        WHERE isodow(d) < 6 AND CAST(d AS DATE) NOT IN (SELECT dt FROM {DAYS} WHERE day(dt) = 1)""",
     "dt:d",
 )
 def _(v):
-    return C.weekday_sessions(v.spark, "1996-01-01", "1998-12-31", order_days(v).filter(F.dayofmonth("dt") == 1))
+    bounds = v.calendar.agg(F.min("dt").alias("start"), F.max("dt").alias("end"))
+    return C.weekday_sessions(bounds, order_days(v).filter(F.dayofmonth("dt") == 1))
 
 
 @query(

@@ -26,9 +26,9 @@ def trading_days(calendar: DataFrame, start: str | _dt.date, end: str | _dt.date
     return calendar.select("dt").distinct().filter(F.col("dt").between(lo, hi))
 
 
-def weekday_sessions(spark, start: str, end: str, holidays: DataFrame) -> DataFrame:
-    """Monday-to-Friday dates of a range that are not in a holiday table."""
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("dt"))
+def weekday_sessions(bounds: DataFrame, holidays: DataFrame) -> DataFrame:
+    """Monday-to-Friday dates of the (start, end) rows that are not in a holiday table."""
+    days = bounds.select(F.explode(F.sequence("start", "end")).alias("dt")).distinct()
     return days.filter(F.weekday("dt") < 5).join(holidays.select("dt"), "dt", "left_anti")
 
 

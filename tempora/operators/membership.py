@@ -62,15 +62,13 @@ def membership_spells(membership: DataFrame) -> DataFrame:
     days = membership.select("snapshot_date").distinct()
     # One row per snapshot date: tiny by construction, so one global ordering is fine.
     numbered = days.withColumn("__pos", F.row_number().over(Window.orderBy("snapshot_date")))
-    latest = days.agg(F.max("snapshot_date").alias("__latest"))
+    latest = membership.agg(F.max("snapshot_date")).scalar()
     rows = membership.select("snapshot_date", "asset_id").distinct().join(numbered, "snapshot_date")
     run = F.col("__pos") - F.row_number().over(Window.partitionBy("asset_id").orderBy("snapshot_date"))
     spells = rows.withColumn("__run", run).groupBy("asset_id", "__run").agg(
         F.min("snapshot_date").alias("spell_start"), F.max("snapshot_date").alias("__end")
     )
-    return spells.join(latest, F.col("__end") == F.col("__latest"), "left").select(
-        "asset_id", "spell_start", F.when(F.col("__latest").isNull(), F.col("__end")).alias("spell_end")
-    )
+    return spells.select("asset_id", "spell_start", F.when(F.col("__end") != latest, F.col("__end")).alias("spell_end"))
 
 
 def ever_members(dates: DataFrame, membership: DataFrame, *, at: str = "dt") -> DataFrame:

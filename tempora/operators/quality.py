@@ -25,8 +25,7 @@ def dq_first_price(tickers: DataFrame, sep: DataFrame, calendar: DataFrame | Non
     first bar at or after the start is found by one forward as-of scan.
     """
     sessions = calendar if calendar is not None else sep.select(F.col("date").alias("dt")).distinct()
-    covered = sep.agg(F.min("date").alias("__min"))
-    listed = tickers.filter(F.col("firstpricedate").isNotNull()).join(covered, F.col("firstpricedate") >= F.col("__min")).drop("__min")
+    listed = tickers.filter(F.col("firstpricedate") >= sep.agg(F.min("date")).scalar())
     limited = shift_sessions(listed, sessions, FIRST_PRICE_SESSIONS, at="firstpricedate", out="__cutoff")
     days = sep.select("ticker", "date").distinct()
     hit = asof_join(
@@ -81,13 +80,13 @@ def dq_events_vs_snapshots(sp500: DataFrame, sep: DataFrame) -> DataFrame:
     An opposite event after this one and up to that snapshot excuses it: the nearest
     opposite event is enough to know, so it is an as-of scan and not a self-join.
     """
-    window = sep.agg(F.min("date").alias("__lo"), F.max("date").alias("__hi"))
+    lo, hi = sep.agg(F.min("date")).scalar(), sep.agg(F.max("date")).scalar()
     snaps = sp500.filter(F.col("action").isin("historical", "current"))
     listed = snaps.select("ticker", F.col("date").alias("__snap")).distinct().withColumn("__present", F.lit(True))
     snap_days = snaps.select(F.col("date").alias("__d"), F.col("date").alias("__snap")).distinct()
     events = (
         sp500.filter(F.col("action").isin("added", "removed"))
-        .join(window, (F.col("date") >= F.col("__lo")) & (F.col("date") <= F.col("__hi")), "left_semi")
+        .filter(F.col("date").between(lo, hi))
         .select("ticker", F.col("date").alias("event_date"), "action")
     )
     placed = asof_join(
