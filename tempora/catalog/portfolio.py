@@ -153,7 +153,7 @@ def _(v):
     """SELECT order_id, abs(shares) * 0.005e0 AS per_share, abs(shares * closeunadj) * 0.3e0 / 1e4 AS by_notional,
         CAST(CAST(CAST(abs(shares) AS DECIMAL(19,9)) * 0.005 AS DECIMAL(38,18)) AS VARCHAR) AS exact
        FROM trade_orders o JOIN bars b ON b.asset_id = o.asset_id AND b.dt = o.dt""",
-    "order_id per_share:f by_notional:f exact",
+    "order_id per_share:f by_notional:f exact", 12,
 )
 def _(v):
     return v.orders.join(v.bars.select("asset_id", "dt", "closeunadj"), ["asset_id", "dt"]).select(
@@ -285,6 +285,8 @@ def _(v):
     return P.portfolio_nav(curve_weights(v), v.bars, v.dividends, capital=CAPITAL)
 
 
+# Costs are sized against a few dozen shares of daily volume, hence the small capital.
+SMALL = 10_000.0
 COST = """(SELECT sum(abs(q) * px * 0.142e0 * {eta} * coalesce(sigma_d, 0) * power(abs(q) / coalesce(v_d, 1), 0.6e0) + abs(q) * 0.005e0) FROM (
    SELECT coalesce(t.u, 0) * {now} - coalesce(t.b, 0) * {before} AS q, t.px, t.sigma_d, t.v_d FROM tr t WHERE t.curve_id = {curve} AND t.period = {period}))"""
 COSTED_PARTS = f"""{VALUE},
@@ -297,10 +299,10 @@ COSTED_PARTS = f"""{VALUE},
 
 
 def costed_sql(select: str, eta: str = "e.eta / 0.142e0", grid: str = "(SELECT unnest([0.142e0]) AS eta)") -> str:
-    first = COST.format(eta=eta, now="1e6", before="0", curve="p.curve_id", period="1")
+    first = COST.format(eta=eta, now="1e4", before="0", curve="p.curve_id", period="1")
     nxt = COST.format(eta="x.eta / 0.142e0", now="x.nav", before="x.nav_prev", curve="x.curve_id", period="x.period")
     return f"""WITH RECURSIVE {COSTED_PARTS},
- walk AS (SELECT p.curve_id, e.eta, CAST(1 AS BIGINT) AS period, 1e6 AS nav, CAST(0 AS DOUBLE) AS nav_prev, {first} AS cost FROM per p CROSS JOIN {grid} e WHERE p.period = 1
+ walk AS (SELECT p.curve_id, e.eta, CAST(1 AS BIGINT) AS period, 1e4 AS nav, CAST(0 AS DOUBLE) AS nav_prev, {first} AS cost FROM per p CROSS JOIN {grid} e WHERE p.period = 1
    UNION ALL SELECT x.curve_id, x.eta, x.period, x.nav, x.nav_prev, {nxt} AS cost FROM (
      SELECT k.curve_id, k.eta, k.period + 1 AS period, k.nav * g.growth - k.cost AS nav, k.nav AS nav_prev FROM walk k JOIN g ON g.curve_id = k.curve_id AND g.period = k.period
      WHERE g.growth IS NOT NULL) x)
@@ -313,26 +315,26 @@ STEP = {"commission_per_share": 0.005}
 @query(
     "portfolio_nav_costed",
     costed_sql(f"""SELECT r.curve_id, r.dt, k.nav * rel - k.cost AS nav FROM rel r JOIN walk k ON k.curve_id = r.curve_id AND k.period = r.period
-       WHERE r.nx IS NULL OR r.dt < r.nx UNION ALL {CASH}"""),
+       WHERE r.nx IS NULL OR r.dt < r.nx UNION ALL {CASH.replace("1e6", "1e4")}"""),
     "curve_id dt:d nav:f", 4,
 )
 def _(v):
-    return P.portfolio_nav_costed(curve_weights(v), v.bars, v.dividends, v.market_state, capital=CAPITAL, **STEP)
+    return P.portfolio_nav_costed(curve_weights(v), v.bars, v.dividends, v.market_state, capital=SMALL, **STEP)
 
 
 ETAS = (0.05, 0.10, 0.142, 0.20, 0.30)
 GRID_SQL = "(SELECT unnest([0.05e0, 0.10e0, 0.142e0, 0.20e0, 0.30e0]) AS eta)"
 FINALS = costed_sql(
-    """SELECT k.curve_id, k.eta, k.nav * rel - k.cost - 1e6 AS final_pnl FROM rel r JOIN walk k ON k.curve_id = r.curve_id AND k.period = r.period
+    """SELECT k.curve_id, k.eta, k.nav * rel - k.cost - 1e4 AS final_pnl FROM rel r JOIN walk k ON k.curve_id = r.curve_id AND k.period = r.period
        WHERE r.nx IS NULL AND r.dt = (SELECT max(dt) FROM calendar)""", grid=GRID_SQL,
 )
 
 
 def sweep(v):
     nav = P.portfolio_nav_costed(
-        curve_weights(v), v.bars, v.dividends, v.market_state, capital=CAPITAL, eta=F.col("eta"), grid=("eta", ETAS), **STEP
+        curve_weights(v), v.bars, v.dividends, v.market_state, capital=SMALL, eta=F.col("eta"), grid=("eta", ETAS), **STEP
     )
-    return P.curve_summary(nav, keys=["curve_id", "eta"], capital=CAPITAL)
+    return P.curve_summary(nav, keys=["curve_id", "eta"], capital=SMALL)
 
 
 @query("param_sweep", f"SELECT * FROM ({FINALS})", "curve_id eta:f final_pnl:f", 4)
@@ -342,13 +344,13 @@ def _(v):
 
 @query(
     "sensitivity_band",
-    f"""SELECT a.curve_id, a.eta, a.final_pnl, (a.final_pnl - c.final_pnl) / 1e6 * 1e4 AS delta_bps_vs_central,
+    f"""SELECT a.curve_id, a.eta, a.final_pnl, (a.final_pnl - c.final_pnl) / 1e4 * 1e4 AS delta_bps_vs_central,
         min(a.final_pnl) OVER (PARTITION BY a.curve_id) AS min_pnl, max(a.final_pnl) OVER (PARTITION BY a.curve_id) AS max_pnl
        FROM ({FINALS}) a JOIN ({FINALS}) c ON a.curve_id = c.curve_id AND c.eta = 0.142e0""",
     "curve_id eta:f final_pnl:f delta_bps_vs_central:f min_pnl:f max_pnl:f", 4,
 )
 def _(v):
-    return S.sensitivity_band(sweep(v), param="eta", central=0.142, capital=CAPITAL, keys=["curve_id"])
+    return S.sensitivity_band(sweep(v), param="eta", central=0.142, capital=SMALL, keys=["curve_id"])
 
 
 @query(

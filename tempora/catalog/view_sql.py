@@ -121,8 +121,8 @@ SELECT s.asset_id, dt, sigma_d, v_d, theta FROM (
 JOIN theta t ON s.asset_id = t.asset_id WHERE sigma_d IS NOT NULL"""
 
 VIEWS["hourly_curves"] = """
-SELECT curve_id, dt, 100e0 * product(m) OVER (PARTITION BY curve_id ORDER BY dt
-       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS nav FROM (
+SELECT curve_id, dt, round(100e0 * product(m) OVER (PARTITION BY curve_id ORDER BY dt
+       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 8) AS nav FROM (
   SELECT curve_id, dt, 1e0 + round(s / 100e0 / n - 50e0, 6) / 5000e0 AS m FROM (
     SELECT event_type AS curve_id, date_trunc('hour', ts) AS dt, count(*) AS n,
            CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS s FROM events GROUP BY 1, 2))"""
@@ -137,7 +137,7 @@ VIEWS["total_return"] = """
 SELECT asset_id, dt, product(m) OVER (PARTITION BY asset_id ORDER BY dt
        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tr, m - 1 AS daily_return FROM multipliers"""
 
-VIEWS["asset_curves"] = "SELECT asset_id AS curve_id, dt, 100e0 * tr AS nav FROM total_return"
+VIEWS["asset_curves"] = "SELECT asset_id AS curve_id, dt, round(100e0 * tr, 8) AS nav FROM total_return"
 
 VIEWS["curve_returns"] = """
 SELECT curve_id, dt, r FROM (

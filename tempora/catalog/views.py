@@ -263,7 +263,7 @@ class Views:
             .withColumn("m", F.lit(1.0) + F.round(F.col("s") / F.lit(100.0) / F.col("n") - F.lit(50.0), 6) / F.lit(5000.0))
         )
         nav = running(hours, keys=["curve_id"], order=["dt"], exprs={"g": ("product", "m")}, block=auto_block(hours, "dt"))
-        return nav.select("curve_id", "dt", (F.lit(100.0) * F.col("g")).alias("nav"))
+        return nav.select("curve_id", "dt", F.round(F.lit(100.0) * F.col("g"), 8).alias("nav"))
 
     @cached_property
     def asset_curves(self) -> DataFrame:
@@ -271,7 +271,7 @@ class Views:
         from tempora.operators.returns import total_return
 
         tr = total_return(self.bars, self.dividends, price="closeunadj")
-        return tr.select(F.col("asset_id").alias("curve_id"), "dt", (F.lit(100.0) * F.col("tr")).alias("nav"))
+        return tr.select(F.col("asset_id").alias("curve_id"), "dt", F.round(F.lit(100.0) * F.col("tr"), 8).alias("nav"))
 
     @cached_property
     def observations(self) -> DataFrame:

@@ -110,14 +110,14 @@ def impact_feedback(
     sign = F.signum("shares")
     temp, perm = F.col("temporary_impact_bps") / K.BPS, F.col("permanent_impact_bps") / K.BPS
     base = fills.withColumn("__k", sign * perm * (1.0 + sign * temp))
-    scaled = running(base, keys=keys, order=["dt"], exprs={"__K": ("product", 1.0 + F.col("__k"))})
-    summed = running(scaled, keys=keys, order=["dt"], exprs={"__S": ("sum", F.col("__k") * F.col(arrival) / F.col("__K"))})
-    after = summed.withColumn("impact_after", F.col("__K") * F.col("__S"))
+    scaled = running(base, keys=keys, order=["dt"], exprs={"__grow": ("product", 1.0 + F.col("__k"))})
+    summed = running(scaled, keys=keys, order=["dt"], exprs={"__sum": ("sum", F.col("__k") * F.col(arrival) / F.col("__grow"))})
+    after = summed.withColumn("impact_after", F.col("__grow") * F.col("__sum"))
     before = (F.col("impact_after") - F.col("__k") * F.col(arrival)) / (1.0 + F.col("__k"))
     out = after.withColumn("impact_before", before)
     return out.withColumn("fill_price", (F.col(arrival) + F.col("impact_before")) * (1.0 + sign * temp)).withColumn(
         "permanent_impact_per_share", F.col("impact_after") - F.col("impact_before")
-    ).drop("__k", "__K", "__S")
+    ).drop("__k", "__grow", "__sum")
 
 
 def implementation_shortfall(fills: DataFrame, *, keys: Sequence[str] = ("asset_id",)) -> DataFrame:

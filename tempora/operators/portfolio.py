@@ -16,7 +16,7 @@ from tempora.functions import costs as K
 from tempora.operators.returns import dividends_per_day
 from tempora.operators.scenarios import with_scenarios
 from tempora.plans.asof import asof_join
-from tempora.plans.ranks import kth_smallest
+from tempora.plans.ranks import ranked
 from tempora.plans.running import running
 from tempora.session import cut_lineage
 
@@ -27,25 +27,18 @@ def equal_weight(assets: DataFrame, *, keys: Sequence[str] = ("dt",)) -> DataFra
     return assets.join(sizes, list(keys)).select(*assets.columns, (1.0 / F.col("__n")).alias("weight"))
 
 
-def top_quantile(scores: DataFrame, *, q: int = 5, at: str = "dt", asset: str = "asset_id") -> DataFrame:
+def top_quantile(scores: DataFrame, *, q: int = 5, keys: Sequence[str] = ("dt",), asset: str = "asset_id") -> DataFrame:
     """The best max(1, ceil(n/q)) names of each date, equally weighted.
 
-    Order is score descending, asset ascending.  The cut-off score is an exact order
-    statistic and ties at it are cut by a second one on the asset, so no date is ever
-    ordered in one task.
+    Order is score descending, asset ascending; a large date is ranked in slices.
     """
     if q < 1:
         raise ValueError(f"q must be >= 1, got {q}")
-    s = scores.select(at, asset, "score", (-F.col("score")).alias("__neg"))
-    sizes = s.groupBy(at).agg(F.ceil(F.count(F.lit(1)) / q).cast("long").alias("k"))
-    cut = kth_smallest(s, sizes, keys=[at], value="__neg", out="__cut")
-    edged = s.join(cut, at).filter(F.col("__neg") <= F.col("__cut"))
-    above = edged.filter(F.col("__neg") < F.col("__cut")).groupBy(at).agg(F.count(F.lit(1)).alias("__above"))
-    room = cut.join(above, at, "left").select(at, (F.col("k") - F.coalesce("__above", F.lit(0))).alias("__room"))
-    tied = edged.filter(F.col("__neg") == F.col("__cut"))
-    last = kth_smallest(tied, room, keys=[at], value=asset, k="__room", out="__last").select(at, "__last")
-    kept = edged.join(last, at).filter((F.col("__neg") < F.col("__cut")) | (F.col(asset) <= F.col("__last")))
-    return kept.select(at, asset, "score", (1.0 / F.col("k")).alias("weight"))
+    keys = list(keys)
+    rows = scores.select(*keys, asset, "score", (-F.col("score")).alias("__neg"))
+    placed = ranked(rows, keys=keys, order=["__neg", asset], out="__rank", size="__n")
+    keep = F.ceil(F.col("__n") / q)
+    return placed.filter(F.col("__rank") <= keep).select(*keys, asset, "score", (1.0 / keep).alias("weight"))
 
 
 def renormalize(weights: DataFrame, bars: DataFrame, *, keys: Sequence[str] = (), at: str = "dt", price: str = "closeunadj") -> DataFrame:
@@ -217,7 +210,6 @@ def costed_nav_path(
     impact_on_prices: bool = False,
     grid: tuple[str, Sequence[float]] | None = None,
     tolerance: float = 1e-12,
-    max_rounds: int = 200,
 ) -> tuple[DataFrame, DataFrame]:
     """(opening, relative) of curves that pay impact and commission at each rebalance.
 
@@ -258,7 +250,9 @@ def costed_nav_path(
         *keys, "period", (F.lit(float(capital)) * F.coalesce("__g", F.lit(1.0))).alias("nav_open"), F.lit(0.0).alias("cost")
     )
     guess = cut_lineage(guess)
-    for _ in range(max_rounds):
+    # Causality makes the path exact after one round per rebalance, so this is a bound.
+    rounds = chain.agg(F.max("period")).first()[0] or 0
+    for _ in range(int(rounds) + 1):
         path = running(guess, keys=keys, order=["period"], exprs={"nav_before": ("lag", "nav_open")})
         rows = trades.join(path.select(*keys, "period", "nav_open", "nav_before"), [*keys, "period"])
         qty = F.coalesce("unit_shares", F.lit(0.0)) * F.col("nav_open") - F.coalesce("unit_before", F.lit(0.0)) * F.coalesce(
@@ -284,17 +278,13 @@ def costed_nav_path(
             + K.per_share_commission(F.col("qty"), commission_per_share)
             + K.notional_commission(F.col("qty") * F.col("fill_price"), commission_bps)
         )
-        costs = priced.groupBy(*keys, "period").agg(F.sum(paid).alias("cost"))
+        costs = priced.groupBy(*keys, "period").agg(F.sum(paid).alias("cost"), F.max("nav_open").alias("__old"))
         solved = _solve_path(chain.join(costs, [*keys, "period"], "left"), keys, capital)
-        nxt = cut_lineage(solved)
-        moved = nxt.join(guess.select(*keys, "period", F.col("nav_open").alias("__old")), [*keys, "period"]).agg(
-            F.max(F.abs(F.col("nav_open") - F.col("__old")) / F.abs("__old")).alias("d"),
-        ).first()["d"]
-        guess = nxt
+        guess = cut_lineage(solved)
+        moved = guess.agg(F.max(F.abs(F.col("nav_open") - F.col("__old")) / F.abs("__old"))).first()[0]
+        guess = guess.drop("__old")
         if moved is None or moved <= tolerance:
             break
-    else:
-        raise RuntimeError(f"nav path did not settle in {max_rounds} rounds")
     opening = guess.join(chain.select(*keys, "period", "start_dt"), [*keys, "period"])
     return opening, relative
 
@@ -308,7 +298,7 @@ def _solve_path(chain: DataFrame, keys: Sequence[str], capital: float) -> DataFr
         before, keys=keys, order=["period"], exprs={"__c": ("sum", F.col("cost") / (F.col("__G") * F.col("growth")))}, exclusive=True
     )
     nav = F.col("__G") * (F.lit(float(capital)) - F.coalesce("__c", F.lit(0.0)))
-    return owed.select(*keys, "period", nav.alias("nav_open"), "cost")
+    return owed.select(*keys, "period", nav.alias("nav_open"), "cost", "__old")
 
 
 def portfolio_nav_costed(

@@ -1,20 +1,59 @@
-"""Exact order statistics without collecting a group.
+"""Exact ranks and order statistics without collecting or ordering a whole group.
 
-`percentile_disc` keeps every distinct value of a group in one task's memory.  Here
-a quantile sketch only proposes split points; exact counts per slice then locate the
-slice that holds the wanted rank, and only that slice is ordered.  Slices are
-described by the values they really contain, so the answer is exact whatever the
-sketch returned.
+`percentile_disc` keeps every distinct value of a group in one task, and a row_number
+over a group orders it in one task.  Here a large group is first cut into slices at
+split points taken from a bounded, hash-chosen set of its own rows; the slices are
+scanned on their own and chained by the two-level running scan.  Split points depend
+on the data only (no random numbers, no arrival order), so a recomputed task cuts the
+same way, and they never change a result: they only decide which task sees a row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICES = 64
+from tempora.plans.running import running
+
+ROWS_PER_SLICE = 1 << 16
+SPLIT_ROWS = 1024
+MAX_SLICES = 256
+
+
+def with_slices(
+    df: DataFrame, *, keys: Sequence[str], order: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE,
+    out: str = "__slice", size: str = "__size",
+) -> DataFrame:
+    """Adds the group size and a slice number that grows with `order` inside each key.
+
+    Groups of up to `rows_per_slice` rows keep one slice.  Rows must be distinct in
+    (keys, order): copies would share a slice.
+    """
+    keys, order = list(keys), list(order)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(size))
+    sized = df.join(sizes, keys)
+    point = F.struct(*[F.col(c) for c in order])
+    step = F.greatest(F.lit(1), F.floor(F.col(size) / SPLIT_ROWS)).cast("long")
+    chosen = sized.filter((F.col(size) > rows_per_slice) & (F.pmod(F.xxhash64(*order), step) == 0))
+    picks = chosen.groupBy(*keys).agg(F.array_sort(F.collect_set(point)).alias("__all"), F.max(size).alias("__s"))
+    wanted = F.least(F.lit(MAX_SLICES), F.ceil(F.col("__s") / rows_per_slice)).cast("int")
+    at = F.transform(F.sequence(F.lit(1), wanted - 1), lambda i: F.get("__all", F.floor(F.size("__all") * i / wanted).cast("int")))
+    marks = picks.select(*keys, F.filter(at, lambda m: m.isNotNull()).alias("__marks"))
+    number = F.size(F.filter("__marks", lambda m: m < point))
+    return sized.join(marks, keys, "left").select(
+        *df.columns, size, F.when(F.col("__marks").isNull(), 0).otherwise(number).cast("long").alias(out)
+    )
+
+
+def ranked(
+    df: DataFrame, *, keys: Sequence[str], order: Sequence[str], out: str = "rank", size: str = "n",
+    rows_per_slice: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """row_number per key by ascending `order` (distinct per key), and the group size."""
+    cut = with_slices(df, keys=keys, order=order, rows_per_slice=rows_per_slice, size=size)
+    return running(cut, keys=keys, order=order, exprs={out: ("count", F.lit(1))}, block=F.col("__slice")).drop("__slice")
 
 
 def kth_smallest(
@@ -25,34 +64,17 @@ def kth_smallest(
     value: str,
     k: str = "k",
     out: str = "value_at_k",
-    slices: int = SLICES,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """`wanted` (keys, k and any labels) plus the k-th smallest `value` of the key.
 
     k counts from 1.  NULL values are not ranked; a k beyond the group gives NULL.
+    Equal values are counted before they are ordered.
     """
     keys = list(keys)
     weight = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__w"))
-    marks = weight.groupBy(*keys).agg(
-        F.percentile_approx(value, [i / slices for i in range(1, slices)], 8 * slices).alias("__marks")
-    )
-    sliced = weight.join(marks, keys).withColumn(
-        "__slice", F.size(F.filter("__marks", lambda m: m < F.col(value)))
-    )
-    per_slice = sliced.groupBy(*keys, "__slice").agg(
-        F.sum("__w").alias("__count"), F.min(value).alias("__lo"), F.max(value).alias("__hi")
-    )
-    upto = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, 0)
-    located = per_slice.withColumn("__upto", F.sum("__count").over(upto))
-    ask = wanted.join(located, keys).filter(
-        (F.col(k) <= F.col("__upto")) & (F.col(k) > F.col("__upto") - F.col("__count"))
-    )
-    asked = ask.select(*keys, k, "__lo", "__hi", (F.col("__upto") - F.col("__count")).alias("__before")).distinct()
-    inside = weight.join(asked, keys).filter(F.col(value).between(F.col("__lo"), F.col("__hi")))
-    along = Window.partitionBy(*keys, k).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    hit = (
-        inside.withColumn("__rank", F.col("__before") + F.sum("__w").over(along))
-        .filter(F.col("__rank") >= F.col(k))
-        .groupBy(*keys, k).agg(F.min(value).alias(out))
-    )
-    return wanted.join(hit, keys + [k], "left").select(*wanted.columns, out)
+    cut = with_slices(weight, keys=keys, order=[value], rows_per_slice=rows_per_slice)
+    upto = running(cut, keys=keys, order=[value], exprs={"__upto": ("sum", "__w")}, block=F.col("__slice"))
+    asked = wanted.select(*keys, k).distinct()
+    hit = upto.join(asked, keys).filter((F.col(k) <= F.col("__upto")) & (F.col(k) > F.col("__upto") - F.col("__w")))
+    return wanted.join(hit.select(*keys, k, F.col(value).alias(out)), keys + [k], "left").select(*wanted.columns, out)
