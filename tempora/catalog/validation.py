@@ -137,7 +137,7 @@ def paths_of(v):
     return CV.contiguous_folds(v.observations, 6), CV.cpcv_paths(v.spark, 6, 2)
 
 
-@query("stitch_paths", f'{STITCH} SELECT curve_id, path, grp AS "group", dt, nav FROM st', 'curve_id path:i "group":i dt:d nav:f')
+@query("stitch_paths", f'{STITCH} SELECT curve_id, path, grp AS "group", dt, nav FROM st', 'curve_id path:i "group":i dt:d nav:f', 10)
 def _(v):
     folds, paths = paths_of(v)
     return CV.stitch_paths(CV.segments_of(v.asset_curves, folds), paths, capital=100.0)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tempora.plans.intervals import active_at
 from tempora.plans.status import enforce
 
-_STATUS = F.when(F.col("n_active") == 0, "not_found").when(F.col("n_active") > 1, "ambiguous").otherwise("ok")
+def _status():
+    return F.when(F.col("n_active") == 0, "not_found").when(F.col("n_active") > 1, "ambiguous").otherwise("ok")
 
 
 def _index(securities: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def resolve_asset(requests: DataFrame, securities: DataFrame, *, at: str = "dt",
         requests, _index(securities), by=["ticker"], at=at, start="firstpricedate", end="lastpricedate", ident="asset_id",
         out="asset_id",
     )
-    out = hit.withColumn("status", _STATUS).drop("n_active")
+    out = hit.withColumn("status", _status()).drop("n_active")
     return enforce(out, strict=strict, context="resolve_asset")
 
 
@@ -35,7 +36,7 @@ def resolve_ticker(requests: DataFrame, securities: DataFrame, *, at: str = "dt"
         requests, index, by=["asset_id"], at=at, start="firstpricedate", end="lastpricedate", ident="__row", out="__row"
     )
     names = index.select("asset_id", "__row", "ticker").dropDuplicates(["asset_id", "__row"])
-    out = hit.join(names, ["asset_id", "__row"], "left").withColumn("status", _STATUS)
+    out = hit.join(names, ["asset_id", "__row"], "left").withColumn("status", _status())
     return enforce(out.select(*requests.columns, "ticker", "status"), strict=strict, context="resolve_ticker")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.functions import costs as K
+from tempora.operators.costs import impact_feedback
 from tempora.operators.returns import dividends_per_day
 from tempora.operators.scenarios import with_scenarios
 from tempora.plans.asof import asof_join
@@ -216,7 +217,7 @@ def costed_nav_path(
     Opening values obey nav[k+1] = nav[k] x growth[k] - cost[k](nav[k], nav[k-1]): the
     cost of a rebalance is a sum over assets of a nonlinear function of two numbers.
     Instead of walking the rebalances, every round prices all of them at once from the
-    last guess of the nav path and solves the linear recurrence for the next guess.
+    last guess of the nav path and chains growth - cost/nav into the next guess.
     Round r is exact for the first r rebalances, so it ends after at most their
     number; costs being basis points, a handful of rounds reach 1e-12.  The guess has
     one row per curve and rebalance and is checkpointed every round.  Runs actions.
@@ -246,41 +247,34 @@ def costed_nav_path(
     if grid is not None:
         chain, trades = (with_scenarios(t, *grid).drop("scenario_no") for t in (chain, trades))
         keys = [*keys, grid[0]]
-    guess = running(chain, keys=keys, order=["period"], exprs={"__g": ("product", "growth")}, exclusive=True).select(
-        *keys, "period", (F.lit(float(capital)) * F.coalesce("__g", F.lit(1.0))).alias("nav_open"), F.lit(0.0).alias("cost")
-    )
-    guess = cut_lineage(guess)
+    guess = cut_lineage(_nav_path(chain.withColumn("cost_share", F.lit(0.0)), keys, capital))
     # Causality makes the path exact after one round per rebalance, so this is a bound.
     rounds = chain.agg(F.max("period")).first()[0] or 0
     for _ in range(int(rounds) + 1):
-        path = running(guess, keys=keys, order=["period"], exprs={"nav_before": ("lag", "nav_open")})
-        rows = trades.join(path.select(*keys, "period", "nav_open", "nav_before"), [*keys, "period"])
+        rows = trades.join(guess.select(*keys, "period", "nav_open", "nav_before"), [*keys, "period"])
         qty = F.coalesce("unit_shares", F.lit(0.0)) * F.col("nav_open") - F.coalesce("unit_before", F.lit(0.0)) * F.coalesce(
             "nav_before", F.lit(0.0)
         )
-        perm, temp = K.impact_bps(F.col("qty"), F.col("sigma_d"), F.col("v_d"), F.col("theta"), eta=eta, beta=beta, gamma=gamma)
-        sign = F.signum("qty")
-        priced = (
-            rows.withColumn("qty", qty)
-            .withColumn("temporary_impact_bps", F.coalesce(temp, F.lit(0.0)))
-            .withColumn("permanent_impact_bps", F.coalesce(perm, F.lit(0.0)))
-            .withColumn("shares", F.col("qty"))
-            .withColumn("arrival", F.col("price_upto"))
+        rows = rows.withColumn("shares", qty).withColumn("arrival", F.col("price_upto"))
+        perm, temp = K.impact_bps(F.col("shares"), F.col("sigma_d"), F.col("v_d"), F.col("theta"), eta=eta, beta=beta, gamma=gamma)
+        priced = rows.withColumn("temporary_impact_bps", F.coalesce(temp, F.lit(0.0))).withColumn(
+            "permanent_impact_bps", F.coalesce(perm, F.lit(0.0))
         )
         if impact_on_prices:
-            from tempora.operators.costs import impact_feedback
-
             priced = impact_feedback(priced, keys=[*keys, "asset_id"])
         else:
-            priced = priced.withColumn("fill_price", F.col("arrival") * (1.0 + sign * F.col("temporary_impact_bps") / K.BPS))
+            priced = priced.withColumn(
+                "fill_price", F.col("arrival") * (1.0 + F.signum("shares") * F.col("temporary_impact_bps") / K.BPS)
+            )
         paid = (
-            F.col("qty") * (F.col("fill_price") - F.col("price_upto"))
-            + K.per_share_commission(F.col("qty"), commission_per_share)
-            + K.notional_commission(F.col("qty") * F.col("fill_price"), commission_bps)
+            F.col("shares") * (F.col("fill_price") - F.col("price_upto"))
+            + K.per_share_commission(F.col("shares"), commission_per_share)
+            + K.notional_commission(F.col("shares") * F.col("fill_price"), commission_bps)
+        )
+        costs = priced.groupBy(*keys, "period").agg(
+            (F.sum(paid) / F.max("nav_open")).alias("cost_share"), F.max("nav_open").alias("__old")
         )
-        costs = priced.groupBy(*keys, "period").agg(F.sum(paid).alias("cost"), F.max("nav_open").alias("__old"))
-        solved = _solve_path(chain.join(costs, [*keys, "period"], "left"), keys, capital)
-        guess = cut_lineage(solved)
+        guess = cut_lineage(_nav_path(chain.join(costs, [*keys, "period"], "left"), keys, capital))
         moved = guess.agg(F.max(F.abs(F.col("nav_open") - F.col("__old")) / F.abs("__old"))).first()[0]
         guess = guess.drop("__old")
         if moved is None or moved <= tolerance:
@@ -289,16 +283,17 @@ def costed_nav_path(
     return opening, relative
 
 
-def _solve_path(chain: DataFrame, keys: Sequence[str], capital: float) -> DataFrame:
-    """nav[k+1] = nav[k] x growth[k] - cost[k], solved by two running aggregates."""
+def _nav_path(chain: DataFrame, keys: Sequence[str], capital: float) -> DataFrame:
+    """nav[k+1] = nav[k] x (growth[k] - cost_share[k]) as one running product per curve."""
     keys = list(keys)
-    before = running(chain, keys=keys, order=["period"], exprs={"__G": ("product", "growth")}, exclusive=True)
-    before = before.withColumn("__G", F.coalesce("__G", F.lit(1.0))).withColumn("cost", F.coalesce("cost", F.lit(0.0)))
-    owed = running(
-        before, keys=keys, order=["period"], exprs={"__c": ("sum", F.col("cost") / (F.col("__G") * F.col("growth")))}, exclusive=True
+    step = F.col("growth") - F.coalesce("cost_share", F.lit(0.0))
+    path = running(chain, keys=keys, order=["period"], exprs={"__g": ("product", step)}, exclusive=True)
+    path = path.withColumn("nav_open", F.lit(float(capital)) * F.coalesce("__g", F.lit(1.0)))
+    path = path.withColumn("cost", F.coalesce("cost_share", F.lit(0.0)) * F.col("nav_open"))
+    kept = [c for c in ("__old",) if c in path.columns]
+    return running(path, keys=keys, order=["period"], exprs={"nav_before": ("lag", "nav_open")}).select(
+        *keys, "period", "nav_open", "nav_before", "cost", *kept
     )
-    nav = F.col("__G") * (F.lit(float(capital)) - F.coalesce("__c", F.lit(0.0)))
-    return owed.select(*keys, "period", nav.alias("nav_open"), "cost", "__old")
 
 
 def portfolio_nav_costed(
