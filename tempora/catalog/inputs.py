@@ -140,15 +140,15 @@ def _(v):
     "verify_bundle",
     f"""SELECT bundle, file, CASE WHEN hs IS NULL THEN 'missing' WHEN hs <> sha256 THEN 'sha_mismatch' ELSE 'size_mismatch' END AS violation
     FROM (SELECT m.*, a.hs, a.hb FROM {MANIFEST_SQL} m LEFT JOIN (
-      SELECT bundle, file, CASE WHEN size_bytes % 700 = 0 THEN 'changed' ELSE sha256 END AS hs,
+      SELECT bundle, CASE WHEN row_count % 17 = 0 THEN 'moved-' || file ELSE file END AS file, CASE WHEN size_bytes % 700 = 0 THEN 'changed' ELSE sha256 END AS hs,
              CASE WHEN row_count % 11 = 0 THEN size_bytes + 1 ELSE size_bytes END AS hb
-      FROM {MANIFEST_SQL} WHERE row_count IS NULL OR row_count % 17 <> 0) a ON m.bundle = a.bundle AND m.file = a.file)
+      FROM {MANIFEST_SQL}) a ON m.bundle = a.bundle AND m.file = a.file)
     WHERE hs IS NULL OR hs <> sha256 OR hb <> size_bytes""",
 )
 def _(v):
     want = manifest(v)
-    have = want.filter(F.col("row_count").isNull() | (F.col("row_count") % 17 != 0)).select(
-        "bundle", "file",
+    have = want.select(
+        "bundle", F.when(F.col("row_count") % 17 == 0, F.concat(F.lit("moved-"), "file")).otherwise(F.col("file")).alias("file"),
         F.when(F.col("size_bytes") % 700 == 0, "changed").otherwise(F.col("sha256")).alias("sha256"),
         F.when(F.col("row_count") % 11 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes")).alias("size_bytes"),
     )

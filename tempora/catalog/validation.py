@@ -198,11 +198,11 @@ def _(v):
     """SELECT f.dataset_fingerprint, f.strategy_family, coalesce(n, 0) AS n_recorded, 30 AS n_trials, CASE WHEN n >= 2 THEN v END AS v_sr,
         CASE WHEN coalesce(n, 0) = 0 THEN 'no_trials' WHEN n = 1 THEN 'single_trial' ELSE 'ok' END AS status
        FROM (SELECT DISTINCT dataset_fingerprint, strategy_family FROM trials UNION SELECT DISTINCT dataset_fingerprint, 'UNSEEN' FROM trials) f
-       LEFT JOIN (SELECT dataset_fingerprint, strategy_family, count(*) AS n, var_samp(sr_hat) AS v FROM trials WHERE t_observations % 10 = 5 GROUP BY 1, 2) t
+       LEFT JOIN (SELECT dataset_fingerprint, strategy_family, count(*) AS n, var_samp(sr_hat) AS v FROM trials GROUP BY 1, 2) t
        ON t.dataset_fingerprint = f.dataset_fingerprint AND t.strategy_family = f.strategy_family""",
     "dataset_fingerprint strategy_family n_recorded n_trials:i v_sr:f status",
 )
 def _(v):
     seen = v.trials.select("dataset_fingerprint", "strategy_family")
     families = seen.unionByName(seen.withColumn("strategy_family", F.lit("UNSEEN")))
-    return T.trial_variance(v.trials.filter(F.col("t_observations") % 10 == 5), declared_n=30, families=families)
+    return T.trial_variance(v.trials, declared_n=30, families=families)
