@@ -101,8 +101,8 @@ WINDOWS = f"""SELECT a.as_of, t.tag, (SELECT max(dt) FROM {WEEK} w WHERE w.dt <=
 
 @query("trailing_windows", WINDOWS, "as_of:d tag window_start:d window_end:d")
 def _(v):
-    first = v.calendar.agg(F.date_add(F.min("dt"), 20).alias("inception"))
-    as_ofs = v.calendar.select(F.last_day("dt").alias("as_of")).distinct().join(first, F.col("inception") < F.lit("2100-01-01").cast("date"))
+    inception = v.calendar.agg(F.date_add(F.min("dt"), 20)).scalar()
+    as_ofs = v.calendar.select(F.last_day("dt").alias("as_of")).distinct().withColumn("inception", inception)
     return C.trailing_windows(as_ofs, ["1y", "3y", "5y", "si"], weekly(v)).select("as_of", "tag", "window_start", "window_end")
 
 

@@ -177,9 +177,8 @@ class Views:
     @cached_property
     def membership_log(self) -> DataFrame:
         r = self.rosters
-        last = r.agg(F.max("q").alias("last_q"))
+        last_q, first_q = r.agg(F.max("q")).scalar(), r.agg(F.min("q")).scalar()
         dates = r.select("q", "snapshot_date").distinct()
-        first = r.agg(F.min("q").alias("first_q"))
         shifted = r.select((F.col("q") + 1).alias("q"), "asset_id")
         added = r.select("q", "asset_id").join(shifted, ["q", "asset_id"], "left_anti").withColumn("action", F.lit("added"))
         removed = shifted.join(r, ["q", "asset_id"], "left_anti").withColumn("action", F.lit("removed"))
@@ -187,7 +186,7 @@ class Views:
             F.when(F.col("action") == "added", "removed").otherwise("added")
         )
         events = (
-            added.unionByName(removed).join(dates, "q").join(first, F.col("q") > F.col("first_q"), "left_semi")
+            added.unionByName(removed).join(dates, "q").filter(F.col("q") > first_q)
             .select(
                 "asset_id",
                 F.date_sub("snapshot_date", 20).alias("date"),
@@ -196,9 +195,9 @@ class Views:
             )
             .drop("col")
         )
-        snaps = r.join(last, F.col("q") == F.col("last_q"), "left").select(
+        snaps = r.select(
             "asset_id", F.col("snapshot_date").alias("date"),
-            F.when(F.col("last_q").isNull(), "historical").otherwise("current").alias("action"),
+            F.when(F.col("q") != last_q, "historical").otherwise("current").alias("action"),
         )
         return snaps.unionByName(events).select(
             "asset_id", F.concat(F.lit("T"), (F.col("asset_id") % 90).cast("string")).alias("ticker"), "date", "action"

@@ -16,12 +16,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempora.operators.curves import scorecard
-from tempora.operators.resample import nearest_rank
-from tempora.plans.ranks import ranked
+from tempora.operators.resample import nearest_rank_small
+from tempora.plans.ranks import attach, ranked
 from tempora.plans.running import running
 
-_ALL = "__whole"
-
 
 def _check(n_groups: int, k_test: int, embargo_pct: float) -> None:
     if n_groups < 2:
@@ -38,9 +36,7 @@ def contiguous_folds(obs: DataFrame, k: int, *, keys: Sequence[str] = (), order:
     `order` must tell the observations of a key apart.  The position comes from a
     sliced ranking and the fold from arithmetic on it.
     """
-    base = obs if keys else obs.withColumn(_ALL, F.lit(0))
-    parts = list(keys) or [_ALL]
-    placed = ranked(base, keys=parts, order=list(order), out="__rank", size="n_obs")
+    placed = ranked(obs, keys=list(keys), order=list(order), out="__rank", size="n_obs")
     idx = F.col("__rank") - 1
     small, extra = F.floor(F.col("n_obs") / k), F.col("n_obs") % k
     edge = extra * (small + 1)
@@ -57,13 +53,11 @@ def fold_bounds(folds: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def _splits(folds: DataFrame, combos: Sequence[tuple[int, ...]], embargo_pct: float, keys: Sequence[str]) -> DataFrame:
-    base = folds if keys else folds.withColumn(_ALL, F.lit(0))
-    parts = list(keys) or [_ALL]
-    bounds = fold_bounds(base, keys=parts).groupBy(*parts).agg(
+    bounds = fold_bounds(folds, keys=keys).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("fold", "dt_start", "dt_end", "idx_end"))).alias("__b")
     )
     laid = F.array(*[F.struct(F.lit(i).alias("id"), F.array(*[F.lit(g) for g in c]).alias("groups")) for i, c in enumerate(combos)])
-    rows = base.join(bounds, parts).withColumn("__s", F.explode(laid))
+    rows = attach(folds, bounds, list(keys)).withColumn("__s", F.explode(laid))
     gap = F.floor(F.col("n_obs") * F.lit(float(embargo_pct)))
     groups = F.col("__s.groups")
     block = lambda g: F.get("__b", g)
@@ -193,7 +187,8 @@ def cpcv_evaluate(
     stitched = stitch_paths(segments_of(curves, folds, keys=keys), paths, keys=keys, capital=capital)
     cards = scorecard(stitched.drop("group"), keys=keys + ["path"], periods_per_year=periods_per_year)
     cards = cards.filter(F.col("status") != "flat")
-    return cards, nearest_rank(cards.filter(F.col("status") == "ok"), keys=keys, value="sr_hat", pcts=pcts)
+    # A curve has as many paths as the splits allow: a parameter, so the group is small.
+    return cards, nearest_rank_small(cards.filter(F.col("status") == "ok"), keys=keys, value="sr_hat", pcts=pcts)
 
 
 def path_family(family: str) -> str:

@@ -152,14 +152,15 @@ def asof_fill(lines: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def _expand(
-    relative: DataFrame, opening: DataFrame, base: Sequence[str], keys: Sequence[str], capital: float, bars: DataFrame
+    relative: DataFrame, opening: DataFrame, starts: DataFrame, base: Sequence[str], keys: Sequence[str], capital: float,
+    bars: DataFrame,
 ) -> DataFrame:
     """Daily NAV from period values; before the first rebalance a curve is all cash."""
     owned = relative.filter(F.col("next_dt").isNull() | (F.col("dt") < F.col("next_dt")))
     nav = owned.drop("start_dt").join(opening, [*base, "period"]).select(
         *keys, "dt", (F.col("nav_open") * F.col("rel") - F.col("cost")).alias("nav")
     )
-    firsts = opening.groupBy(*keys).agg(F.min("start_dt").alias("__first"))
+    firsts = starts.groupBy(*keys).agg(F.min("start_dt").alias("__first"))
     begin = bars.agg(F.min("dt")).scalar()
     early = firsts.filter(F.col("__first") > begin).select(
         *keys, F.explode(F.sequence(begin, F.date_sub("__first", 1))).alias("dt")
@@ -191,7 +192,7 @@ def portfolio_nav(
     opening = running(
         chain, keys=keys, order=["period"], exprs={"__g": ("product", "growth")}, exclusive=True
     ).select(*keys, "period", "start_dt", (F.lit(float(capital)) * F.coalesce("__g", F.lit(1.0))).alias("nav_open"), F.lit(0.0).alias("cost"))
-    return _expand(relative, opening, keys, keys, capital, bars)
+    return _expand(relative, opening, periods, keys, keys, capital, bars)
 
 
 def costed_nav_path(
@@ -303,7 +304,7 @@ def portfolio_nav_costed(
     """Daily NAV with trade costs: (keys, dt, nav).  See `costed_nav_path`."""
     opening, relative = costed_nav_path(weights, bars, dividends, market_state, keys=keys, capital=capital, **costs)
     full = [*keys, costs["grid"][0]] if costs.get("grid") else list(keys)
-    return _expand(relative, opening, list(keys), full, capital, bars)
+    return _expand(relative, opening, opening, list(keys), full, capital, bars)
 
 
 def dividend_income(positions: DataFrame, dividends: DataFrame, *, keys: Sequence[str] = ("curve_id",)) -> DataFrame:

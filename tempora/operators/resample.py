@@ -33,6 +33,18 @@ def nearest_rank(df: DataFrame, *, keys: Sequence[str], value: str, pcts: Sequen
     )
 
 
+def nearest_rank_small(df: DataFrame, *, keys: Sequence[str], value: str, pcts: Sequence[float]) -> DataFrame:
+    """`nearest_rank` for groups whose size is a parameter (paths, scenarios): one aggregation."""
+    cut = [F.expr(f"percentile_disc({float(p) / 100.0!r}) WITHIN GROUP (ORDER BY {value})") for p in pcts]
+    agg = df.groupBy(*keys).agg(
+        F.array(*[F.struct(F.lit(float(p)).alias("pct"), c.alias("value")) for p, c in zip(pcts, cut)]).alias("__v"),
+        F.count(value).alias("n"),
+    )
+    return agg.select(*keys, "n", F.explode("__v").alias("v")).select(
+        *keys, "v.pct", "n", "v.value", (F.col("n") < STABLE_COUNT).alias("low_sample"), F.lit("ok").alias("status")
+    )
+
+
 def indexed(series: DataFrame, *, keys: Sequence[str], order: str, block: Column | None = None) -> DataFrame:
     """Adds idx, the position from 0 inside each key."""
     out = running(series, keys=list(keys), order=[order], exprs={"__n": ("count", F.lit(1))}, block=block)
@@ -47,14 +59,15 @@ def autocorrelation(
     Each value meets its lagged partners by an equi join on position + lag.
     """
     keys = list(keys)
-    stats = series.groupBy(*keys).agg(F.avg(value).alias("__m"), F.count(value).alias("n"))
-    centred = series.join(stats, keys).select(*keys, index, (F.col(value) - F.col("__m")).alias("__x"), "n")
-    variance = centred.groupBy(*keys, "n").agg(F.sum(F.col("__x") * F.col("__x")).alias("__v"))
+    stats = series.groupBy(*keys).agg(
+        F.avg(value).alias("__m"), F.count(value).alias("n"), (F.var_pop(value) * F.count(value)).alias("__v")
+    )
+    centred = series.join(stats, keys).select(*keys, index, (F.col(value) - F.col("__m")).alias("__x"))
     lags = F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("lag")
     ahead = centred.select(*keys, F.col(index).alias("__i"), F.col("__x").alias("__y"))
     pairs = centred.select(*keys, index, "__x", lags).select(*keys, "lag", "__x", (F.col(index) + F.col("lag")).alias("__i"))
     cov = pairs.join(ahead, keys + ["__i"]).groupBy(*keys, "lag").agg(F.sum(F.col("__x") * F.col("__y")).alias("__c"))
-    every = variance.select(*keys, "n", "__v", lags)
+    every = stats.select(*keys, "n", "__v", lags)
     value_ = F.when((F.col("__v") > 0) & (F.col("n") > F.col("lag")), F.coalesce("__c", F.lit(0.0)) / F.col("__v")).otherwise(0.0)
     return every.join(cov, keys + ["lag"], "left").select(*keys, "lag", value_.alias("acf"), "n")
 

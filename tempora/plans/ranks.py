@@ -22,6 +22,13 @@ SPLIT_ROWS = 1024
 MAX_SLICES = 256
 
 
+def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join of one row per key; without keys, the one row's values as scalar subqueries."""
+    if keys:
+        return df.join(per_key, list(keys), "left")
+    return df.select("*", *[per_key.select(c).scalar().alias(c) for c in per_key.columns])
+
+
 def with_slices(
     df: DataFrame, *, keys: Sequence[str], order: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE,
     out: str = "__slice", size: str = "__size",
@@ -33,7 +40,7 @@ def with_slices(
     """
     keys, order = list(keys), list(order)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(size))
-    sized = df.join(sizes, keys)
+    sized = attach(df, sizes, keys)
     point = F.struct(*[F.col(c) for c in order])
     step = F.greatest(F.lit(1), F.floor(F.col(size) / SPLIT_ROWS)).cast("long")
     chosen = sized.filter((F.col(size) > rows_per_slice) & (F.pmod(F.xxhash64(*order), step) == 0))
@@ -42,7 +49,7 @@ def with_slices(
     at = F.transform(F.sequence(F.lit(1), wanted - 1), lambda i: F.get("__all", F.floor(F.size("__all") * i / wanted).cast("int")))
     marks = picks.select(*keys, F.filter(at, lambda m: m.isNotNull()).alias("__marks"))
     number = F.size(F.filter("__marks", lambda m: m < point))
-    return sized.join(marks, keys, "left").select(
+    return attach(sized, marks, keys).select(
         *df.columns, size, F.when(F.col("__marks").isNull(), 0).otherwise(number).cast("long").alias(out)
     )
 
