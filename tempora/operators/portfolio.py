@@ -158,7 +158,7 @@ def _expand(
     """Daily NAV from period values; before the first rebalance a curve is all cash."""
     owned = relative.filter(F.col("next_dt").isNull() | (F.col("dt") < F.col("next_dt")))
     nav = owned.drop("start_dt").join(opening, [*base, "period"]).select(
-        *keys, "dt", (F.col("nav_open") * F.col("rel") - F.col("cost")).alias("nav")
+        *keys, "dt", (F.col("nav_open") * F.col("rel") - F.col("cost") + F.coalesce("marked", F.lit(0.0))).alias("nav")
     )
     firsts = starts.groupBy(*keys).agg(F.min("start_dt").alias("__first"))
     begin = bars.agg(F.min("dt")).scalar()
@@ -191,7 +191,10 @@ def portfolio_nav(
     chain = periods.join(growth, [*keys, "period"], "left")
     opening = running(
         chain, keys=keys, order=["period"], exprs={"__g": ("product", "growth")}, exclusive=True
-    ).select(*keys, "period", "start_dt", (F.lit(float(capital)) * F.coalesce("__g", F.lit(1.0))).alias("nav_open"), F.lit(0.0).alias("cost"))
+    ).select(
+        *keys, "period", "start_dt", (F.lit(float(capital)) * F.coalesce("__g", F.lit(1.0))).alias("nav_open"),
+        F.lit(0.0).alias("cost"), F.lit(0.0).alias("marked"),
+    )
     return _expand(relative, opening, periods, keys, keys, capital, bars)
 
 
@@ -210,6 +213,7 @@ def costed_nav_path(
     commission_per_share: Column | float = 0.0,
     commission_bps: Column | float = 0.0,
     impact_on_prices: bool = False,
+    mark_impact: bool = True,
     grid: tuple[str, Sequence[float]] | None = None,
     tolerance: float = 1e-12,
 ) -> tuple[DataFrame, DataFrame]:
@@ -226,6 +230,10 @@ def costed_nav_path(
     `grid` = (name, values) adds a scenario key; cost parameters may refer to it as
     F.col(name).  Holding-period values do not depend on it and are computed once.
     A trade without a market state on its day pays commission only.
+
+    `impact_on_prices` fills at prices moved by all earlier permanent impact; targets are
+    still sized on raw prices.  Daily marks then include the impact (a constant per
+    period, since it only moves at rebalances) unless `mark_impact` is off.
     """
     keys = list(keys)
     relative, periods = holding_values(weights, bars, dividends, keys=keys, price=price)
@@ -264,7 +272,7 @@ def costed_nav_path(
         if impact_on_prices:
             priced = impact_feedback(priced, keys=[*keys, "asset_id"])
         else:
-            priced = priced.withColumn(
+            priced = priced.withColumn("impact_after", F.lit(0.0)).withColumn(
                 "fill_price", F.col("arrival") * (1.0 + F.signum("shares") * F.col("temporary_impact_bps") / K.BPS)
             )
         paid = (
@@ -273,7 +281,8 @@ def costed_nav_path(
             + K.notional_commission(F.col("shares") * F.col("fill_price"), commission_bps)
         )
         costs = priced.groupBy(*keys, "period").agg(
-            (F.sum(paid) / F.max("nav_open")).alias("cost_share"), F.max("nav_open").alias("__old")
+            (F.sum(paid) / F.max("nav_open")).alias("cost_share"), F.max("nav_open").alias("__old"),
+            F.sum(F.coalesce("unit_shares", F.lit(0.0)) * F.col("nav_open") * F.col("impact_after")).alias("marked"),
         )
         guess = cut_lineage(_nav_path(chain.join(costs, [*keys, "period"], "left"), keys, capital))
         moved = guess.agg(F.max(F.abs(F.col("nav_open") - F.col("__old")) / F.abs("__old"))).first()[0]
@@ -281,6 +290,8 @@ def costed_nav_path(
         if moved is None or moved <= tolerance:
             break
     opening = guess.join(chain.select(*keys, "period", "start_dt"), [*keys, "period"])
+    if not mark_impact:
+        opening = opening.withColumn("marked", F.lit(0.0))
     return opening, relative
 
 
@@ -291,7 +302,7 @@ def _nav_path(chain: DataFrame, keys: Sequence[str], capital: float) -> DataFram
     path = running(chain, keys=keys, order=["period"], exprs={"__g": ("product", step)}, exclusive=True)
     path = path.withColumn("nav_open", F.lit(float(capital)) * F.coalesce("__g", F.lit(1.0)))
     path = path.withColumn("cost", F.coalesce("cost_share", F.lit(0.0)) * F.col("nav_open"))
-    kept = [c for c in ("__old",) if c in path.columns]
+    kept = [c for c in ("__old", "marked") if c in path.columns]
     return running(path, keys=keys, order=["period"], exprs={"nav_before": ("lag", "nav_open")}).select(
         *keys, "period", "nav_open", "nav_before", "cost", *kept
     )

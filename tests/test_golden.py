@@ -263,6 +263,34 @@ def test_costed_valuation_equals_sequential_fold(spark):
     assert all(free[d] == pytest.approx(zero[d], rel=1e-12) for d in zero)
 
 
+@pytest.mark.parametrize("marked", [True, False])
+def test_impacted_valuation_equals_sequential_fold(spark, marked):
+    rng = random.Random(24)
+    px, divs, rebals = random_book(rng)
+    state = {k: (rng.uniform(0.005, 0.03), rng.uniform(50, 200), 1e4) for k in px}
+    cash, pos, reg, want = 1000.0, {}, {}, {}
+    for d in sorted({d for _, d in px}):
+        cash += sum(q * divs.get((a, d), 0.0) for a, q in pos.items())
+        if d in rebals:
+            nav = cash + sum(q * px[(a, d)] for a, q in pos.items())
+            target = {a: nav / len(rebals[d]) / px[(a, d)] for a in rebals[d]}
+            for a in set(pos) | set(target):
+                q = target.get(a, 0.0) - pos.get(a, 0.0)
+                s, v, th = state[(a, d)]
+                sign = (q > 0) - (q < 0)
+                temp, perm = 0.142 * s * (abs(q) / v) ** 0.6, 0.5 * 0.314 * s * (abs(q) / v) * (th / v) ** 0.25
+                fill = (px[(a, d)] + reg.get(a, 0.0)) * (1 + sign * temp)
+                cash -= q * fill
+                reg[a] = reg.get(a, 0.0) + sign * perm * fill
+            pos = target
+        want[d] = cash + sum(q * (px[(a, d)] + (reg.get(a, 0.0) if marked else 0.0)) for a, q in pos.items())
+    bars, paid, w = book_frames(spark, px, divs, rebals)
+    ms = spark.createDataFrame([(a, d, *x) for (a, d), x in state.items()], "asset_id int, dt date, sigma_d double, v_d double, theta double")
+    nav = P.portfolio_nav_costed(w, bars, paid, ms, capital=1000.0, impact_on_prices=True, mark_impact=marked)
+    got = {r.dt: r.nav for r in nav.collect()}
+    assert all(got[d] == pytest.approx(want[d], rel=1e-10) for d in want)
+
+
 def test_impact_feedback_equals_sequential_rule(spark):
     rng = random.Random(23)
     rows = [(1, day(i), rng.choice([-1, 1]) * rng.uniform(10, 90), rng.uniform(90, 110), rng.uniform(1, 40), rng.uniform(1, 30)) for i in range(25)]
