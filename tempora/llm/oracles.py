@@ -32,4 +32,52 @@ SELECT doc_id, size, source_size, target, (size * count(*) FILTER (WHERE total <
 FROM x GROUP BY doc_id, size, source_size, target, source_rank, place
 """
 
-ORACLE = {"op4_mix_weighted_fair_queueing": MIX}
+# The cutoffs of tempora.llm.quality.RULES and its levels, once more in SQL.
+QUALITY = rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text, {WORDS} AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), g AS (
+  SELECT r, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS g FROM t WHERE len(w) > 2
+), rep AS (
+  SELECT r, count(DISTINCT p) AS n FROM (
+    SELECT r, unnest([i, i + 1, i + 2]) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1
+  ) GROUP BY r
+), m AS (
+  SELECT t.r, doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines, len(regexp_extract_all(text, '\p{{Lu}}'))::BIGINT AS n_capitals
+  FROM t LEFT JOIN rep USING (r)
+), b AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m
+), v AS (
+  SELECT b.*, rule, CASE WHEN whole > 0 THEN part / whole ELSE 0 END AS value FROM b, LATERAL (VALUES
+    ('symbols', n_symbols::DOUBLE, n_words), ('capitals', n_capitals::DOUBLE, word_chars), ('repeats', n_repeat_words::DOUBLE, n_words), ('lines', n_dup_lines::DOUBLE, n_lines)
+  ) AS x(rule, part, whole)
+), c AS (
+  SELECT * FROM (VALUES
+    ('symbols', [2.0, 1.5, 1.0, 0.7, 0.5, 0.3, 0.2, 0.1]), ('capitals', [0.9, 0.8, 0.7, 0.5, 0.4, 0.3, 0.25, 0.2]),
+    ('repeats', [0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15]), ('lines', [0.9, 0.7, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15])
+  ) AS y(rule, cuts), range(1, 9) AS z(turn)
+), good AS (
+  SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1
+), k AS (
+  SELECT lang, c.rule, turn, cuts[turn]::DOUBLE AS cutoff, count(*) AS n, count(*) FILTER (WHERE value > cuts[turn]) AS k
+  FROM v JOIN c ON v.rule = c.rule WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY ALL
+), s AS (
+  SELECT *, k < n * 0.01 AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.01) + (n - j) * ln(0.99))))
+    <= 0.05 / (4 * (SELECT count(DISTINCT coalesce(lang, '') || (lang IS NULL)) FROM k)) AS safe FROM k
+), a AS (
+  SELECT *, bool_and(safe) OVER (PARTITION BY lang, rule ORDER BY turn) AS reached FROM s
+), cut AS (
+  SELECT lang, rule, min(cutoff) AS cutoff FROM a WHERE reached GROUP BY ALL
+), bad AS (
+  SELECT r, array_to_string(list(v.rule ORDER BY list_position(['symbols', 'capitals', 'repeats', 'lines'], v.rule)), ',') AS rejected_by
+  FROM v JOIN cut ON v.lang IS NOT DISTINCT FROM cut.lang AND v.rule = cut.rule AND value > cutoff GROUP BY r
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.r IS NULL AS kept,
+  n_lines, n_capitals, coalesce(rejected_by, '') AS rejected_by
+FROM b LEFT JOIN bad USING (r)
+"""
+
+ORACLE = {"op2_quality_risk_controlled": QUALITY, "op4_mix_weighted_fair_queueing": MIX}

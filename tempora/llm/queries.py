@@ -7,11 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from tempora.llm import oracles
 from tempora.llm.common import read
 from tempora.llm.mixing import mix
+from tempora.llm.quality import quality_rules
+
+
+def op2_quality_risk_controlled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op4_mix_weighted_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).drop("source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_weighted_fair_queueing,)}
+QUERIES = {f.__name__: f for f in (op2_quality_risk_controlled, op4_mix_weighted_fair_queueing,)}
 ORACLE = oracles.ORACLE
