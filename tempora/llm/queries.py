@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tempora.llm import oracles
 from tempora.llm.common import read
 from tempora.llm.mixing import mix
+from tempora.llm.near_duplicates import near_duplicates
 from tempora.llm.quality import quality_rules
 
 
@@ -18,5 +19,9 @@ def op4_mix_weighted_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFram
     return mix(read(spark, sf_dir, "documents")).drop("source", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_risk_controlled, op4_mix_weighted_fair_queueing,)}
+def op7_near_duplicates_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_risk_controlled, op4_mix_weighted_fair_queueing, op7_near_duplicates_minhash)}
 ORACLE = oracles.ORACLE
