@@ -9,6 +9,7 @@ from tempora.llm.common import read
 from tempora.llm.mixing import mix
 from tempora.llm.near_duplicates import near_duplicates
 from tempora.llm.quality import quality_rules
+from tempora.llm.sharding import shard
 
 
 def op2_quality_risk_controlled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,5 +24,9 @@ def op7_near_duplicates_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_risk_controlled, op4_mix_weighted_fair_queueing, op7_near_duplicates_minhash)}
+def op10_shard_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_risk_controlled, op4_mix_weighted_fair_queueing, op7_near_duplicates_minhash, op10_shard_label_propagation)}
 ORACLE = oracles.ORACLE
