@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tempora.llm import oracles
 from tempora.llm.common import read
+from tempora.llm.decontamination import decontaminate
 from tempora.llm.mixing import mix
 from tempora.llm.near_duplicates import near_duplicates
 from tempora.llm.quality import quality_rules
@@ -20,6 +21,10 @@ def op4_mix_weighted_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFram
     return mix(read(spark, sf_dir, "documents")).drop("source", "copies")
 
 
+def op6_decontaminate_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_near_duplicates_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -28,5 +33,5 @@ def op10_shard_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_risk_controlled, op4_mix_weighted_fair_queueing, op7_near_duplicates_minhash, op10_shard_label_propagation)}
+QUERIES = {f.__name__: f for f in (op2_quality_risk_controlled, op4_mix_weighted_fair_queueing, op6_decontaminate_templates, op7_near_duplicates_minhash, op10_shard_label_propagation)}
 ORACLE = oracles.ORACLE
