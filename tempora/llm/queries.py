@@ -9,6 +9,7 @@ from tempora.llm.common import read
 from tempora.llm.decontamination import decontaminate
 from tempora.llm.mixing import mix
 from tempora.llm.near_duplicates import near_duplicates
+from tempora.llm.pseudonyms import KINDS, pseudonymise
 from tempora.llm.quality import quality_rules
 from tempora.llm.sharding import shard
 
@@ -21,6 +22,10 @@ def op4_mix_weighted_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFram
     return mix(read(spark, sf_dir, "documents")).drop("source", "copies")
 
 
+def op5_pseudonyms_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(read(spark, sf_dir, "documents")).select("doc_id", "text", *[f"n_{k}" for k in KINDS])
+
+
 def op6_decontaminate_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -33,5 +38,5 @@ def op10_shard_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_risk_controlled, op4_mix_weighted_fair_queueing, op6_decontaminate_templates, op7_near_duplicates_minhash, op10_shard_label_propagation)}
+QUERIES = {f.__name__: f for f in (op2_quality_risk_controlled, op4_mix_weighted_fair_queueing, op5_pseudonyms_feistel, op6_decontaminate_templates, op7_near_duplicates_minhash, op10_shard_label_propagation)}
 ORACLE = oracles.ORACLE
