@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tempora.llm import oracles
 from tempora.llm.common import read
 from tempora.llm.decontamination import decontaminate
+from tempora.llm.line_chunks import dedup_line_chunks
 from tempora.llm.mixing import mix
 from tempora.llm.near_duplicates import near_duplicates
 from tempora.llm.pseudonyms import KINDS, pseudonymise
@@ -34,9 +36,14 @@ def op7_near_duplicates_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_line_chunks(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
 def op10_shard_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_risk_controlled, op4_mix_weighted_fair_queueing, op5_pseudonyms_feistel, op6_decontaminate_templates, op7_near_duplicates_minhash, op10_shard_label_propagation)}
+QUERIES = {f.__name__: f for f in (op2_quality_risk_controlled, op4_mix_weighted_fair_queueing, op5_pseudonyms_feistel, op6_decontaminate_templates, op7_near_duplicates_minhash, op8_line_chunks, op10_shard_label_propagation)}
 ORACLE = oracles.ORACLE
