@@ -14,6 +14,12 @@ from tempora.llm.near_duplicates import near_duplicates
 from tempora.llm.pseudonyms import KINDS, pseudonymise
 from tempora.llm.quality import quality_rules
 from tempora.llm.sharding import shard
+from tempora.llm.toxicity import toxicity
+
+
+def op1_toxicity_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return toxicity(read(spark, sf_dir, "documents"), labels)
 
 
 def op2_quality_risk_controlled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,5 +51,5 @@ def op10_shard_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_risk_controlled, op4_mix_weighted_fair_queueing, op5_pseudonyms_feistel, op6_decontaminate_templates, op7_near_duplicates_minhash, op8_line_chunks, op10_shard_label_propagation)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_classifier_chain, op2_quality_risk_controlled, op4_mix_weighted_fair_queueing, op5_pseudonyms_feistel, op6_decontaminate_templates, op7_near_duplicates_minhash, op8_line_chunks, op10_shard_label_propagation)}
 ORACLE = oracles.ORACLE
