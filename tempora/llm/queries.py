@@ -14,6 +14,7 @@ from tempora.llm.near_duplicates import near_duplicates
 from tempora.llm.pseudonyms import KINDS, pseudonymise
 from tempora.llm.quality import quality_rules
 from tempora.llm.sharding import shard
+from tempora.llm.token_counts import token_counts
 from tempora.llm.toxicity import toxicity
 
 
@@ -30,6 +31,10 @@ def op4_mix_weighted_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFram
     return mix(read(spark, sf_dir, "documents")).drop("source", "copies")
 
 
+def op3_token_counts_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents"))
+
+
 def op5_pseudonyms_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(read(spark, sf_dir, "documents")).select("doc_id", "text", *[f"n_{k}" for k in KINDS])
 
@@ -51,5 +56,5 @@ def op10_shard_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_classifier_chain, op2_quality_risk_controlled, op4_mix_weighted_fair_queueing, op5_pseudonyms_feistel, op6_decontaminate_templates, op7_near_duplicates_minhash, op8_line_chunks, op10_shard_label_propagation)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_classifier_chain, op2_quality_risk_controlled, op3_token_counts_viterbi, op4_mix_weighted_fair_queueing, op5_pseudonyms_feistel, op6_decontaminate_templates, op7_near_duplicates_minhash, op8_line_chunks, op10_shard_label_propagation)}
 ORACLE = oracles.ORACLE
