@@ -13,6 +13,7 @@ from tempora.llm.mixing import mix
 from tempora.llm.near_duplicates import near_duplicates
 from tempora.llm.pseudonyms import KINDS, pseudonymise
 from tempora.llm.quality import quality_rules
+from tempora.llm.repeated_bytes import remove_repeated_bytes
 from tempora.llm.sharding import shard
 from tempora.llm.token_counts import token_counts
 from tempora.llm.toxicity import toxicity
@@ -52,9 +53,13 @@ def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 
 
+def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(read(spark, sf_dir, "documents")).drop("removed")
+
+
 def op10_shard_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_classifier_chain, op2_quality_risk_controlled, op3_token_counts_viterbi, op4_mix_weighted_fair_queueing, op5_pseudonyms_feistel, op6_decontaminate_templates, op7_near_duplicates_minhash, op8_line_chunks, op10_shard_label_propagation)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_classifier_chain, op2_quality_risk_controlled, op3_token_counts_viterbi, op4_mix_weighted_fair_queueing, op5_pseudonyms_feistel, op6_decontaminate_templates, op7_near_duplicates_minhash, op8_line_chunks, op9_repeated_bytes, op10_shard_label_propagation)}
 ORACLE = oracles.ORACLE
