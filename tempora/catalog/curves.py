@@ -37,7 +37,7 @@ def _(v):
 
 @query("sharpe", "SELECT curve_id, n, mu AS mean_r, sd AS std_r, sr_hat, 'ok' AS status FROM curve_moments", "curve_id n mean_r:f std_r:f sr_hat:f status")
 def _(v):
-    return C.sharpe(returns_of(v))
+    return C.sharpe(returns_of(v), curves=v.asset_curves)
 
 
 HOURLY_R = "(SELECT curve_id, dt, nav / lag(nav) OVER (PARTITION BY curve_id ORDER BY dt) - 1 AS r FROM hourly_curves)"
@@ -49,7 +49,7 @@ HOURLY_R = "(SELECT curve_id, dt, nav / lag(nav) OVER (PARTITION BY curve_id ORD
     "curve_id n mean_r:f std_r:f sr_hat:f status",
 )
 def _(v):
-    return C.sharpe(C.curve_returns(v.hourly_curves))
+    return C.sharpe(C.curve_returns(v.hourly_curves), curves=v.hourly_curves)
 
 
 @query("moments", "SELECT curve_id, gamma_3, gamma_4 FROM curve_moments", "curve_id gamma_3:f gamma_4:f")
@@ -261,7 +261,7 @@ def _(v):
 
 def uniform_sql(tag: str) -> str:
     text = f"'7|' || curve_id || '|' || CAST(path AS VARCHAR) || '|' || CAST(idx AS VARCHAR) || '|{tag}'"
-    return f"(CAST(('0x' || substr(md5({text}), 1, 8)) AS BIGINT) / 4294967296e0)"
+    return f"(CAST(('0x' || substr(md5({text}), 1, 13)) AS BIGINT) / 4503599627370496e0)"
 
 
 PATHS = f"""SELECT b.curve_id, b.path, b.step, b.src AS idx, s.r FROM (

@@ -131,6 +131,16 @@ def _(v):
     return M.latest_bundle(manifest(v), "daily")
 
 
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@query("file_row_counts", " UNION ALL ".join(f"""SELECT '{t}.parquet' AS "file", count(*) AS row_count FROM {t}""" for t in TABLES))
+def _(v):
+    # A table is one file or a folder of part files.
+    counts = M.file_row_counts(v.spark, v.sf_dir)
+    return counts.groupBy(F.regexp_extract("path", r"/([^/]+\.parquet)(?:/[^/]+)?$", 1).alias("file")).agg(F.sum("row_count").alias("row_count"))
+
+
 @query("fingerprint_files")
 def _(v):
     return M.fingerprint_files(v.spark, v.sf_dir).select("file", "sha256", "size_bytes", "row_count")

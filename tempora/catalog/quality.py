@@ -8,6 +8,7 @@ from tempora.catalog.inputs import sep
 from tempora.catalog.present import wrap
 from tempora.catalog.view_sql import with_views
 from tempora.operators import quality as Q
+from tempora.session import materialise
 
 QUERIES = {}
 ORACLE = {}
@@ -94,7 +95,8 @@ def _(v):
 
 
 def vendor_tables(v):
-    return {"tickers": listings(v), "sep": sep(v), "sf1": v.filings, "sp500": v.membership_log}
+    derived = {"tickers": listings(v), "sep": sep(v), "sf1": v.filings, "sp500": v.membership_log}
+    return {name: materialise(table) for name, table in derived.items()}
 
 
 @query(
@@ -111,18 +113,37 @@ def _(v):
     return Q.run_contracts(vendor_tables(v))[0]
 
 
+def json_rows(contract: str, sql: str, columns: str) -> str:
+    """Rows of `sql` as JSON text without NULL fields; a column name may end in :n for a number."""
+    fields = []
+    for column in columns.split():
+        name, _, number = column.partition(":")
+        text = f"CAST({name} AS VARCHAR)"
+        fields.append(f"""'"{name}":' || {text if number else f"""'"' || {text} || '"'"""}""")
+    return f"SELECT '{contract}' AS contract, '{{' || array_to_string(list_filter([{', '.join(fields)}], lambda x: x IS NOT NULL), ',') || '}}' AS row_json FROM ({sql})"
+
+
+SAMPLES = " UNION ALL ".join(
+    json_rows(*c)
+    for c in (
+        ("tickers_first_price_within_five_days", FIRST, "permaticker:n ticker firstpricedate lastpricedate"),
+        ("no_sep_bars_after_delisting", AFTER, "permaticker:n ticker lastpricedate sep_date closeunadj:n"),
+        ("sf1_datekey_non_null_after_1990", NULLKEY, "ticker calendardate dimension"),
+        ("no_duplicate_ticker_datekey_in_sf1", DUPFACT, "ticker datekey dimension n:n"),
+        ("sp500_snapshot_members_resolve", RESOLVE, "ticker n_assets:n"),
+        ("no_duplicate_sp500_events", DUPEV, "ticker date action n:n"),
+        ("sp500_added_removed_consistent_with_snapshots", EVENTS, "ticker event_date action inconsistency"),
+    )
+)
+
+
 @query(
     "contract_samples",
-    f"""SELECT contract, sample_no, row_json FROM (SELECT *, row_number() OVER (PARTITION BY contract ORDER BY row_json) AS sample_no FROM (
-      SELECT 'sf1_datekey_non_null_after_1990' AS contract,
-        '{{"ticker":"' || ticker || '","calendardate":"' || CAST(calendardate AS VARCHAR) || '","dimension":"' || dimension || '"}}' AS row_json FROM ({NULLKEY})
-      UNION ALL SELECT 'no_duplicate_sp500_events',
-        '{{"ticker":"' || ticker || '","date":"' || CAST(date AS VARCHAR) || '","action":"' || action || '","n":' || CAST(n AS VARCHAR) || '}}' FROM ({DUPEV})))
+    f"""SELECT contract, sample_no, row_json FROM (SELECT *, row_number() OVER (PARTITION BY contract ORDER BY row_json) AS sample_no FROM ({SAMPLES}))
     WHERE sample_no <= 10""",
 )
 def _(v):
-    chosen = [c for c in Q.DEFAULT_CONTRACTS if c.name in ("sf1_datekey_non_null_after_1990", "no_duplicate_sp500_events")]
-    return Q.run_contracts(vendor_tables(v), chosen)[1].select("contract", "sample_no", "row_json")
+    return Q.run_contracts(vendor_tables(v))[1].select("contract", "sample_no", "row_json")
 
 
 @query(

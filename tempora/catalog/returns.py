@@ -232,7 +232,7 @@ def _(v):
 
 @query(
     "adjusted_close",
-    f"SELECT asset_id, dt, closeunadj / factor AS adjusted_close FROM ({_FACTOR.format(more=chr(65) + 'ND s.date <= DATE ' + repr('1999-06-30'))}) WHERE dt <= DATE '1999-06-30'",
+    f"SELECT asset_id, dt, closeunadj / factor AS adjusted_close FROM ({_FACTOR.format(more="AND s.date <= DATE '1999-06-30'")}) WHERE dt <= DATE '1999-06-30'",
     "asset_id dt:d adjusted_close:f",
 )
 def _(v):

@@ -105,7 +105,7 @@ def _(v):
 @query(
     "dq_cv_inputs",
     """SELECT asset_id, problem FROM (SELECT asset_id, unnest([CASE WHEN count(*) FILTER (WHERE label_end IS NULL) > 0 THEN 'null_label_end' END,
-        CASE WHEN count(*) FILTER (WHERE label_end < dt) > 0 THEN 'horizon_before_dt' END, CASE WHEN count(*) < 150 THEN 'too_few' END]) AS problem
+        CASE WHEN count(*) FILTER (WHERE label_end < dt) > 0 THEN 'horizon_before_dt' END, CASE WHEN count(DISTINCT dt) < count(dt) THEN 'repeated_dt' END, CASE WHEN count(*) < 150 THEN 'too_few' END]) AS problem
       FROM (SELECT asset_id, calendardate AS dt, datekey - 50 AS label_end FROM filings) GROUP BY 1) WHERE problem IS NOT NULL""",
 )
 def _(v):
@@ -145,7 +145,7 @@ def _(v):
 
 @query(
     "dq_stitch",
-    """SELECT curve_id, 1996 + 1 - 1 + (y - 1996) AS "group" FROM (SELECT curve_id, y, lo, lag(hi) OVER (PARTITION BY curve_id ORDER BY y) AS before FROM (
+    """SELECT curve_id, y AS "group" FROM (SELECT curve_id, y, lo, lag(hi) OVER (PARTITION BY curve_id ORDER BY y) AS before FROM (
        SELECT curve_id, y, min(dt) AS lo, max(dt) AS hi FROM (SELECT curve_id, year(dt) AS y, dt FROM asset_curves
          UNION ALL SELECT curve_id, year(dt) + 1, dt FROM asset_curves WHERE curve_id % 3 = 0 AND month(dt) = 12) GROUP BY 1, 2)) WHERE lo <= before""",
     'curve_id "group":i',

@@ -17,7 +17,7 @@ SELECT l_suppkey AS asset_id, CAST(l_shipdate AS DATE) AS dt, count(*) AS n,
 FROM lineitem GROUP BY 1, 2"""
 
 VIEWS["bars"] = """
-SELECT asset_id, 'T' || CAST(asset_id % 90 AS VARCHAR) AS ticker, dt,
+SELECT asset_id, 'T' || CAST(asset_id // 100 * 90 + asset_id % 100 % 90 AS VARCHAR) AS ticker, dt,
        close * (1e0 + 1e-3 * (n - 1)) AS open, close * 1.01e0 AS high, close * 0.99e0 AS low,
        close, close + 1e0 AS closeunadj, volume
 FROM (SELECT *, round(50e0 + 5e0 * disc / n + 2.5e0 * tax / n, 6) AS close FROM daily)"""
@@ -25,33 +25,33 @@ FROM (SELECT *, round(50e0 + 5e0 * disc / n + 2.5e0 * tax / n, 6) AS close FROM
 VIEWS["calendar"] = "SELECT DISTINCT CAST(l_shipdate AS DATE) AS dt FROM lineitem"
 
 VIEWS["dividends"] = """
-SELECT asset_id, 'T' || CAST(asset_id % 90 AS VARCHAR) AS ticker, dt AS ex_date,
+SELECT asset_id, 'T' || CAST(asset_id // 100 * 90 + asset_id % 100 % 90 AS VARCHAR) AS ticker, dt AS ex_date,
        round(0.01e0 + 0.005e0 * max_tax, 6) AS amount_per_share
 FROM daily WHERE has_r AND n >= 2"""
 
 VIEWS["actions"] = """
 SELECT asset_id, ticker, ex_date AS date, 'dividend' AS action, amount_per_share AS value FROM dividends
-UNION ALL SELECT asset_id, 'T' || CAST(asset_id % 90 AS VARCHAR), dt, 'split',
+UNION ALL SELECT asset_id, 'T' || CAST(asset_id // 100 * 90 + asset_id % 100 % 90 AS VARCHAR), dt, 'split',
        CASE WHEN asset_id % 2 = 1 THEN 5e-1 ELSE 2e0 END FROM daily
   WHERE (asset_id * 31 + (dt - DATE '1970-01-01')) % 173 = 0
-UNION ALL SELECT asset_id, 'T' || CAST(asset_id % 90 AS VARCHAR), dt, 'spinoff', 0.25e0 FROM daily
+UNION ALL SELECT asset_id, 'T' || CAST(asset_id // 100 * 90 + asset_id % 100 % 90 AS VARCHAR), dt, 'spinoff', 0.25e0 FROM daily
   WHERE (asset_id * 17 + (dt - DATE '1970-01-01')) % 211 = 0
-UNION ALL SELECT asset_id, 'T' || CAST(asset_id % 90 AS VARCHAR), dt, 'listed', 0e0 FROM daily
+UNION ALL SELECT asset_id, 'T' || CAST(asset_id // 100 * 90 + asset_id % 100 % 90 AS VARCHAR), dt, 'listed', 0e0 FROM daily
   WHERE (dt - DATE '1970-01-01') % 307 = 0
-UNION ALL SELECT asset_id, 'T' || CAST(asset_id % 90 AS VARCHAR), dt, 'rightsissue', 1.5e0 FROM daily
+UNION ALL SELECT asset_id, 'T' || CAST(asset_id // 100 * 90 + asset_id % 100 % 90 AS VARCHAR), dt, 'rightsissue', 1.5e0 FROM daily
   WHERE asset_id % 10 = 0 AND (dt - DATE '1970-01-01') % 97 = 0"""
 
 VIEWS["securities"] = """
-SELECT asset_id AS permaticker, 'T' || CAST(asset_id % 90 AS VARCHAR) AS ticker,
+SELECT asset_id AS permaticker, 'T' || CAST(asset_id // 100 * 90 + asset_id % 100 % 90 AS VARCHAR) AS ticker,
        CASE WHEN asset_id % 5 = 0 THEN 'Y' ELSE 'N' END AS isdelisted,
        CASE WHEN asset_id % 37 = 36 THEN NULL
-            WHEN asset_id >= 90 AND asset_id % 2 = 1 THEN DATE '1999-01-01' ELSE lo END AS firstpricedate,
-       CASE WHEN asset_id < 10 AND asset_id % 2 = 1 THEN DATE '1998-12-31'
+            WHEN asset_id % 100 >= 90 AND asset_id % 2 = 1 THEN DATE '1999-01-01' ELSE lo END AS firstpricedate,
+       CASE WHEN asset_id % 100 < 10 AND asset_id % 2 = 1 THEN DATE '1998-12-31'
             WHEN asset_id % 5 = 0 THEN hi ELSE NULL END AS lastpricedate
 FROM (SELECT asset_id, min(dt) AS lo, max(dt) AS hi FROM daily GROUP BY 1)"""
 
 VIEWS["filings"] = """
-SELECT o_custkey % 100 AS asset_id, 'T' || CAST((o_custkey % 100) % 90 AS VARCHAR) AS ticker,
+SELECT o_custkey % n AS asset_id, 'T' || CAST(o_custkey % n // 100 * 90 + o_custkey % n % 100 % 90 AS VARCHAR) AS ticker,
        CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'ARQ' WHEN '2' THEN 'ARQ' WHEN '3' THEN 'ART'
             WHEN '4' THEN 'ARY' ELSE 'MRQ' END AS dimension,
        last_day(CAST(o_orderdate AS DATE)) AS calendardate,
@@ -59,7 +59,7 @@ SELECT o_custkey % 100 AS asset_id, 'T' || CAST((o_custkey % 100) % 90 AS VARCHA
        CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END AS revenue,
        CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice * 10e0 END AS marketcap,
        CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_custkey + 1 AS DOUBLE) END AS sharesbas
-FROM orders"""
+FROM orders, (SELECT max(l_suppkey) + 1 AS n FROM lineitem)"""
 
 VIEWS["facts"] = """
 SELECT asset_id, dimension, datekey, calendardate, max(revenue) AS revenue, max(marketcap) AS marketcap,
@@ -67,15 +67,15 @@ SELECT asset_id, dimension, datekey, calendardate, max(revenue) AS revenue, max(
 
 VIEWS["rosters"] = """
 SELECT r.q, e.snapshot_date, r.asset_id FROM (
-  SELECT q, asset_id, row_number() OVER (PARTITION BY q ORDER BY v DESC, asset_id) AS rk FROM (
+  SELECT q, asset_id, row_number() OVER (PARTITION BY q ORDER BY v DESC, asset_id) AS rk, count(*) OVER (PARTITION BY q) AS n FROM (
     SELECT year(dt) * 4 + quarter(dt) AS q, asset_id, sum(volume) AS v FROM daily GROUP BY 1, 2)) r
 JOIN (SELECT year(dt) * 4 + quarter(dt) AS q, max(dt) AS snapshot_date FROM calendar GROUP BY 1) e ON r.q = e.q
-WHERE rk <= 40"""
+WHERE 2 * rk <= n + 1"""
 
 VIEWS["membership"] = "SELECT snapshot_date, asset_id FROM rosters"
 
 VIEWS["membership_log"] = """
-SELECT asset_id, 'T' || CAST(asset_id % 90 AS VARCHAR) AS ticker, date, action FROM (
+SELECT asset_id, 'T' || CAST(asset_id // 100 * 90 + asset_id % 100 % 90 AS VARCHAR) AS ticker, date, action FROM (
   SELECT asset_id, snapshot_date AS date,
          CASE WHEN q = (SELECT max(q) FROM rosters) THEN 'current' ELSE 'historical' END AS action FROM rosters
   UNION ALL

@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tempora.session import materialise
+
 
 def _day(column) -> F.Column:
     return F.datediff(column, F.lit("1970-01-01").cast("date"))
@@ -20,6 +22,11 @@ def _cents(name: str):
     return F.round(F.col(name) * 100).cast("long")
 
 
+def ticker(asset):
+    """One ticker per asset, but of every hundred assets the last ten reuse those of the first ten."""
+    return F.concat(F.lit("T"), (F.floor(asset / 100) * 90 + asset % 100 % 90).cast("string"))
+
+
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -30,8 +37,8 @@ class Views:
 
     @cached_property
     def daily(self) -> DataFrame:
-        """lineitem per (asset, day); the only aggregation of the big table."""
-        return (
+        """lineitem per (asset, day); the only aggregation of the big table, done once for all that read it."""
+        return materialise(
             self.table("lineitem")
             .groupBy(F.col("l_suppkey").alias("asset_id"), F.to_date("l_shipdate").alias("dt"))
             .agg(
@@ -50,7 +57,7 @@ class Views:
         close = F.round(F.lit(50.0) + F.lit(5.0) * F.col("disc") / F.col("n") + F.lit(2.5) * F.col("tax") / F.col("n"), 6)
         return self.daily.withColumn("close", close).select(
             "asset_id",
-            F.concat(F.lit("T"), (F.col("asset_id") % 90).cast("string")).alias("ticker"),
+            ticker(F.col("asset_id")).alias("ticker"),
             "dt",
             (F.col("close") * (F.lit(1.0) + F.lit(0.001) * (F.col("n") - 1))).alias("open"),
             (F.col("close") * F.lit(1.01)).alias("high"),
@@ -68,7 +75,7 @@ class Views:
     def dividends(self) -> DataFrame:
         return self.daily.filter(F.col("has_r") & (F.col("n") >= 2)).select(
             "asset_id",
-            F.concat(F.lit("T"), (F.col("asset_id") % 90).cast("string")).alias("ticker"),
+            ticker(F.col("asset_id")).alias("ticker"),
             F.col("dt").alias("ex_date"),
             F.round(F.lit(0.01) + F.lit(0.005) * F.col("max_tax"), 6).alias("amount_per_share"),
         )
@@ -105,7 +112,7 @@ class Views:
         )
         other = other.select(
             "asset_id",
-            F.concat(F.lit("T"), (F.col("asset_id") % 90).cast("string")).alias("ticker"),
+            ticker(F.col("asset_id")).alias("ticker"),
             F.col("dt").alias("date"),
             F.col("e.action").alias("action"),
             F.col("e.value").alias("value"),
@@ -124,13 +131,13 @@ class Views:
         span = self.daily.groupBy("asset_id").agg(F.min("dt").alias("lo"), F.max("dt").alias("hi"))
         return span.select(
             a.alias("permaticker"),
-            F.concat(F.lit("T"), (a % 90).cast("string")).alias("ticker"),
+            ticker(a).alias("ticker"),
             F.when(a % 5 == 0, "Y").otherwise("N").alias("isdelisted"),
             F.when(a % 37 == 36, F.lit(None).cast("date"))
-            .when((a >= 90) & (a % 2 == 1), late)
+            .when((a % 100 >= 90) & (a % 2 == 1), late)
             .otherwise(F.col("lo"))
             .alias("firstpricedate"),
-            F.when((a < 10) & (a % 2 == 1), F.date_sub(late, 1))
+            F.when((a % 100 < 10) & (a % 2 == 1), F.date_sub(late, 1))
             .when(a % 5 == 0, F.col("hi"))
             .otherwise(F.lit(None).cast("date"))
             .alias("lastpricedate"),
@@ -140,11 +147,11 @@ class Views:
     def filings(self) -> DataFrame:
         o = self.table("orders").withColumn("d", F.to_date("o_orderdate"))
         pr = F.substring("o_orderpriority", 1, 1)
-        asset = F.col("o_custkey") % 100
+        asset = F.col("o_custkey") % self.table("lineitem").agg(F.max("l_suppkey") + 1).scalar()
         key = F.col("o_orderkey")
         return o.select(
             asset.alias("asset_id"),
-            F.concat(F.lit("T"), (asset % 90).cast("string")).alias("ticker"),
+            ticker(asset).alias("ticker"),
             F.when(pr.isin("1", "2"), "ARQ").when(pr == "3", "ART").when(pr == "4", "ARY").otherwise("MRQ").alias("dimension"),
             F.last_day("d").alias("calendardate"),
             F.when(key % 50 == 0, F.lit(None).cast("date")).otherwise(F.date_add("d", 45)).alias("datekey"),
@@ -162,13 +169,14 @@ class Views:
 
     @cached_property
     def rosters(self) -> DataFrame:
-        """(q, snapshot_date, asset_id): the 40 largest volumes of each quarter."""
+        """(q, snapshot_date, asset_id): the half of each quarter's assets with the larger volumes."""
         q = F.year("dt") * 4 + F.quarter("dt")
         ends = self.calendar.groupBy(q.alias("q")).agg(F.max("dt").alias("snapshot_date"))
         traded = self.daily.groupBy(q.alias("q"), "asset_id").agg(F.sum("volume").alias("v"))
         top = Window.partitionBy("q").orderBy(F.col("v").desc(), F.col("asset_id"))
-        kept = traded.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= 40).drop("r", "v")
-        return kept.join(ends, "q").select("q", "snapshot_date", "asset_id")
+        all_of = F.count(F.lit(1)).over(Window.partitionBy("q"))
+        kept = traded.select("q", "asset_id", F.row_number().over(top).alias("r"), all_of.alias("n")).filter(2 * F.col("r") <= F.col("n") + 1).drop("r", "n")
+        return materialise(kept.join(ends, "q").select("q", "snapshot_date", "asset_id"))
 
     @cached_property
     def membership(self) -> DataFrame:
@@ -200,7 +208,7 @@ class Views:
             F.when(F.col("q") != last_q, "historical").otherwise("current").alias("action"),
         )
         return snaps.unionByName(events).select(
-            "asset_id", F.concat(F.lit("T"), (F.col("asset_id") % 90).cast("string")).alias("ticker"), "date", "action"
+            "asset_id", ticker(F.col("asset_id")).alias("ticker"), "date", "action"
         )
 
     @cached_property

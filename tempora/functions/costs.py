@@ -19,10 +19,12 @@ def impact_bps(shares: Column, sigma: Column, adv: Column, theta: Column, *, eta
     """(permanent, temporary) impact in basis points; zero for zero shares.
 
     Parameters may be numbers or columns, so a scenario can carry its own values.
+    Without a positive volume both are NULL.
     """
     q = F.abs(shares)
-    part = q / adv
-    permanent = F.lit(0.5) * _c(gamma) * sigma * part * F.pow(theta / adv, F.lit(0.25)) * BPS
+    traded = adv > 0
+    part = F.when(traded, q / adv)
+    permanent = F.lit(0.5) * _c(gamma) * sigma * part * F.pow(F.when(traded, theta / adv), F.lit(0.25)) * BPS
     temporary = _c(eta) * sigma * F.pow(part, _c(beta)) * BPS
     return F.when(q == 0, 0.0).otherwise(permanent), F.when(q == 0, 0.0).otherwise(temporary)
 

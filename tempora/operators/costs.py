@@ -48,6 +48,7 @@ def price_fills(
         F.when(F.col("__c").isNull(), "no_bar")
         .when(K.fill_status(model, F.col("__p")) != "ok", K.fill_status(model, F.col("__p")))
         .when(~zero & F.col("sigma_d").isNull(), "no_market_state")
+        .when(~zero & ~F.coalesce(F.col("v_d") > 0, F.lit(False)), "bad_market_state")
         .otherwise("ok")
     )
     perm, temp = K.impact_bps(F.col("shares"), F.col("sigma_d"), F.col("v_d"), F.col("theta"), eta=eta, beta=beta, gamma=gamma)
@@ -93,7 +94,7 @@ def cumulative_impact(fills: DataFrame, *, keys: Sequence[str] = ("asset_id",))
 def adjust_prices(bars: DataFrame, impact: DataFrame, *, keys: Sequence[str] = ("asset_id",), price: str = "closeunadj") -> DataFrame:
     """Bars with `adjusted_price` = raw price + impact registered up to that day."""
     right = impact.select(*keys, F.col("dt").alias("__d"), "impact_after")
-    hit = asof_join(bars, right, by=list(keys), left_ts="dt", right_ts="__d", payload=["impact_after"], left_unique=True, right_unique=True)
+    hit = asof_join(bars, right, by=list(keys), left_ts="dt", right_ts="__d", payload=["impact_after"], right_unique=True)
     return hit.withColumn("adjusted_price", F.col(price) + F.coalesce("impact_after", F.lit(0.0))).drop("impact_after")
 
 
@@ -140,7 +141,7 @@ def estimate_vs_fill(fills: DataFrame, bars: DataFrame, *, keys: Sequence[str] =
     keys = list(keys)
     px = with_prior_close(bars, keys=keys, close=close)
     ref = F.coalesce("prior_close", "open")
-    drift = ((F.col("open") + F.col(close)) / 2 - ref) / ref * K.BPS
+    drift = F.when(ref != 0, ((F.col("open") + F.col(close)) / 2 - ref) / ref * K.BPS)
     mids = px.select(*keys, "dt", drift.alias("mid_drift_bps"))
     realised = K.total_bps(F.col("slippage_bps"), F.col("temporary_impact_bps"), F.col("permanent_impact_bps"))
     out = fills.filter(F.col("status") == "ok").join(mids, keys + ["dt"]).withColumn("fill_bps", realised)

@@ -118,10 +118,11 @@ def dq_cv_inputs(obs: DataFrame, *, groups: int, keys: Sequence[str] = ()) -> Da
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("dt").isNull(), 1)).alias("null_dt"),
         F.count(F.when(F.col("label_end").isNull(), 1)).alias("null_label_end"),
         F.count(F.when(F.col("label_end") < F.col("dt"), 1)).alias("horizon_before_dt"),
+        F.count_distinct("dt").alias("n_dt"), F.count("dt").alias("with_dt"),
     )
     labels = [
         ("null_dt", F.col("null_dt") > 0), ("null_label_end", F.col("null_label_end") > 0),
-        ("horizon_before_dt", F.col("horizon_before_dt") > 0), ("too_few", F.col("n") < groups),
+        ("horizon_before_dt", F.col("horizon_before_dt") > 0), ("repeated_dt", F.col("n_dt") < F.col("with_dt")), ("too_few", F.col("n") < groups),
     ]
     found = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in labels]), lambda x: x.isNotNull())
     return agg.select(*keys, F.explode(found).alias("problem"))
@@ -148,7 +149,7 @@ def segments_of(curves: DataFrame, folds: DataFrame, *, keys: Sequence[str] = ("
 
 def _seams(segments: DataFrame, by: Sequence[str]) -> DataFrame:
     return segments.groupBy(*by, "group").agg(
-        F.min_by("nav", "dt").alias("__first"), (F.max_by("nav", "dt") / F.min_by("nav", "dt")).alias("__growth"),
+        F.min_by("nav", "dt").alias("__first"), F.try_divide(F.max_by("nav", "dt"), F.min_by("nav", "dt")).alias("__growth"),
         F.min("dt").alias("__from"), F.max("dt").alias("__to"),
     )
 
@@ -164,7 +165,7 @@ def stitch_paths(segments: DataFrame, paths: DataFrame, *, keys: Sequence[str] =
     cells = _seams(segments, seam_by).join(paths, at)
     level = running(
         cells, keys=keys + ["path"], order=["group"], exprs={"__l": ("product", "__growth")}, exclusive=True
-    ).select(*keys, "path", *at, (F.lit(float(capital)) * F.coalesce("__l", F.lit(1.0)) / F.col("__first")).alias("__scale"))
+    ).select(*keys, "path", *at, (F.lit(float(capital)) * F.coalesce("__l", F.lit(1.0)) / F.nullif(F.col("__first"), F.lit(0.0))).alias("__scale"))
     return segments.join(level, keys + at).select(*keys, "path", "group", "dt", (F.col("nav") * F.col("__scale")).alias("nav"))
 
 

@@ -24,9 +24,14 @@ def curve_returns(curves: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame
     return out.filter(F.col("r").isNotNull())
 
 
-def sharpe(returns: DataFrame, *, keys: Sequence[str] = KEYS, flat_is_zero: bool = False) -> DataFrame:
-    """mean / sample deviation per period; status too_short or flat otherwise."""
+def sharpe(returns: DataFrame, *, keys: Sequence[str] = KEYS, flat_is_zero: bool = False, curves: DataFrame | None = None) -> DataFrame:
+    """mean / sample deviation per period; status too_short or flat otherwise.
+
+    A curve of one bar has no return; with `curves` it gets its too_short row.
+    """
     agg = returns.groupBy(*keys).agg(F.count("r").alias("n"), F.avg("r").alias("mean_r"), F.stddev_samp("r").alias("std_r"))
+    if curves is not None:
+        agg = curves.select(*keys).distinct().join(agg, list(keys), "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     status = F.when(F.col("n") < 2, "too_short").when(F.col("std_r") == 0, "flat").otherwise("ok")
     ratio = F.when(F.col("status") == "ok", F.col("mean_r") / F.col("std_r"))
     out = agg.withColumn("status", status)
@@ -41,7 +46,7 @@ def moments(returns: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame:
 def underwater(curves: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame:
     """Curves with the running peak and the relative distance below it."""
     peaked = running(curves, keys=list(keys), order=["dt"], exprs={"peak": ("max", "nav")}, block=auto_block(curves, "dt"))
-    return peaked.withColumn("drawdown", (F.col("nav") - F.col("peak")) / F.col("peak"))
+    return peaked.withColumn("drawdown", F.when(F.col("peak") != 0, (F.col("nav") - F.col("peak")) / F.col("peak")))
 
 
 def max_drawdown(curves: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -91,8 +96,14 @@ def growth(curves: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
+def relative_change(first: str, last: str) -> Column:
+    """last / first - 1, NULL for a zero start."""
+    return F.when(F.col(first) != 0, F.col(last) / F.col(first) - 1.0)
+
+
 def annual_growth(first: Column, last: Column, n_bars: Column, periods_per_year: int) -> Column:
-    return F.pow(last / first, F.lit(float(periods_per_year)) / (n_bars - 1)) - 1.0
+    """NULL for a curve of one bar or one that does not start above zero."""
+    return F.when((first > 0) & (n_bars > 1), F.pow(last / first, F.lit(float(periods_per_year)) / (n_bars - 1)) - 1.0)
 
 
 # Fixed value: bars a Calmar ratio needs.
@@ -134,17 +145,16 @@ def longest_runs(returns: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame
 
 
 def by_year(curves: DataFrame, *, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Last over first value of each calendar year (years stand alone)."""
-    return curves.groupBy(*keys, F.year("dt").alias("year")).agg(
-        (F.max_by("nav", "dt") / F.min_by("nav", "dt") - 1.0).alias("year_return")
-    )
+    """Last over first value of each calendar year (years stand alone); NULL where the first is zero."""
+    ends = curves.groupBy(*keys, F.year("dt").alias("year")).agg(F.max_by("nav", "dt").alias("__l"), F.min_by("nav", "dt").alias("__f"))
+    return ends.select(*keys, "year", relative_change("__f", "__l").alias("year_return"))
 
 
 def performance(curves: DataFrame, *, keys: Sequence[str] = KEYS, periods_per_year: int = 252) -> DataFrame:
     keys = list(keys)
-    g = growth(curves, keys=keys).join(sharpe(curve_returns(curves, keys=keys), keys=keys).select(*keys, "std_r"), keys)
+    g = growth(curves, keys=keys).join(sharpe(curve_returns(curves, keys=keys), keys=keys).select(*keys, "std_r"), keys, "left")
     return g.select(
-        *keys, (F.col("last_nav") / F.col("first_nav") - 1.0).alias("total_return"),
+        *keys, relative_change("first_nav", "last_nav").alias("total_return"),
         annual_growth(F.col("first_nav"), F.col("last_nav"), F.col("n_bars"), periods_per_year).alias("annualized_return"),
         (F.col("std_r") * F.sqrt(F.lit(float(periods_per_year)))).alias("annualized_volatility"),
     )
@@ -196,7 +206,7 @@ def scorecard(
         F.min_by("nav", "dt").alias("first_nav"), F.max_by("nav", "dt").alias("last_nav"),
         F.avg("r").alias("mean_r"), F.stddev_samp("r").alias("std_r"), F.skewness("r").alias("gamma_3"),
         (F.kurtosis("r") + 3.0).alias("gamma_4"),
-        F.min((F.col("nav") - F.col("__peak")) / F.col("__peak")).alias("__dd"),
+        F.min(F.when(F.col("__peak") != 0, (F.col("nav") - F.col("__peak")) / F.col("__peak"))).alias("__dd"),
     )
     streaks = scan.filter(F.col("r").isNotNull()).groupBy(*keys, "__srun").agg(F.count(F.lit(1)).alias("l"), F.max("__sign").alias("s")).groupBy(*keys).agg(
         F.coalesce(F.max(F.when(F.col("s") > 0, F.col("l"))), F.lit(0)).alias("longest_win"),
@@ -209,7 +219,9 @@ def scorecard(
         F.min_by(F.struct("bars", "end", "peak", "trough"), F.struct((-F.col("bars")).alias("b"), "start")).alias("w")
     )
     out = general.join(streaks, keys, "left").join(wet, keys, "left")
-    status = F.when(F.col("n") < 2, "too_short").when(F.col("std_r") == 0, "flat").otherwise("ok")
+    status = (
+        F.when(F.col("n") < 2, "too_short").when(F.col("first_nav") <= 0, "non_positive_start").when(F.col("std_r") == 0, "flat").otherwise("ok")
+    )
     out = out.withColumn("status", status).withColumn("sr_hat", F.when(F.col("status") == "ok", F.col("mean_r") / F.col("std_r")))
     if trials is not None:
         out = out.join(trials.select(*keys, "n_trials", "v_sr"), keys, "left")
@@ -218,7 +230,7 @@ def scorecard(
         out = sharpe_inference(out, sr_star=sr_star, alpha=alpha)
     return out.select(
         *keys, "status", "n_bars", "start_dt", "end_dt",
-        (F.col("last_nav") / F.col("first_nav") - 1.0).alias("total_return"),
+        relative_change("first_nav", "last_nav").alias("total_return"),
         annual_growth(F.col("first_nav"), F.col("last_nav"), F.col("n_bars"), periods_per_year).alias("annualized_return"),
         (F.col("std_r") * F.sqrt(F.lit(float(periods_per_year)))).alias("annualized_volatility"),
         (-F.col("__dd") + 0.0).alias("max_drawdown"),

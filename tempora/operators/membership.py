@@ -33,7 +33,7 @@ def _snapshot_of(dates: DataFrame, membership: DataFrame, at: str) -> DataFrame:
     # Distinct days on both sides: the scan without a key is bounded by the calendar.
     hit = asof_join(
         asked, snaps.select(F.col("snapshot_date").alias("__s"), "snapshot_date"), by=[], left_ts=at, right_ts="__s",
-        payload=["snapshot_date"], left_unique=True, right_unique=True,
+        payload=["snapshot_date"], right_unique=True,
     )
     return hit.filter(F.col("snapshot_date").isNotNull())
 

@@ -32,19 +32,21 @@ def top_quantile(scores: DataFrame, *, q: int = 5, keys: Sequence[str] = ("dt",)
     """The best max(1, ceil(n/q)) names of each date, equally weighted.
 
     Order is score descending, asset ascending; a large date is ranked in slices.
+    Names without a score (NULL or NaN) are neither chosen nor counted.
     """
     if q < 1:
         raise ValueError(f"q must be >= 1, got {q}")
     keys = list(keys)
-    rows = scores.select(*keys, asset, "score", (-F.col("score")).alias("__neg"))
+    scored = scores.filter(F.col("score").isNotNull() & ~F.isnan(F.col("score").cast("double")))
+    rows = scored.select(*keys, asset, "score", (-F.col("score")).alias("__neg"))
     placed = ranked(rows, keys=keys, order=["__neg", asset], out="__rank", size="__n")
     keep = F.ceil(F.col("__n") / q)
     return placed.filter(F.col("__rank") <= keep).select(*keys, asset, "score", (1.0 / keep).alias("weight"))
 
 
 def renormalize(weights: DataFrame, bars: DataFrame, *, keys: Sequence[str] = (), at: str = "dt", price: str = "closeunadj") -> DataFrame:
-    """Drops names without a price that day and rescales the rest; a zero sum gives no rows."""
-    px = bars.filter(F.col(price).isNotNull()).select("asset_id", F.col("dt").alias(at), F.col(price).alias("price"))
+    """Drops names without a positive price that day and rescales the rest; a zero sum gives no rows."""
+    px = bars.filter(F.col(price) > 0).select("asset_id", F.col("dt").alias(at), F.col(price).alias("price"))
     live = weights.join(px, ["asset_id", at])
     sums = live.groupBy(*keys, at).agg(F.sum("weight").alias("__sum")).filter(F.col("__sum") != 0)
     return live.join(sums, [*keys, at]).select(*keys, at, "asset_id", "price", (F.col("weight") / F.col("__sum")).alias("weight"))
@@ -216,6 +218,7 @@ def costed_nav_path(
     mark_impact: bool = True,
     grid: tuple[str, Sequence[float]] | None = None,
     tolerance: float = 1e-12,
+    strict: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(opening, relative) of curves that pay impact and commission at each rebalance.
 
@@ -229,7 +232,8 @@ def costed_nav_path(
 
     `grid` = (name, values) adds a scenario key; cost parameters may refer to it as
     F.col(name).  Holding-period values do not depend on it and are computed once.
-    A trade without a market state on its day pays commission only.
+    A trade without a usable market state on its day pays commission only; opening counts
+    such trades in n_unquoted, and `strict` makes the first of them an error.
 
     `impact_on_prices` fills at prices moved by all earlier permanent impact; targets are
     still sized on raw prices.  Daily marks then include the impact (a constant per
@@ -280,7 +284,12 @@ def costed_nav_path(
             + K.per_share_commission(F.col("shares"), commission_per_share)
             + K.notional_commission(F.col("shares") * F.col("fill_price"), commission_bps)
         )
+        unquoted = (F.col("shares") != 0) & perm.isNull()
+        if strict:
+            named = F.concat(F.lit("no market state: asset "), F.col("asset_id").cast("string"), F.lit(" on "), F.col("dt").cast("string"))
+            unquoted = F.when(unquoted, F.raise_error(named).cast("boolean")).otherwise(F.lit(False))
         costs = priced.groupBy(*keys, "period").agg(
+            F.sum(unquoted.cast("long")).alias("n_unquoted"),
             (F.sum(paid) / F.max("nav_open")).alias("cost_share"), F.max("nav_open").alias("__old"),
             F.sum(F.coalesce("unit_shares", F.lit(0.0)) * F.col("nav_open") * F.col("impact_after")).alias("marked"),
         )
@@ -302,7 +311,7 @@ def _nav_path(chain: DataFrame, keys: Sequence[str], capital: float) -> DataFram
     path = running(chain, keys=keys, order=["period"], exprs={"__g": ("product", step)}, exclusive=True)
     path = path.withColumn("nav_open", F.lit(float(capital)) * F.coalesce("__g", F.lit(1.0)))
     path = path.withColumn("cost", F.coalesce("cost_share", F.lit(0.0)) * F.col("nav_open"))
-    kept = [c for c in ("__old", "marked") if c in path.columns]
+    kept = [c for c in ("__old", "marked", "n_unquoted") if c in path.columns]
     return running(path, keys=keys, order=["period"], exprs={"nav_before": ("lag", "nav_open")}).select(
         *keys, "period", "nav_open", "nav_before", "cost", *kept
     )

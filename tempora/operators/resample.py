@@ -81,7 +81,7 @@ def block_length(acf: DataFrame, *, keys: Sequence[str]) -> DataFrame:
 def hashed_uniform(seed: int, *parts: Column) -> Column:
     """Uniform in [0, 1) from md5, the same whatever the layout of the data."""
     text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def stationary_bootstrap(

@@ -157,7 +157,7 @@ def split_ratio_on_bars(bars: DataFrame, splits: DataFrame, *, keys: Sequence[st
     daily = splits.groupBy(*keys, "ex_date").agg(F.product("ratio").alias("ratio"))
     moved = asof_join(
         daily, bars.select(*keys, "dt", F.col("dt").alias("bar_dt")), by=keys, left_ts="ex_date", right_ts="dt",
-        payload=["bar_dt"], direction="forward", left_unique=True, right_unique=True,
+        payload=["bar_dt"], direction="forward", right_unique=True,
     )
     return moved.filter(F.col("bar_dt").isNotNull()).groupBy(*keys, F.col("bar_dt").alias("dt")).agg(
         F.product("ratio").alias("ratio")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempora.plans.ranks import attach
+
 
 def with_scenarios(df: DataFrame, param: str, values: Sequence[float]) -> DataFrame:
     """Every row once per parameter value, with `scenario_no` in grid order.
@@ -27,14 +29,7 @@ def sensitivity_band(
     keys = list(keys)
     middle = summary.filter(F.col(param) == F.lit(float(central))).groupBy(*keys).agg(F.max("final_pnl").alias("central_pnl"))
     bounds = summary.groupBy(*keys).agg(F.min("final_pnl").alias("min_pnl"), F.max("final_pnl").alias("max_pnl"))
-    if keys:
-        joined = summary.join(middle, keys, "left").join(bounds, keys)
-    else:
-        one = F.lit(1)
-        joined = (
-            summary.withColumn("__one", one).join(middle.withColumn("__one", one), "__one", "left")
-            .join(bounds.withColumn("__one", one), "__one").drop("__one")
-        )
+    joined = attach(attach(summary, middle, keys), bounds, keys)
     delta = (F.col("final_pnl") - F.col("central_pnl")) / F.lit(float(capital)) * 10_000.0
     return joined.select(*keys, param, "final_pnl", delta.alias("delta_bps_vs_central"), "min_pnl", "max_pnl")
 

@@ -41,7 +41,7 @@ def cohort_returns(
     )
     return named.join(grown, ["asset_id", "pit_date", "as_of"], "left").select(
         "pit_date", "as_of", "cohort", "asset_id",
-        F.when((F.col("__s") == "ok") & (F.col("__n") >= 2), F.col("__all") / F.col("__first")).alias("terminal_tr"),
+        F.when((F.col("__s") == "ok") & (F.col("__n") >= 2), F.try_divide("__all", "__first")).alias("terminal_tr"),
     )
 
 

@@ -1,10 +1,9 @@
 """As-of joins without a theta join.
 
-Both sides are reduced to one row per (key, time), unioned with a tag, and scanned
-once: the last payload at or before a request answers it.  The payload travels as
-one struct, so columns of one source row stay together and inner NULLs survive.
-The reduction runs with map-side combine, so copies of one request or fact never
-pile up in a task, and after it a key holds at most two rows per distinct time.
+Facts are reduced to one row per (key, time), with map-side combine, unioned with the
+requests under a tag, and scanned once: the last payload at or before a request
+answers it.  Payload and request travel as one struct each, so columns of one source
+row stay together, inner NULLs survive, and neither side is read a second time.
 """
 
 from __future__ import annotations
@@ -28,7 +27,6 @@ def asof_join(
     direction: str = "backward",
     inclusive: bool = True,
     tie_break: Sequence[str] = (),
-    left_unique: bool = False,
     right_unique: bool = False,
     block: Column | str | None = "auto",
     matched: str | None = None,
@@ -38,7 +36,7 @@ def asof_join(
     ``backward``: greatest right time <= (or <) the left time; ``forward``: the
     smallest >= (or >).  Ties on the right time go to the greatest `tie_break`.
     `matched` adds a boolean telling "no row" apart from "row with NULL fields".
-    `left_unique`/`right_unique` skip a reduction the caller knows is not needed.
+    `right_unique` skips a reduction the caller knows is not needed.
     """
     if direction not in ("backward", "forward"):
         raise ValueError(f"direction must be backward or forward, got {direction!r}")
@@ -54,28 +52,28 @@ def asof_join(
         ranked = F.struct(*[F.col(c).alias(f"t{i}") for i, c in enumerate(tie_break)], value.alias("v"))
         facts = facts.groupBy(*keys, F.col(right_ts).alias("__ts")).agg(F.max(ranked)["v"].alias("__value"))
 
-    asks = left.select(*keys, F.col(left_ts).alias("__ts"))
-    asks = asks.filter(F.col("__ts").isNotNull())
-    if not left_unique:
-        asks = asks.distinct()
+    asks = left.select(*keys, F.col(left_ts).alias("__ts"), F.struct(*[F.col(c).alias(c) for c in left.columns]).alias("__row"))
 
     # A request sees facts of its own instant only when the join is inclusive.  The
     # scan runs over (time, tag), reversed for forward joins.
     forward = direction == "forward"
     ask_tag = 1 if inclusive != forward else 0
-    stream = facts.withColumn("__tag", F.lit(1 - ask_tag)).unionByName(
+    stream = facts.select(*keys, "__ts", "__value", F.lit(None).cast(asks.schema["__row"].dataType).alias("__row"), F.lit(1 - ask_tag).alias("__tag"))
+    stream = stream.unionByName(
         asks.withColumn("__value", F.lit(None).cast(facts.schema["__value"].dataType)).withColumn("__tag", F.lit(ask_tag))
     )
     if isinstance(block, str):
-        block = auto_block(stream, "__ts") if keys else None
+        block = auto_block(stream, "__ts")
     scanned = running(
         stream, keys=keys, order=["__ts", "__tag"], exprs={"__hit": ("last", F.col("__value"))},
         block=block, descending=forward,
     ).filter(F.col("__tag") == ask_tag)
-    answers = scanned.select(*keys, "__ts", "__hit")
-
+    # A NULL key or time matches nothing.
+    known = F.col("__ts").isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    answers = scanned.select("__row", F.when(known, F.col("__hit")).alias("__hit"))
     extra = [F.col("__hit")[c].alias(c) for c in payload]
     if matched:
         extra.append(F.col("__hit").isNotNull().alias(matched))
-    renamed = answers.withColumnRenamed("__ts", left_ts)
-    return left.join(renamed, keys + [left_ts], "left").select(*left.columns, *extra)
+    return answers.select(*[F.col("__row")[c].alias(c) for c in left.columns], *extra)

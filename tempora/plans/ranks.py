@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.plans.running import running
+from tempora.session import materialise
 
 ROWS_PER_SLICE = 1 << 16
 SPLIT_ROWS = 1024
@@ -39,6 +40,7 @@ def with_slices(
     (keys, order): copies would share a slice.
     """
     keys, order = list(keys), list(order)
+    df = materialise(df)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(size))
     sized = attach(df, sizes, keys)
     point = F.struct(*[F.col(c) for c in order])

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tempora.session import materialise
+
 BLOCK = "__block"
 
 
@@ -116,7 +118,8 @@ def running(
     cut = list(keys) + [BLOCK]
     # Blocks must follow the scan direction, so a descending scan negates them.
     step = -block.cast("long") if descending else block.cast("long")
-    base = df.withColumn(BLOCK, step).repartition(*[F.col(c) for c in cut])
+    # Read twice below, so the input is worked out once.
+    base = materialise(df.withColumn(BLOCK, step))
     position = F.struct(*[F.col(c) for c in order])
     pick = (lambda v: F.min_by(v, F.when(v.isNotNull(), position))) if descending else (lambda v: _whole("last", v, position))
     summary = base.groupBy(*cut).agg(

@@ -23,17 +23,22 @@ def file_row_counts(spark: SparkSession, path: str) -> DataFrame:
 def fingerprint_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, bundle, file, sha256, size_bytes, row_count) of each hashable file below `path`.
 
-    One row per part file: `binaryFile` holds a whole file in a row, so a table is
-    hashed file by file and never as one object.  The bundle is the parent folder.
+    Below `path` lie bundles and in these files, or folders of part files; `file` is the path
+    inside the bundle.  If the files lie in `path` itself, it is the bundle.  One row per part
+    file, so a table is hashed file by file and never as one object.
     """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
         .filter(F.col("path").rlike(r"\.(parquet|xlsx|csv)$"))
     )
+    plain = F.regexp_replace("path", "^[a-z]+:/+", "/")
+    root = path if "://" not in path else "/" + path.split("://", 1)[1].lstrip("/")
+    inside = F.split(F.ltrim(F.substring(plain, F.lit(len(root.rstrip("/")) + 1), F.length("path")), F.lit("/")), "/")
+    top = F.when(F.size(inside) > 1, F.get(inside, 0)).otherwise(F.lit(root.rstrip("/").rsplit("/", 1)[-1]))
     hashed = files.select(
         F.col("path"),
-        F.element_at(F.split("path", "/"), -2).alias("bundle"),
-        F.element_at(F.split("path", "/"), -1).alias("file"),
+        top.alias("bundle"),
+        F.array_join(F.when(F.size(inside) > 1, F.slice(inside, 2, F.size(inside))).otherwise(inside), "/").alias("file"),
         F.sha2("content", 256).alias("sha256"),
         F.col("length").alias("size_bytes"),
     )
@@ -95,7 +100,7 @@ def validate_manifest(manifest: DataFrame) -> DataFrame:
 def available_tables(manifest: DataFrame) -> DataFrame:
     """(bundle, table) pairs a manifest declares."""
     return manifest.filter(F.col("file").endswith(".parquet")).select(
-        "bundle", F.regexp_replace("file", r"\.parquet$", "").alias("table")
+        "bundle", F.regexp_replace(F.split_part("file", F.lit("/"), F.lit(1)), r"\.parquet$", "").alias("table")
     ).distinct()
 
 

@@ -44,8 +44,9 @@ def test_restated_dimensions_are_refused(spark):
 
 def test_manifest_round_trip(spark, bundle, tmp_path):
     prints = M.fingerprint_files(spark, bundle)
+    assert {(r.bundle, r.file.split("/")[0]) for r in prints.collect()} == {("daily_2024-01-01", "sep.parquet")}
     path = str(tmp_path / "manifest")
-    M.write_manifest(prints.withColumn("bundle", F.lit("daily_2024-01-01")), path, pull_date="2024-01-01", source="vendor")
+    M.write_manifest(prints, path, pull_date="2024-01-01", source="vendor")
     M.write_manifest(prints.withColumn("bundle", F.lit("daily_2024-02-01")), path, pull_date="2024-02-01", source="vendor")
     M.write_manifest(prints.withColumn("bundle", F.lit("daily_2024-02-01")), path, pull_date="2024-02-02", source="vendor")
     manifest = spark.read.parquet(path)
@@ -53,7 +54,8 @@ def test_manifest_round_trip(spark, bundle, tmp_path):
     assert M.latest_bundle(manifest, "daily").first().bundle == "daily_2024-02-01"
     assert M.validate_manifest(manifest).count() == 0
     mine = manifest.filter("bundle = 'daily_2024-01-01'")
-    here = prints.withColumn("bundle", F.lit("daily_2024-01-01"))
+    here = prints
+    assert {tuple(r) for r in M.available_tables(mine).collect()} == {("daily_2024-01-01", "sep")}
     assert M.verify_bundle(here, mine).count() == 0
     changed = here.withColumn("sha256", F.lit("0" * 64))
     assert {r.violation for r in M.verify_bundle(changed, mine).collect()} == {"sha_mismatch"}
