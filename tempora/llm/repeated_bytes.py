@@ -184,9 +184,10 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     going = names.where("n_names > 1").select("at.*", (F.col("n") > 1).alias("many"))
     going = stage(going.groupBy("key").agg(F.collect_list(F.struct("p", "first", "last", "many")).alias("chunks")))
     touched = repeats.select("key").union(going.select("key")).distinct()
-    texts = stage(keyed.select("key", "text").join(touched, "key", "left_semi").dropDuplicates(["key"]))
+    # The joins with texts are merge joins at every size: what they are joined with grows with the input.
+    texts = stage(keyed.select("key", "text").join(touched.hint("merge"), "key", "left_semi").dropDuplicates(["key"]))
 
-    cell_rows = stage(cells(texts.join(going, "key"), length, cell))
+    cell_rows = stage(cells(texts.join(going.hint("merge"), "key"), length, cell))
     kinds = cell_rows.groupBy("inner", "o1", "o2").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("n"), F.min(F.struct("key", "p", "a", "b")).alias("at"))
     kinds = stage(kinds)
     open_cells = kinds.groupBy("inner").agg(F.count(F.lit(1)).alias("n_names")).where("n_names > 1")
@@ -194,12 +195,12 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     same_cells = stage(same_cells.select("key", (F.col("p") - F.col("b")).alias("first"), (F.col("p") - F.col("a")).alias("last")))
     rest = kinds.join(open_cells, "inner", "left_semi").select("at.*", (F.col("n") > 1).alias("many"))
     rest = rest.groupBy("key").agg(F.collect_list(F.struct("p", "a", "b", "many")).alias("cells"))
-    single = stage(windows(texts.join(rest, "key"), length))
+    single = stage(windows(texts.join(rest.hint("merge"), "key"), length))
     found = single.groupBy("f1", "f2").agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("n")).where("n > 1").select("f1", "f2")
     same_windows = single.where(~F.col("many")).join(found, ["f1", "f2"], "left_semi").select("key", F.col("start").alias("first"), F.col("start").alias("last"))
 
     spans = repeats.union(same_cells).union(same_windows).groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    done = cut(texts.join(spans, "key"), length)
+    done = cut(texts.join(spans.hint("merge"), "key"), length)
     out = rows.select("key", "doc_id", "n_bytes", "sha256").join(done, "key", "left")
     return out.select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
