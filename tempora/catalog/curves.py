@@ -202,6 +202,19 @@ def _(v):
     return C.scorecard(v.asset_curves, trials=trials)
 
 
+@query(
+    "scorecard_sections",
+    """SELECT c.curve_id, count(*) AS n_bars, arg_max(nav, dt) / arg_min(nav, dt) - 1 AS total_return, max(m.sr_hat) AS sr_hat, count(DISTINCT year(dt)) AS n_years
+       FROM asset_curves c JOIN curve_moments m ON m.curve_id = c.curve_id GROUP BY 1""",
+    "curve_id n_bars total_return:f sr_hat:f n_years",
+)
+def _(v):
+    nested = C.sections(C.scorecard(v.asset_curves), C.by_year(v.asset_curves))
+    return nested.select(
+        "curve_id", "general.n_bars", "performance.total_return", "risk_adjusted.sr_hat", F.size("attribution.by_year").cast("long").alias("n_years")
+    )
+
+
 @query(
     "nearest_rank_percentiles",
     """WITH s AS (SELECT curve_id, r, row_number() OVER (PARTITION BY curve_id ORDER BY r) AS rk, count(*) OVER (PARTITION BY curve_id) AS n FROM curve_returns)

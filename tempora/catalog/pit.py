@@ -38,6 +38,17 @@ def _(v):
     return out.select("asset_id", "asof_dt", "dt", "closeunadj")
 
 
+@query(
+    "pit_history",
+    """SELECT r.asset_id, r.dt AS asof_dt, count(b.dt) AS n_visible, min(b.dt) AS first_visible, max(b.dt) AS last_visible, CAST(sum(b.volume) AS BIGINT) AS sum_volume
+       FROM requests r LEFT JOIN bars b ON b.asset_id = r.asset_id AND b.dt < r.dt GROUP BY 1, 2""",
+    "asset_id asof_dt:d n_visible first_visible:d last_visible:d sum_volume",
+)
+def _(v):
+    asofs = v.requests.withColumnRenamed("dt", "asof_dt")
+    return P.visible_totals(v.bars, asofs, by=["asset_id"], sums=["volume"], available="dt", asof="asof_dt")
+
+
 @query(
     "pit_visible_at",
     "SELECT asset_id, dt, closeunadj FROM bars WHERE dt < DATE '1997-06-30'",
@@ -250,10 +261,9 @@ def _(v):
     return MB.membership_spells(v.membership)
 
 
-@query("ever_members", f"SELECT DISTINCT asset_id FROM ({_MEMBERS}) WHERE dt BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'")
+@query("ever_members", f"SELECT DISTINCT asset_id FROM ({_MEMBERS})")
 def _(v):
-    dates = v.month_ends.select("dt").filter(F.col("dt").between("1997-01-01", "1998-12-31"))
-    return MB.ever_members(dates, v.membership)
+    return MB.ever_members(v.month_ends.select("dt"), v.membership)
 
 
 @query(

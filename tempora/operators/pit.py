@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempora.plans.asof import asof_join
 from tempora.plans.intervals import interval_join
+from tempora.plans.running import auto_block, running
 
 
 def visible_at(df: DataFrame, asof: str, *, available: str = "available_dt", inclusive: bool = False) -> DataFrame:
@@ -39,6 +41,26 @@ def pit_slice(
     return out.drop("__from", "__to")
 
 
+def visible_totals(
+    df: DataFrame, asofs: DataFrame, *, by: Sequence[str], sums: Sequence[str], available: str = "available_dt", asof: str = "asof",
+    inclusive: bool = False,
+) -> DataFrame:
+    """Count, first and last date and sums of all rows each (key, as-of date) may see, however old.
+
+    Totals of every key and date are added up along the key once, and looked up.
+    """
+    keys = list(by)
+    daily = df.groupBy(*keys, F.col(available).alias("__day")).agg(F.count(F.lit(1)).alias("__rows"), *[F.sum(c).alias(c) for c in sums])
+    upto = running(
+        daily, keys=keys, order=["__day"], block=auto_block(daily, "__day"),
+        exprs={"__n": ("sum", "__rows"), "first_visible": ("min", F.col("__day")), **{f"sum_{c}": ("sum", c) for c in sums}},
+    )
+    upto = upto.select(*keys, "__day", F.col("__n").alias("n_visible"), "first_visible", F.col("__day").alias("last_visible"), *[f"sum_{c}" for c in sums])
+    payload = ["n_visible", "first_visible", "last_visible", *[f"sum_{c}" for c in sums]]
+    out = asof_join(asofs, upto, by=keys, left_ts=asof, right_ts="__day", payload=payload, inclusive=inclusive, right_unique=True)
+    return out.withColumn("n_visible", F.coalesce("n_visible", F.lit(0).cast("long")))
+
+
 def lookahead_violations(df: DataFrame, *, available: str, asof: str, context: str, period_end: str | None = None) -> DataFrame:
     """Rows read before they were observable (equal dates are allowed), with a message."""
     parts = [F.lit(f"lookahead leak in {context}: available="), F.col(available).cast("string"), F.lit(" > asof="), F.col(asof).cast("string")]

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tempora.operators.identity import resolve_ticker
 from tempora.operators.membership import members_at
 from tempora.operators.returns import multipliers
+from tempora.plans.asof import asof_join
+from tempora.plans.running import running
 
 
 def cohort_returns(
@@ -32,16 +34,18 @@ def cohort_returns(
     listed = resolve_ticker(members.select("asset_id", "pit_date").distinct(), securities, at="pit_date")
     named = members.join(listed.select("asset_id", "pit_date", F.col("status").alias("__s")), ["asset_id", "pit_date"])
     held = named.filter(F.col("__s") == "ok").select("asset_id", "pit_date", "as_of").distinct()
-    # Growth factors are computed once per bar; a window leaves out its first one.
-    factors = multipliers(bars, dividends, keys=["asset_id"]).join(held, "asset_id").filter(
-        F.col("dt").between(F.col("pit_date"), F.col("as_of"))
-    )
-    grown = factors.groupBy("asset_id", "pit_date", "as_of").agg(
-        F.product("multiplier").alias("__all"), F.min_by("multiplier", "dt").alias("__first"), F.count(F.lit(1)).alias("__n")
-    )
+    # One growth index per asset; a window is the index at its last bar over that at its first.
+    factors = multipliers(bars, dividends, keys=["asset_id"])
+    index = running(factors, keys=["asset_id"], order=["dt"], exprs={"__i": ("product", "multiplier"), "__k": ("count", F.lit(1))})
+    ends = {}
+    for side in ("first", "last"):
+        ends[side] = index.select("asset_id", F.col("dt").alias("__dt"), F.col("__i").alias(f"__i_{side}"), F.col("__k").alias(f"__k_{side}"))
+    grown = asof_join(held, ends["first"], by=["asset_id"], left_ts="pit_date", right_ts="__dt", payload=["__i_first", "__k_first"], direction="forward", right_unique=True)
+    grown = asof_join(grown, ends["last"], by=["asset_id"], left_ts="as_of", right_ts="__dt", payload=["__i_last", "__k_last"], right_unique=True)
+    grown = grown.select("asset_id", "pit_date", "as_of", F.try_divide("__i_last", "__i_first").alias("__growth"), (F.col("__k_last") - F.col("__k_first") + 1).alias("__n"))
     return named.join(grown, ["asset_id", "pit_date", "as_of"], "left").select(
         "pit_date", "as_of", "cohort", "asset_id",
-        F.when((F.col("__s") == "ok") & (F.col("__n") >= 2), F.try_divide("__all", "__first")).alias("terminal_tr"),
+        F.when((F.col("__s") == "ok") & (F.col("__n") >= 2), F.col("__growth")).alias("terminal_tr"),
     )
 
 

@@ -1,27 +1,23 @@
 """Exact ranks and order statistics without collecting or ordering a whole group.
 
 `percentile_disc` keeps every distinct value of a group in one task, and a row_number
-over a group orders it in one task.  Here a large group is first cut into slices at
-split points taken from a bounded, hash-chosen set of its own rows; the slices are
-scanned on their own and chained by the two-level running scan.  Split points depend
-on the data only (no random numbers, no arrival order), so a recomputed task cuts the
-same way, and they never change a result: they only decide which task sees a row.
+over a group orders it in one task.  Here the whole table is dealt out by ranges of
+(keys, order), as many as there are shuffle partitions, so a large group spans several
+and none is larger than its share; the ranges are written with their number, scanned
+on their own and chained by the two-level running scan.  Where the cuts lie never
+changes a result: it only decides which task sees a row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.plans.running import running
 from tempora.session import materialise
 
-ROWS_PER_SLICE = 1 << 16
-SPLIT_ROWS = 1024
-MAX_SLICES = 256
-
 
 def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join of one row per key; without keys, the one row's values as scalar subqueries."""
@@ -30,38 +26,27 @@ def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.select("*", *[per_key.select(c).scalar().alias(c) for c in per_key.columns])
 
 
-def with_slices(
-    df: DataFrame, *, keys: Sequence[str], order: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE,
-    out: str = "__slice", size: str = "__size",
-) -> DataFrame:
+def with_slices(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], slices: int | None = None, out: str = "__slice", size: str = "__size") -> DataFrame:
     """Adds the group size and a slice number that grows with `order` inside each key.
 
-    Groups of up to `rows_per_slice` rows keep one slice.  Rows must be distinct in
-    (keys, order): copies would share a slice.
+    Rows must be distinct in (keys, order): copies would share a slice.
     """
-    keys, order = list(keys), list(order)
-    df = materialise(df)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(size))
-    sized = attach(df, sizes, keys)
-    point = F.struct(*[F.col(c) for c in order])
-    step = F.greatest(F.lit(1), F.floor(F.col(size) / SPLIT_ROWS)).cast("long")
-    chosen = sized.filter((F.col(size) > rows_per_slice) & (F.pmod(F.xxhash64(*order), step) == 0))
-    picks = chosen.groupBy(*keys).agg(F.array_sort(F.collect_set(point)).alias("__all"), F.max(size).alias("__s"))
-    wanted = F.least(F.lit(MAX_SLICES), F.ceil(F.col("__s") / rows_per_slice)).cast("int")
-    at = F.transform(F.sequence(F.lit(1), wanted - 1), lambda i: F.get("__all", F.floor(F.size("__all") * i / wanted).cast("int")))
-    marks = picks.select(*keys, F.filter(at, lambda m: m.isNotNull()).alias("__marks"))
-    number = F.size(F.filter("__marks", lambda m: m < point))
-    return attach(sized, marks, keys).select(
-        *df.columns, size, F.when(F.col("__marks").isNull(), 0).otherwise(number).cast("long").alias(out)
-    )
-
-
-def ranked(
-    df: DataFrame, *, keys: Sequence[str], order: Sequence[str], out: str = "rank", size: str = "n",
-    rows_per_slice: int = ROWS_PER_SLICE,
-) -> DataFrame:
+    keys = list(keys)
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = materialise(df.repartitionByRange(n, *keys, *order).withColumn(out, F.spark_partition_id().cast("long")))
+    parts = cut.groupBy(*keys, out).agg(F.count(F.lit(1)).alias("__in_slice"))
+    # A key has as many of these rows as it has slices.
+    sized = parts.withColumn(size, F.sum("__in_slice").over(Window.partitionBy(*keys))).drop("__in_slice")
+    left, right = cut.alias("l"), sized.alias("r")
+    match = F.lit(True)
+    for c in [*keys, out]:
+        match = match & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return left.join(right, match).select(*[F.col(f"l.{c}").alias(c) for c in df.columns], F.col(f"r.{size}").alias(size), F.col(f"l.{out}").alias(out))
+
+
+def ranked(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], out: str = "rank", size: str = "n", slices: int | None = None) -> DataFrame:
     """row_number per key by ascending `order` (distinct per key), and the group size."""
-    cut = with_slices(df, keys=keys, order=order, rows_per_slice=rows_per_slice, size=size)
+    cut = with_slices(df, keys=keys, order=order, slices=slices, size=size)
     return running(cut, keys=keys, order=order, exprs={out: ("count", F.lit(1))}, block=F.col("__slice")).drop("__slice")
 
 
@@ -73,7 +58,7 @@ def kth_smallest(
     value: str,
     k: str = "k",
     out: str = "value_at_k",
-    rows_per_slice: int = ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """`wanted` (keys, k and any labels) plus the k-th smallest `value` of the key.
 
@@ -82,7 +67,7 @@ def kth_smallest(
     """
     keys = list(keys)
     weight = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__w"))
-    cut = with_slices(weight, keys=keys, order=[value], rows_per_slice=rows_per_slice)
+    cut = with_slices(weight, keys=keys, order=[value], slices=slices)
     upto = running(cut, keys=keys, order=[value], exprs={"__upto": ("sum", "__w")}, block=F.col("__slice"))
     asked = wanted.select(*keys, k).distinct()
     hit = upto.join(asked, keys).filter((F.col(k) <= F.col("__upto")) & (F.col(k) > F.col("__upto") - F.col("__w")))

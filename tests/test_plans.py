@@ -116,12 +116,12 @@ def test_ranks_in_slices_are_exact(spark):
     rng = random.Random(9)
     rows = [(0, rng.choice([1.0, 2.0, rng.random()]), i) for i in range(5000)] + [(1, float(i % 3), i) for i in range(40)]
     df = spark.createDataFrame(rows, "k int, v double, i int").repartition(5)
-    got = {(r.k, r.i): r["rank"] for r in ranked(df, keys=["k"], order=["v", "i"], rows_per_slice=100).collect()}
+    got = {(r.k, r.i): r["rank"] for r in ranked(df, keys=["k"], order=["v", "i"], slices=50).collect()}
     for k in (0, 1):
         order = sorted((v, i) for kk, v, i in rows if kk == k)
         assert all(got[(k, i)] == n for n, (_, i) in enumerate(order, 1))
     ks = spark.createDataFrame([(0, 1), (0, 2500), (0, 5000), (1, 20), (1, 41)], "k int, q bigint")
-    out = {(r.k, r.q): r.value_at_k for r in kth_smallest(df, ks, keys=["k"], value="v", k="q", rows_per_slice=100).collect()}
+    out = {(r.k, r.q): r.value_at_k for r in kth_smallest(df, ks, keys=["k"], value="v", k="q", slices=50).collect()}
     vals = sorted(v for k, v, _ in rows if k == 0)
     assert [out[(0, q)] for q in (1, 2500, 5000)] == [vals[0], vals[2499], vals[4999]]
     assert out[(1, 20)] == 1.0 and out[(1, 41)] is None
@@ -131,7 +131,7 @@ def test_slices_split_a_hot_group(spark):
     from tempora.plans.ranks import with_slices
 
     df = spark.range(20000).select(F.lit(0).alias("k"), (F.col("id") % 7).cast("double").alias("v"), F.col("id").alias("i"))
-    sizes = [r["count"] for r in with_slices(df, keys=["k"], order=["v", "i"], rows_per_slice=1000).groupBy("__slice").count().collect()]
+    sizes = [r["count"] for r in with_slices(df, keys=["k"], order=["v", "i"], slices=20).groupBy("__slice").count().collect()]
     assert len(sizes) >= 15 and max(sizes) < 3000
 
 
