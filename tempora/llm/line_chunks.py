@@ -46,8 +46,9 @@ def dedup_line_chunks(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
     found = stage(d.select("doc_id", "row", F.explode(hashed).alias("c")).select("doc_id", "row", "c.*").distinct())
     repeated = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     suspects = stage(found.join(repeated, "h", "left_semi").groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "last", "h")).alias("cs")))
-    # The bytes of suspected chunks only; the chunks of one document are few.
-    s = suspects.withColumnsRenamed({"doc_id": "__d", "row": "__r"})
+    # The bytes of suspected chunks only; the chunks of one document are few.  Joins with texts are
+    # merge joins at every size, as what they are joined with grows with the input.
+    s = suspects.withColumnsRenamed({"doc_id": "__d", "row": "__r"}).hint("merge")
     texts = docs.select("doc_id", "text", row.alias("row")).join(s, (F.col("row") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__d")))
     each = texts.select("doc_id", "row", lines.alias("lines"), "cs").select("doc_id", "row", F.explode(F.transform("cs", lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last"), c["h"].alias("h"), text_of(F.col("lines"), c["first"], c["last"]).alias("body")))).alias("c"))
     each = each.select("doc_id", "row", "c.*").where(F.col("body").rlike(r"[^\x20\x09-\x0D]"))
@@ -55,7 +56,7 @@ def dedup_line_chunks(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
     copies = each.groupBy("h", "body").agg(F.min(at).alias("keeps"), F.max(at).alias("last_one")).where(~F.col("keeps").eqNullSafe(F.col("last_one"))).drop("last_one")
     gone = each.join(copies, ["h", "body"]).where(~at.eqNullSafe(F.col("keeps"))).select("doc_id", "row", "first", "last").distinct()
     gone = stage(gone.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "last")).alias("gone")).withColumnsRenamed({"doc_id": "__d", "row": "__r"}))
-    out = docs.select("doc_id", "text", row.alias("row")).join(gone, (F.col("row") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left")
+    out = docs.select("doc_id", "text", row.alias("row")).join(gone.hint("merge"), (F.col("row") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left")
     out = out.select("doc_id", "text", lines.alias("lines"), F.coalesce("gone", F.array().cast("array<struct<first:int,last:int>>")).alias("gone"))
     out = out.select("doc_id", "text", "lines", "gone", chunks(F.col("lines"), spread).alias("chunks"))
     left = F.filter("chunks", lambda c: ~F.array_contains("gone", F.struct(c["first"].alias("first"), c["last"].alias("last"))))
