@@ -3,9 +3,10 @@
 The vertices are distinct shingle sets, so exact copies never form pairs.  Every shingle hash
 falls into one of ``bands * rows`` bins and the least of a bin is its MinHash; an empty bin
 borrows from the first full one along a fixed random order of the bins (optimal densification).
-A bucket is a band's key; each of its members is compared with the least member only, on the
-full sets.  Members that differ from it are dealt again to finer buckets, by the key of one more
-band, until no bucket has two of them, so no bucket is compared pair by pair.
+A bucket is a band's key; each of its members is compared with a hub, on the full sets, and those
+outside the hub's component with a further hub, as long as that links any.  Members of one bucket
+that are then in different components are compared by size and by parity sketches, which bound
+the similarity from above, and on the full sets if these allow it.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from tempora.llm.components import roots
 
 BANDS, ROWS, SHINGLE, PERCENT = 40, 8, 5, 85
 SEED = 20240501
+#: Members of a bucket that are compared as one block.
+SLICE = 512
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -117,27 +120,105 @@ def confirmed(pairs: DataFrame, docs: DataFrame, vertices: DataFrame, size: int,
     return both.where(100 * common >= percent * union).select("vid", "hub")
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the set's counts by low hash bits; two sets differ in as many elements as parities at least."""
+    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    return np.packbits((np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def sketches_of(docs: DataFrame, size: int) -> DataFrame:
+    """vid, n_shingles, sketch of the documents with a non-empty set."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [s for s in (shingle_set(text, size) for text in batch["text"]) if len(s)]
+            yield pd.DataFrame({"vid": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "n_shingles": [len(s) for s in sets], "sketch": [sketch(s) for s in sets]})
+
+    return docs.select("text").mapInPandas(work, "vid binary, n_shingles long, sketch binary")
+
+
+def possible(n: np.ndarray, label: np.ndarray, part: np.ndarray, sketches: list[bytes], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of differing label and part (any part if there is one) that size and sketch do not refute."""
+    width = np.array([len(s) for s in sketches])
+    one = (part == part[0]).all()
+    held = {w: np.stack([np.frombuffer(sketches[i], np.uint64) for i in np.flatnonzero(width == w)]) for w in np.unique(width)}
+    for w in held:
+        mine, own = np.flatnonzero(width == w), held[w]
+        for v in (v for v in held if v >= w):
+            theirs, folded = np.flatnonzero(width == v), held[v]
+            while folded.shape[1] > own.shape[1]:
+                half = folded.shape[1] // 2
+                folded = folded[:, :half] ^ folded[:, half:]
+            for at, i in enumerate(mine):
+                fit = (label[theirs] != label[i]) & (100 * np.minimum(n[theirs], n[i]) >= percent * np.maximum(n[theirs], n[i]))
+                fit &= (theirs > i if v == w else True) & (one or part[theirs] != part[i])
+                if fit.any():
+                    both, apart = n[theirs[fit]] + n[i], np.bitwise_count(folded[fit] ^ own[at]).sum(axis=1).astype(np.int64)
+                    for j in theirs[fit][100 * (both - apart) >= percent * (both + apart)]:
+                        yield i, j
+
+
+def unlinked(members: DataFrame, tree: DataFrame, docs: DataFrame, vertices: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (vid, hub) of one bucket and two components that may be similar.
+
+    A bucket is cut into slices, and two slices at a time are compared, so no task has a whole large one.
+    """
+    m = labelled(members.select("band", "key", "vid"), tree, "vid", "label")
+    mixed = m.groupBy("band", "key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count(F.lit(1)).alias("n")).where("l != m")
+    rest = stage(m.join(mixed.select("band", "key", F.ceil(F.col("n") / SLICE).cast("int").alias("slices")), ["band", "key"]))
+    ids = rest.select("vid").distinct()
+    texts = docs.select("doc_id", "text").join(vertices.join(ids, "vid", "left_semi").select("doc_id"), "doc_id", "left_semi")
+    sketches = stage(sketches_of(texts, size).groupBy("vid").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")).join(ids, "vid", "left_semi"))
+    cut = rest.withColumn("part", F.pmod(F.xxhash64("vid"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    cut = cut.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("slices", "other")
+
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        vid = group["vid"].to_numpy()
+        found = list(possible(group["n_shingles"].to_numpy(), pd.factorize(group["label"])[0], group["part"].to_numpy(), list(group["sketch"]), percent))
+        return pd.DataFrame([(vid[i], vid[j]) if vid[i] > vid[j] else (vid[j], vid[i]) for i, j in found], columns=["vid", "hub"])
+
+    return cut.join(sketches, "vid").groupBy("band", "key", "low", "high").applyInPandas(work, "vid binary, hub binary").distinct()
+
+
+def labelled(df: DataFrame, tree: DataFrame, of: str, name: str) -> DataFrame:
+    """``df`` with the component of the vertex in column ``of``."""
+    known = tree.select(F.col("a").alias("__a"), F.col("b").alias("__b"))
+    return df.join(known, F.col(of) == F.col("__a"), "left").withColumn(name, F.coalesce("__b", of)).drop("__a", "__b")
+
+
 def near_links(docs: DataFrame, vertices: DataFrame, bands: int, size: int, percent: int) -> DataFrame:
-    """Confirmed star edges (vid, hub) between distinct sets."""
+    """Confirmed edges (vid, hub) between distinct sets: any two that share a band are linked, refuted or connected by others."""
     members = vertices.select("vid", "n_shingles", F.posexplode("keys").alias("band", "key"))
+    crowds = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = stage(members.join(crowds, ["band", "key"]))
+    # The hub is the member that meets the most others in all bands: an original before its copies.
+    weight = members.groupBy("vid").agg(F.sum("n").alias("weight"))
+    members = members.drop("n").join(weight, "vid")
     done = links = stage(vertices.select("vid", F.col("vid").alias("hub")).limit(0))
-    step = 0
+    tree, first = links.select(F.col("vid").alias("a"), F.col("hub").alias("b")), None
     while True:
-        hubs = members.groupBy("band", "key").agg(F.min(F.struct("vid", "n_shingles")).alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        hubs = members.groupBy("band", "key").agg(F.max(F.struct("weight", "vid", "n_shingles")).alias("hub"))
         stars = members.join(hubs, ["band", "key"]).where(F.col("vid") != F.col("hub.vid"))
-        stars = stage(stars.select("band", "key", "vid", "n_shingles", F.col("hub.vid").alias("hub"), F.col("hub.n_shingles").alias("m")))
-        if stars.isEmpty():
-            return links
+        stars = stage(stars.select("band", "key", "vid", "n_shingles", "weight", F.col("hub.vid").alias("hub"), F.col("hub.n_shingles").alias("m")))
+        first = first or stars
         pairs = stars.where(100 * F.least("n_shingles", "m") >= percent * F.greatest("n_shingles", "m")).select("vid", "hub").distinct()
         pairs = stage(pairs.join(done, ["vid", "hub"], "left_anti"))
-        if not pairs.isEmpty():
-            links = links.union(stage(confirmed(pairs, docs, vertices, size, percent)))
-            done = done.union(pairs)
-        # Members unlike their hub meet again, without it, where one more band agrees.
-        step += 1
-        rest = stars.join(links, ["vid", "hub"], "left_anti").join(vertices.select("vid", "keys"), "vid")
-        again = F.xxhash64("key", F.element_at("keys", F.pmod(F.col("band") + step, F.lit(bands)) + 1))
-        members = rest.select("vid", "n_shingles", "band", again.alias("key"))
+        if pairs.isEmpty():
+            break
+        found = stage(confirmed(pairs, docs, vertices, size, percent))
+        done = done.union(pairs)
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        tree = roots(links.select(F.col("vid").alias("a"), F.col("hub").alias("b")))
+        # Members outside the hub's component get a hub of their own.
+        apart = labelled(labelled(stars, tree, "vid", "label"), tree, "hub", "hub_label").where("label != hub_label")
+        members = stage(apart.select("band", "key", "vid", "n_shingles", "weight"))
+    # What stars leave open: every bucket's first hub has met all of it, its other members meet here.
+    pairs = stage(unlinked(first, tree, docs, vertices, size, percent))
+    back = done.select(F.col("vid").alias("hub"), F.col("hub").alias("vid"))
+    pairs = stage(pairs.join(done.unionByName(back), ["vid", "hub"], "left_anti"))
+    return links if pairs.isEmpty() else links.union(stage(confirmed(pairs, docs, vertices, size, percent)))
 
 
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -8,12 +8,14 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tempora.llm import queries
+from tempora.llm import near_duplicates, queries
 from tempora.llm.decontamination import decontaminate
 from tempora.llm.line_chunks import SPREAD, chunks, dedup_line_chunks
+from tempora.llm.near_duplicates import shingle_set
 from tempora.llm.pseudonyms import digits_of, feistel, kind_of, pseudonym, pseudonymise, refill
 from tempora.llm.quality import binomial_at_most
 from tempora.llm.repeated_bytes import remove_repeated_bytes
@@ -92,6 +94,45 @@ def test_reparameterised_questions_are_caught(spark):
     assert {r.doc_id for r in got if r.contaminated} >= {1, 2} and not {4, 6, 3} & {r.doc_id for r in got if r.contaminated}
 
 
+def jaccard_components(rows, percent):
+    """Every document's least connected doc_id, by comparing all pairs."""
+    sets, root = {i: set(shingle_set(t, 5).tolist()) for i, t in rows}, {i: i for i, _ in rows}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and root[i] != root[j] and 100 * len(a & b) >= percent * len(a | b):
+                root = {k: min(root[i], root[j]) if r in (root[i], root[j]) else r for k, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("length", [512, 40])
+def test_an_original_links_its_light_edits(spark, monkeypatch, length):
+    monkeypatch.setattr(near_duplicates, "SLICE", length)
+    rng, rows = random.Random(11), []
+    for family in range(3):
+        base = [f"w{rng.randint(0, 9999)}" for _ in range(404)]
+        for k in range(150):
+            copy = list(base)
+            for at in rng.sample(range(404), 0 if k == 77 else 4 if k < 130 else 9):  # J of 0.905 to the original, or below the threshold
+                copy[at] = f"new{rng.random()}"
+            rows.append((1000 * family + k, " ".join(copy)))
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = jaccard_components(rows, 85)
+    assert {r.doc_id: r.component_id for r in got} == want and max(Counter(want.values()).values()) >= 130
+
+
+def test_sketches_refute_no_similar_pair():
+    rng = random.Random(12)
+    sets = []
+    for n in (1, 5, 30, 31, 33, 250, 260, 2000):
+        base = [rng.getrandbits(64) for _ in range(n)]
+        sets += [np.unique(np.array([x if rng.random() < keep else rng.getrandbits(64) for x in base[: rng.randint((9 * n + 9) // 10, n)]], np.uint64)) for keep in (1, 1, 0.97, 0.93, 0.9, 0.8)]
+    n = np.array([len(s) for s in sets])
+    for percent in (40, 80, 85):
+        got = {tuple(sorted(p)) for p in near_duplicates.possible(n, np.arange(len(n)), np.zeros(len(n)), [near_duplicates.sketch(s) for s in sets], percent)}
+        want = {(i, j) for j in range(len(n)) for i in range(j) if 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= percent * (n[i] + n[j] - c)}
+        assert want <= {(int(i), int(j)) for i, j in got} and want
+
+
 def test_line_chunks_against_a_loop(spark):
     rng = random.Random(3)
     lines = [f"line number {i} says {rng.random()}" for i in range(40)]
