@@ -18,6 +18,10 @@ from tempora.llm.quality import quality_rules
 from tempora.llm.sharding import shard
 
 
+#: Similarity of near duplicates; at 6 MinHashes a band, links of just 0.80 share none of the 40 bands 5 times in a million.
+NEAR_PERCENT, NEAR_ROWS = 80, 6
+
+
 def keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows whose doc_id is among ``ids``."""
     ids = ids.select(F.col("doc_id").alias("__kept")).distinct()
@@ -32,7 +36,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of every group of near duplicates."""
-    return keep(docs, near_duplicates(docs).where("kept"))
+    return keep(docs, near_duplicates(docs, rows=NEAR_ROWS, percent=NEAR_PERCENT).where("kept"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tempora.llm import near_duplicates, queries
 from tempora.llm.decontamination import decontaminate
 from tempora.llm.line_chunks import SPREAD, chunks, dedup_line_chunks
@@ -120,6 +121,13 @@ def test_an_original_links_its_light_edits(spark, monkeypatch, length):
     assert {r.doc_id: r.component_id for r in got} == want and max(Counter(want.values()).values()) >= 130
 
 
+def test_pipeline_drops_near_copies_from_80_percent(spark):
+    words = [f"w{i}" for i in range(104)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:94], *(f"x{i}" for i in range(10))])), (3, " ".join([*words[:90], *(f"y{i}" for i in range(14))]))]  # 90 of 110, 86 of 114
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, SF).collect()) == [1, 3]
+
+
 def test_sketches_refute_no_similar_pair():
     rng = random.Random(12)
     sets = []
