@@ -289,6 +289,8 @@ def _(v):
 SMALL = 10_000.0
 COST = """(SELECT sum(abs(q) * px * 0.142e0 * {eta} * coalesce(sigma_d, 0) * power(abs(q) / coalesce(v_d, 1), 0.6e0) + abs(q) * 0.005e0) FROM (
    SELECT coalesce(t.u, 0) * {now} - coalesce(t.b, 0) * {before} AS q, t.px, t.sigma_d, t.v_d FROM tr t WHERE t.curve_id = {curve} AND t.period = {period}))"""
+UNQUOTED = """(SELECT count(*) FROM tr t WHERE t.curve_id = {curve} AND t.period = {period} AND t.sigma_d IS NULL
+   AND coalesce(t.u, 0) * {now} - coalesce(t.b, 0) * {before} <> 0)"""
 COSTED_PARTS = f"""{VALUE},
  g AS MATERIALIZED (SELECT p.curve_id, p.period, r.rel AS growth FROM per p LEFT JOIN rel r ON r.curve_id = p.curve_id AND r.period = p.period AND r.dt = p.nx),
  u AS MATERIALIZED (SELECT w.curve_id, p.period, w.asset_id, weight / p0 AS u FROM w JOIN per p ON p.curve_id = w.curve_id AND p.s = w.dt),
@@ -299,11 +301,12 @@ COSTED_PARTS = f"""{VALUE},
 
 
 def costed_sql(select: str, eta: str = "e.eta / 0.142e0", grid: str = "(SELECT unnest([0.142e0]) AS eta)") -> str:
-    first = COST.format(eta=eta, now="1e4", before="0", curve="p.curve_id", period="1")
-    nxt = COST.format(eta="x.eta / 0.142e0", now="x.nav", before="x.nav_prev", curve="x.curve_id", period="x.period")
+    start = {"now": "1e4", "before": "0", "curve": "p.curve_id", "period": "1"}
+    follow = {"now": "x.nav", "before": "x.nav_prev", "curve": "x.curve_id", "period": "x.period"}
+    first, nxt = COST.format(eta=eta, **start), COST.format(eta="x.eta / 0.142e0", **follow)
     return f"""WITH RECURSIVE {COSTED_PARTS},
- walk AS (SELECT p.curve_id, e.eta, CAST(1 AS BIGINT) AS period, 1e4 AS nav, CAST(0 AS DOUBLE) AS nav_prev, {first} AS cost FROM per p CROSS JOIN {grid} e WHERE p.period = 1
-   UNION ALL SELECT x.curve_id, x.eta, x.period, x.nav, x.nav_prev, {nxt} AS cost FROM (
+ walk AS (SELECT p.curve_id, e.eta, CAST(1 AS BIGINT) AS period, 1e4 AS nav, CAST(0 AS DOUBLE) AS nav_prev, {first} AS cost, {UNQUOTED.format(**start)} AS n_unquoted FROM per p CROSS JOIN {grid} e WHERE p.period = 1
+   UNION ALL SELECT x.curve_id, x.eta, x.period, x.nav, x.nav_prev, {nxt} AS cost, {UNQUOTED.format(**follow)} AS n_unquoted FROM (
      SELECT k.curve_id, k.eta, k.period + 1 AS period, k.nav * g.growth - k.cost AS nav, k.nav AS nav_prev FROM walk k JOIN g ON g.curve_id = k.curve_id AND g.period = k.period
      WHERE g.growth IS NOT NULL) x)
 {select}"""
@@ -314,9 +317,9 @@ STEP = {"commission_per_share": 0.005}
 
 @query(
     "portfolio_nav_costed",
-    costed_sql(f"""SELECT r.curve_id, r.dt, k.nav * rel - k.cost AS nav FROM rel r JOIN walk k ON k.curve_id = r.curve_id AND k.period = r.period
-       WHERE r.nx IS NULL OR r.dt < r.nx UNION ALL {CASH.replace("1e6", "1e4")}"""),
-    "curve_id dt:d nav:f", 4,
+    costed_sql(f"""SELECT r.curve_id, r.dt, k.nav * rel - k.cost AS nav, n_unquoted, CASE WHEN n_unquoted > 0 THEN 'no_market_state' ELSE 'ok' END AS status FROM rel r JOIN walk k ON k.curve_id = r.curve_id AND k.period = r.period
+       WHERE r.nx IS NULL OR r.dt < r.nx UNION ALL {CASH.replace("1e6 AS nav", "1e4 AS nav, 0, 'ok'")}"""),
+    "curve_id dt:d nav:f n_unquoted status", 4,
 )
 def _(v):
     return P.portfolio_nav_costed(curve_weights(v), v.bars, v.dividends, v.market_state, capital=SMALL, **STEP)

@@ -9,17 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.functions import costs as K
-from tempora.operators.costs import impact_feedback
 from tempora.operators.returns import dividends_per_day
 from tempora.operators.scenarios import with_scenarios
 from tempora.plans.asof import asof_join
 from tempora.plans.ranks import ranked
 from tempora.plans.running import running
-from tempora.session import cut_lineage
+from tempora.session import materialise
 
 
 def equal_weight(assets: DataFrame, *, keys: Sequence[str] = ("dt",)) -> DataFrame:
@@ -82,92 +81,92 @@ def rebalance_trades(targets: DataFrame, *, keys: Sequence[str] = ("curve_id",),
     )
 
 
-def periods_of(weights: DataFrame, *, keys: Sequence[str], at: str = "dt") -> DataFrame:
-    """(keys, period, start_dt, next_dt): one row per rebalance of a curve."""
-    keys = list(keys)
-    dates = weights.select(*keys, at).distinct()
-    counted = running(dates, keys=keys, order=[at], exprs={"period": ("count", F.lit(1))})
-    nxt = running(counted, keys=keys, order=[at], exprs={"next_dt": ("lag", F.col(at))}, descending=True)
-    return nxt.select(*keys, "period", F.col(at).alias("start_dt"), "next_dt")
+#: Trades of a curve that one step of the costed fold reads as an array; a longer history is folded range by range.
+TRADES = 1 << 18
 
 
-def _period_days(periods: DataFrame, bars: DataFrame) -> DataFrame:
-    """(start_dt, end_dt, dt): sessions each distinct holding period is valued on.
+class Book:
+    """What valuations read more than once, worked out once and written.
 
-    A period runs to the next rebalance, that date included; the last one runs to the
-    last session.  Days come from exploding the span, so nothing is joined on a range.
+    ``prices`` has every session from an asset's first bar on: (asset_id, dt, price, cum_div, fresh),
+    the last price and the dividends paid so far; ``fresh`` tells a bar of that day from a price that
+    is carried.  ``first`` has the names bought at a rebalance with p0 and d0, ``periods`` one row per
+    curve and rebalance: (keys, period, dt, next_dt, total weight).
     """
-    spans = periods.select("start_dt", "end_dt").distinct()
-    days = spans.select("start_dt", "end_dt", F.explode(F.sequence("start_dt", "end_dt")).alias("dt"))
-    return days.join(bars.select("dt").distinct(), "dt", "left_semi")
 
+    def __init__(self, weights: DataFrame, bars: DataFrame, dividends: DataFrame | None, keys: Sequence[str], price: str) -> None:
+        self.keys = list(keys)
+        self.sessions = materialise(bars.filter(F.col("dt").isNotNull()).select("dt").distinct())
+        self.begin, self.last = self.sessions.agg(F.min("dt"), F.max("dt")).first()
+        self.prices = materialise(dense_prices(bars, dividends, self.sessions, self.last, price=price))
+        bought = self.prices.filter("fresh and price > 0").select("asset_id", "dt", F.col("price").alias("p0"), F.col("cum_div").alias("d0"))
+        self.first = materialise(weights.select(*self.keys, "dt", "asset_id", "weight").join(bought, ["asset_id", "dt"]))
+        totals = self.first.groupBy(*self.keys, "dt").agg(F.sum("weight").alias("total")).filter(F.col("total") != 0)
+        # The rebalances of a curve are a calendar-sized list.
+        order = Window.partitionBy(*self.keys).orderBy("dt")
+        self.periods = materialise(totals.select("*", F.row_number().over(order).cast("long").alias("period"), F.lead("dt").over(order).alias("next_dt")))
+
+    def held(self) -> DataFrame:
+        """(keys, period, start_dt, next_dt, asset_id, weight, p0, d0): shares of a rebalance add up to 1."""
+        rows = self.first.join(self.periods, [*self.keys, "dt"])
+        return rows.select(
+            *self.keys, "period", F.col("dt").alias("start_dt"), "next_dt", "asset_id", (F.col("weight") / F.col("total")).alias("weight"), "p0", "d0"
+        )
 
-def holding_values(
-    weights: DataFrame,
-    bars: DataFrame,
-    dividends: DataFrame | None,
-    *,
-    keys: Sequence[str] = ("curve_id",),
-    price: str = "closeunadj",
-    on_missing: str = "carry",
-) -> tuple[DataFrame, DataFrame]:
-    """(relative, periods): value of each holding period per 1 of opening NAV.
 
-    `relative` has keys, period, start_dt, next_dt, dt and rel; the closing row of a
-    period lies on the next rebalance date.  `on_missing` decides what a held name
-    without a bar is worth: `carry` its last price, `skip` nothing.
+def dense_prices(bars: DataFrame, dividends: DataFrame | None, sessions: DataFrame, last, *, price: str) -> DataFrame:
+    """Bars filled forward over all sessions; see `Book`.
+
+    Dividends meet bars in one grouping by asset and day, and only those on a bar's day count.  A bar
+    stands for the days up to the next one, so filling is an explode and no second scan.
+    """
+    amount = F.lit(None).cast("double")
+    rows = bars.select("asset_id", "dt", F.col(price).cast("double").alias("price"), amount.alias("div"))
+    if dividends is not None:
+        rows = rows.unionByName(dividends.select("asset_id", F.col("ex_date").alias("dt"), amount.alias("price"), F.col("amount_per_share").cast("double").alias("div")))
+    # One exchange by asset serves the grouping and the window; an asset has a row per session at most.
+    days = rows.filter(F.col("dt").isNotNull()).repartition("asset_id").groupBy("asset_id", "dt").agg(F.max("price").alias("price"), F.sum("div").alias("div"))
+    order = Window.partitionBy("asset_id").orderBy("dt")
+    paid = F.sum(F.coalesce("div", F.lit(0.0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    days = days.filter(F.col("price").isNotNull()).select("asset_id", F.col("dt").alias("__bar"), "price", paid.alias("cum_div"), F.lead("dt").over(order).alias("__next"))
+    until = F.coalesce(F.date_sub("__next", 1), F.lit(last))
+    dense = days.select("asset_id", F.explode(F.sequence("__bar", until)).alias("dt"), "price", "cum_div", "__bar")
+    return dense.join(sessions, "dt", "left_semi").select("asset_id", "dt", "price", "cum_div", (F.col("dt") == F.col("__bar")).alias("fresh"))
+
+
+def relative_values(book: Book, *, on_missing: str = "carry") -> DataFrame:
+    """(keys, period, start_dt, next_dt, dt, rel): value of each holding period per 1 of opening NAV.
+
+    A period runs to the next rebalance, that date included; the last one runs to the last session.
+    `on_missing` decides what a held name without a bar is worth: `carry` its last price, `skip` nothing.
     """
     if on_missing not in ("carry", "skip"):
         raise ValueError("on_missing must be carry or skip")
-    keys = list(keys)
-    px = bars.select("asset_id", "dt", F.col(price).alias("price"))
-    live = renormalize(weights, bars, keys=keys, price=price)
-    last_session = bars.agg(F.max("dt")).scalar()
-    periods = periods_of(live, keys=keys).withColumn("end_dt", F.coalesce("next_dt", last_session))
-    if dividends is not None:
-        paid = dividends_per_day(dividends, ["asset_id"]).withColumnRenamed("ex_date", "dt")
-        state = px.join(paid, ["asset_id", "dt"], "left")
-    else:
-        state = px.withColumn("div", F.lit(0.0))
-    state = running(
-        state.withColumn("div", F.coalesce("div", F.lit(0.0))), keys=["asset_id"], order=["dt"], exprs={"cum_div": ("sum", "div")}
-    )
-    held = live.join(periods.withColumnRenamed("start_dt", "dt"), [*keys, "dt"]).select(
-        *keys, "period", F.col("dt").alias("start_dt"), "next_dt", "end_dt", "asset_id", "weight", F.col("price").alias("p0")
-    )
-    held = held.join(state.select("asset_id", F.col("dt").alias("start_dt"), F.col("cum_div").alias("d0")), ["asset_id", "start_dt"])
-    lines = held.join(_period_days(periods, bars), ["start_dt", "end_dt"])
-    if on_missing == "skip":
-        lines = lines.join(px, ["asset_id", "dt"], "left")
-    marked = asof_fill(lines, state)
+    lines = book.held().withColumn("dt", F.explode(F.sequence("start_dt", F.coalesce("next_dt", F.lit(book.last)))))
+    lines = lines.join(book.sessions, "dt", "left_semi").join(book.prices, ["asset_id", "dt"])
     # Dividends paid earlier in the period stay in cash even on a day without a price.
-    worth = F.col("price_upto") if on_missing == "carry" else F.coalesce("price", F.lit(0.0))
-    rel = F.col("weight") * (worth + F.col("cum_div_upto") - F.col("d0")) / F.col("p0")
-    relative = marked.groupBy(*keys, "period", "start_dt", "next_dt", "dt").agg(F.sum(rel).alias("rel"))
-    return relative, periods
+    worth = F.col("price") if on_missing == "carry" else F.when(F.col("fresh"), F.col("price")).otherwise(0.0)
+    rel = F.col("weight") * (worth + F.col("cum_div") - F.col("d0")) / F.col("p0")
+    return materialise(lines.groupBy(*book.keys, "period", "start_dt", "next_dt", "dt").agg(F.sum(rel).alias("rel")))
 
 
-def asof_fill(lines: DataFrame, state: DataFrame) -> DataFrame:
-    """Adds the asset's newest price and dividend total at or before each line's date."""
-    right = state.select("asset_id", F.col("dt").alias("__d"), F.col("price").alias("price_upto"), F.col("cum_div").alias("cum_div_upto"))
-    return asof_join(lines, right, by=["asset_id"], left_ts="dt", right_ts="__d", payload=["price_upto", "cum_div_upto"], right_unique=True)
+def _growth(book: Book, relative: DataFrame) -> DataFrame:
+    """(keys, period, start_dt, growth) of every rebalance; NULL growth for the last one."""
+    closing = relative.filter(F.col("dt") == F.col("next_dt")).select(*book.keys, "period", F.col("rel").alias("growth"))
+    return book.periods.join(closing, [*book.keys, "period"], "left").select(*book.keys, "period", F.col("dt").alias("start_dt"), "growth")
 
 
-def _expand(
-    relative: DataFrame, opening: DataFrame, starts: DataFrame, base: Sequence[str], keys: Sequence[str], capital: float,
-    bars: DataFrame,
-) -> DataFrame:
+def _expand(book: Book, relative: DataFrame, opening: DataFrame, keys: Sequence[str], capital: float) -> DataFrame:
     """Daily NAV from period values; before the first rebalance a curve is all cash."""
-    owned = relative.filter(F.col("next_dt").isNull() | (F.col("dt") < F.col("next_dt")))
-    nav = owned.drop("start_dt").join(opening, [*base, "period"]).select(
-        *keys, "dt", (F.col("nav_open") * F.col("rel") - F.col("cost") + F.coalesce("marked", F.lit(0.0))).alias("nav")
+    extra = [c for c in ("n_unquoted",) if c in opening.columns]
+    owned = relative.filter(F.col("next_dt").isNull() | (F.col("dt") < F.col("next_dt"))).drop("start_dt")
+    nav = owned.join(opening, [*book.keys, "period"]).select(
+        *keys, "dt", (F.col("nav_open") * F.col("rel") - F.col("cost") + F.col("marked")).alias("nav"), *extra
     )
-    firsts = starts.groupBy(*keys).agg(F.min("start_dt").alias("__first"))
-    begin = bars.agg(F.min("dt")).scalar()
-    early = firsts.filter(F.col("__first") > begin).select(
-        *keys, F.explode(F.sequence(begin, F.date_sub("__first", 1))).alias("dt")
+    early = opening.filter((F.col("period") == 1) & (F.col("start_dt") > F.lit(book.begin))).select(
+        *keys, F.explode(F.sequence(F.lit(book.begin), F.date_sub("start_dt", 1))).alias("dt")
     )
-    cash = early.join(bars.select("dt").distinct(), "dt", "left_semi").select(*keys, "dt", F.lit(float(capital)).alias("nav"))
+    cash = early.join(book.sessions, "dt", "left_semi").select(*keys, "dt", F.lit(float(capital)).alias("nav"), *[F.lit(0).cast("long").alias(c) for c in extra])
     return nav.unionByName(cash)
 
 
@@ -187,17 +186,37 @@ def portfolio_nav(
     reinvests the whole NAV, cash holds dividends until the next one, and names not
     selected again are sold there.
     """
-    keys = list(keys)
-    relative, periods = holding_values(weights, bars, dividends, keys=keys, price=price, on_missing=on_missing)
-    growth = relative.filter(F.col("dt") == F.col("next_dt")).select(*keys, "period", F.col("rel").alias("growth"))
-    chain = periods.join(growth, [*keys, "period"], "left")
-    opening = running(
-        chain, keys=keys, order=["period"], exprs={"__g": ("product", "growth")}, exclusive=True
-    ).select(
-        *keys, "period", "start_dt", (F.lit(float(capital)) * F.coalesce("__g", F.lit(1.0))).alias("nav_open"),
+    book = Book(weights, bars, dividends, keys, price)
+    relative = relative_values(book, on_missing=on_missing)
+    opening = running(_growth(book, relative), keys=book.keys, order=["period"], exprs={"__g": ("product", "growth")}, exclusive=True).select(
+        *book.keys, "period", "start_dt", (F.lit(float(capital)) * F.coalesce("__g", F.lit(1.0))).alias("nav_open"),
         F.lit(0.0).alias("cost"), F.lit(0.0).alias("marked"),
     )
-    return _expand(relative, opening, periods, keys, keys, capital, bars)
+    return _expand(book, relative, opening, book.keys, capital)
+
+
+def _trades(book: Book, market_state: DataFrame) -> DataFrame:
+    """(keys, period, n, trades): what a rebalance buys and gives up per unit of NAV, with price and market state of the day."""
+    held = book.held().withColumn("__unit", F.col("weight") / F.col("p0"))
+    nothing = F.lit(None).cast("double")
+    now = held.select(*book.keys, "period", F.col("start_dt").alias("dt"), "asset_id", F.col("__unit").alias("unit"), nothing.alias("before"))
+    sold = held.filter(F.col("next_dt").isNotNull()).select(
+        *book.keys, (F.col("period") + 1).alias("period"), F.col("next_dt").alias("dt"), "asset_id", nothing.alias("unit"), F.col("__unit").alias("before")
+    )
+    moves = now.unionByName(sold).groupBy(*book.keys, "period", "dt", "asset_id").agg(
+        F.coalesce(F.max("unit"), F.lit(0.0)).alias("unit"), F.coalesce(F.max("before"), F.lit(0.0)).alias("before")
+    )
+    quoted = moves.join(book.prices.select("asset_id", "dt", "price"), ["asset_id", "dt"], "left").join(
+        market_state.select("asset_id", "dt", "sigma_d", "v_d", "theta"), ["asset_id", "dt"], "left"
+    )
+    line = F.struct("asset_id", "dt", "unit", "before", "price", "sigma_d", "v_d", "theta")
+    # A rebalance has one line per name at most.
+    return quoted.groupBy(*book.keys, "period").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(line)).alias("trades"))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def costed_nav_path(
@@ -217,18 +236,17 @@ def costed_nav_path(
     impact_on_prices: bool = False,
     mark_impact: bool = True,
     grid: tuple[str, Sequence[float]] | None = None,
-    tolerance: float = 1e-12,
     strict: bool = False,
-) -> tuple[DataFrame, DataFrame]:
-    """(opening, relative) of curves that pay impact and commission at each rebalance.
+    trades_per_range: int = TRADES,
+) -> tuple[DataFrame, DataFrame, Book]:
+    """(opening, relative, book) of curves that pay impact and commission at each rebalance.
 
     Opening values obey nav[k+1] = nav[k] x growth[k] - cost[k](nav[k], nav[k-1]): the
     cost of a rebalance is a sum over assets of a nonlinear function of two numbers.
-    Instead of walking the rebalances, every round prices all of them at once from the
-    last guess of the nav path and chains growth - cost/nav into the next guess.
-    Round r is exact for the first r rebalances, so it ends after at most their
-    number; costs being basis points, a handful of rounds reach 1e-12.  The guess has
-    one row per curve and rebalance and is checkpointed every round.  Runs actions.
+    A curve's rebalances are one array, its trades arrays within, and one fold over it
+    carries the two numbers, so the number of jobs does not depend on the rebalances.  A curve of more
+    than `trades_per_range` trades is cut into ranges of rebalances, each folded from the state the
+    range before left.  Runs actions.
 
     `grid` = (name, values) adds a scenario key; cost parameters may refer to it as
     F.col(name).  Holding-period values do not depend on it and are computed once.
@@ -239,92 +257,98 @@ def costed_nav_path(
     still sized on raw prices.  Daily marks then include the impact (a constant per
     period, since it only moves at rebalances) unless `mark_impact` is off.
     """
-    keys = list(keys)
-    relative, periods = holding_values(weights, bars, dividends, keys=keys, price=price)
-    growth = relative.filter(F.col("dt") == F.col("next_dt")).select(*keys, "period", F.col("rel").alias("growth"))
-    chain = cut_lineage(periods.join(growth, [*keys, "period"], "left").select(*keys, "period", "start_dt", "growth"))
-    # per unit of opening NAV: shares bought, with the market state of the day
-    live = renormalize(weights, bars, keys=keys, price=price)
-    unit = live.join(periods.select(*keys, "period", F.col("start_dt").alias("dt")), [*keys, "dt"]).select(
-        *keys, "period", "asset_id", (F.col("weight") / F.col("price")).alias("unit_shares")
-    )
-    sold = unit.select(*keys, (F.col("period") + 1).alias("period"), "asset_id", F.col("unit_shares").alias("unit_before"))
-    moves = unit.join(sold, [*keys, "period", "asset_id"], "full_outer")
-    dated = moves.join(periods.select(*keys, "period", F.col("start_dt").alias("dt")), [*keys, "period"])
-    quoted = asof_fill(dated, bars.select("asset_id", "dt", F.col(price).alias("price"), F.lit(0.0).alias("cum_div")))
-    trades = cut_lineage(
-        quoted.join(market_state.select("asset_id", "dt", "sigma_d", "v_d", "theta"), ["asset_id", "dt"], "left").select(
-            *quoted.columns, "sigma_d", "v_d", "theta"
-        )
-    )
+    book = Book(weights, bars, dividends, keys, price)
+    relative = relative_values(book)
+    base = book.keys
+    steps = _growth(book, relative).join(_trades(book, market_state), [*base, "period"])
+    so_far = F.sum("n").over(Window.partitionBy(*base).orderBy("period").rowsBetween(Window.unboundedPreceding, -1))
+    steps = steps.withColumn("range", F.floor(F.coalesce(so_far, F.lit(0)) / trades_per_range).cast("int"))
+    curves = steps.groupBy(*base, "range").agg(F.sort_array(F.collect_list(F.struct("period", "start_dt", "growth", "trades"))).alias("steps"))
+    full = list(base)
     if grid is not None:
-        chain, trades = (with_scenarios(t, *grid).drop("scenario_no") for t in (chain, trades))
-        keys = [*keys, grid[0]]
-    guess = cut_lineage(_nav_path(chain.withColumn("cost_share", F.lit(0.0)), keys, capital))
-    # Causality makes the path exact after one round per rebalance, so this is a bound.
-    rounds = chain.agg(F.max("period")).first()[0] or 0
-    for _ in range(int(rounds) + 1):
-        rows = trades.join(guess.select(*keys, "period", "nav_open", "nav_before"), [*keys, "period"])
-        qty = F.coalesce("unit_shares", F.lit(0.0)) * F.col("nav_open") - F.coalesce("unit_before", F.lit(0.0)) * F.coalesce(
-            "nav_before", F.lit(0.0)
-        )
-        rows = rows.withColumn("shares", qty).withColumn("arrival", F.col("price_upto"))
-        perm, temp = K.impact_bps(F.col("shares"), F.col("sigma_d"), F.col("v_d"), F.col("theta"), eta=eta, beta=beta, gamma=gamma)
-        priced = rows.withColumn("temporary_impact_bps", F.coalesce(temp, F.lit(0.0))).withColumn(
-            "permanent_impact_bps", F.coalesce(perm, F.lit(0.0))
-        )
-        if impact_on_prices:
-            priced = impact_feedback(priced, keys=[*keys, "asset_id"])
-        else:
-            priced = priced.withColumn("impact_after", F.lit(0.0)).withColumn(
-                "fill_price", F.col("arrival") * (1.0 + F.signum("shares") * F.col("temporary_impact_bps") / K.BPS)
+        full = [*base, grid[0]]
+        # Scenarios of one curve go to different tasks.
+        curves = with_scenarios(curves, *grid).drop("scenario_no").repartition(*full)
+    curves = materialise(curves)
+    register = f"map<{dict(bars.dtypes)['asset_id']},double>"
+    line = "array<struct<period:bigint,start_dt:date,nav_open:double,nav_before:double,cost:double,marked:double,n_unquoted:bigint>>"
+    fresh = [F.lit(float(capital)).alias("now"), F.lit(None).cast("double").alias("before"), F.create_map().cast(register).alias("moved"), F.array().cast(line).alias("path")]
+
+    def step(state: Column, x: Column) -> Column:
+        def shares(t: Column) -> Column:
+            return F.struct(
+                t["asset_id"].alias("asset_id"), t["dt"].alias("dt"), (t["unit"] * state["now"]).alias("held"),
+                (t["unit"] * state["now"] - t["before"] * F.coalesce(state["before"], F.lit(0.0))).alias("q"), t["price"].alias("price"),
+                t["sigma_d"].alias("sigma_d"), t["v_d"].alias("v_d"), t["theta"].alias("theta"),
+                (F.coalesce(state["moved"][t["asset_id"]], F.lit(0.0)) if impact_on_prices else F.lit(0.0)).alias("shift"),
             )
-        paid = (
-            F.col("shares") * (F.col("fill_price") - F.col("price_upto"))
-            + K.per_share_commission(F.col("shares"), commission_per_share)
-            + K.notional_commission(F.col("shares") * F.col("fill_price"), commission_bps)
-        )
-        unquoted = (F.col("shares") != 0) & perm.isNull()
-        if strict:
-            named = F.concat(F.lit("no market state: asset "), F.col("asset_id").cast("string"), F.lit(" on "), F.col("dt").cast("string"))
-            unquoted = F.when(unquoted, F.raise_error(named).cast("boolean")).otherwise(F.lit(False))
-        costs = priced.groupBy(*keys, "period").agg(
-            F.sum(unquoted.cast("long")).alias("n_unquoted"),
-            (F.sum(paid) / F.max("nav_open")).alias("cost_share"), F.max("nav_open").alias("__old"),
-            F.sum(F.coalesce("unit_shares", F.lit(0.0)) * F.col("nav_open") * F.col("impact_after")).alias("marked"),
-        )
-        guess = cut_lineage(_nav_path(chain.join(costs, [*keys, "period"], "left"), keys, capital))
-        moved = guess.agg(F.max(F.abs(F.col("nav_open") - F.col("__old")) / F.abs("__old"))).first()[0]
-        guess = guess.drop("__old")
-        if moved is None or moved <= tolerance:
-            break
-    opening = guess.join(chain.select(*keys, "period", "start_dt"), [*keys, "period"])
-    if not mark_impact:
-        opening = opening.withColumn("marked", F.lit(0.0))
-    return opening, relative
-
-
-def _nav_path(chain: DataFrame, keys: Sequence[str], capital: float) -> DataFrame:
-    """nav[k+1] = nav[k] x (growth[k] - cost_share[k]) as one running product per curve."""
-    keys = list(keys)
-    step = F.col("growth") - F.coalesce("cost_share", F.lit(0.0))
-    path = running(chain, keys=keys, order=["period"], exprs={"__g": ("product", step)}, exclusive=True)
-    path = path.withColumn("nav_open", F.lit(float(capital)) * F.coalesce("__g", F.lit(1.0)))
-    path = path.withColumn("cost", F.coalesce("cost_share", F.lit(0.0)) * F.col("nav_open"))
-    kept = [c for c in ("__old", "marked", "n_unquoted") if c in path.columns]
-    return running(path, keys=keys, order=["period"], exprs={"nav_before": ("lag", "nav_open")}).select(
-        *keys, "period", "nav_open", "nav_before", "cost", *kept
-    )
+
+        def impact(t: Column) -> Column:
+            perm, temp = K.impact_bps(t["q"], t["sigma_d"], t["v_d"], t["theta"], eta=eta, beta=beta, gamma=gamma)
+            unquoted = (t["q"] != 0) & perm.isNull()
+            if strict:
+                named = F.concat(F.lit("no market state: asset "), t["asset_id"].cast("string"), F.lit(" on "), t["dt"].cast("string"))
+                unquoted = F.when(unquoted, F.raise_error(named).cast("boolean")).otherwise(F.lit(False))
+            fill = (t["price"] + t["shift"]) * (1.0 + F.signum(t["q"]) * F.coalesce(temp, F.lit(0.0)) / K.BPS)
+            return F.struct(
+                t["asset_id"].alias("asset_id"), t["held"].alias("held"), t["q"].alias("q"), t["price"].alias("price"), t["shift"].alias("shift"),
+                fill.alias("fill"), (F.signum(t["q"]) * F.coalesce(perm, F.lit(0.0)) / K.BPS).alias("push"), unquoted.alias("unquoted"),
+            )
+
+        def paid(t: Column) -> Column:
+            after = t["shift"] + t["push"] * t["fill"] if impact_on_prices else F.lit(0.0)
+            fees = K.per_share_commission(t["q"], commission_per_share) + K.notional_commission(t["q"] * t["fill"], commission_bps)
+            return F.struct(
+                t["asset_id"].alias("asset_id"), (t["q"] * (t["fill"] - t["price"]) + fees).alias("paid"), (t["held"] * after).alias("marked"),
+                t["unquoted"].cast("long").alias("unquoted"), after.alias("after"),
+            )
+
+        def close(lines: Column) -> Column:
+            none = F.struct(F.lit(0.0).alias("cost"), F.lit(0.0).alias("marked"), F.lit(0).cast("long").alias("n"))
+            sums = F.aggregate(lines, none, lambda s, t: F.struct(
+                (s["cost"] + F.coalesce(t["paid"], F.lit(0.0))).alias("cost"), (s["marked"] + F.coalesce(t["marked"], F.lit(0.0))).alias("marked"), (s["n"] + t["unquoted"]).alias("n"),
+            ))
+            moved = state["moved"]
+            if impact_on_prices:
+                entries = F.map_from_entries(F.transform(lines, lambda t: F.struct(t["asset_id"], t["after"])))
+                moved = F.map_zip_with(moved, entries, lambda _, old, new: F.coalesce(new, old))
+            return _let(sums, lambda s: F.struct(
+                (state["now"] * x["growth"] - s["cost"]).alias("now"), state["now"].alias("before"), moved.alias("moved"),
+                F.concat(state["path"], F.array(F.struct(
+                    x["period"].alias("period"), x["start_dt"].alias("start_dt"), state["now"].alias("nav_open"), state["before"].alias("nav_before"),
+                    s["cost"].alias("cost"), (s["marked"] if mark_impact else F.lit(0.0)).alias("marked"), s["n"].alias("n_unquoted"),
+                ))).alias("path"),
+            ))
+
+        return _let(F.transform(F.transform(F.transform(x["trades"], shares), impact), paid), close)
+
+    opening, carried = None, None
+    for part in range((curves.agg(F.max("range")).first()[0] or 0) + 1):
+        mine = curves.filter(F.col("range") == part)
+        begin = F.struct(*fresh)
+        if carried is not None:
+            mine = mine.join(carried, full)
+            begin = F.struct(F.col("__state.now").alias("now"), F.col("__state.before").alias("before"), F.col("__state.moved").alias("moved"), fresh[3])
+        folded = materialise(mine.select(*full, F.aggregate("steps", begin, step).alias("__state")))
+        carried = folded
+        rows = folded.select(*full, F.inline("__state.path"))
+        opening = rows if opening is None else opening.unionByName(rows)
+    return opening, relative, book
 
 
 def portfolio_nav_costed(
     weights: DataFrame, bars: DataFrame, dividends: DataFrame | None, market_state: DataFrame, *,
     keys: Sequence[str] = ("curve_id",), capital: float = 1_000_000.0, **costs,
 ) -> DataFrame:
-    """Daily NAV with trade costs: (keys, dt, nav).  See `costed_nav_path`."""
-    opening, relative = costed_nav_path(weights, bars, dividends, market_state, keys=keys, capital=capital, **costs)
+    """Daily NAV with trade costs: (keys, dt, nav, n_unquoted, status).  See `costed_nav_path`.
+
+    n_unquoted counts the trades of the day's holding period that had no usable market state, and
+    status is `no_market_state` where there are any, as such a period's costs are too low.
+    """
+    opening, relative, book = costed_nav_path(weights, bars, dividends, market_state, keys=keys, capital=capital, **costs)
     full = [*keys, costs["grid"][0]] if costs.get("grid") else list(keys)
-    return _expand(relative, opening, opening, list(keys), full, capital, bars)
+    nav = _expand(book, relative, opening, full, capital)
+    return nav.withColumn("status", F.when(F.col("n_unquoted") > 0, "no_market_state").otherwise("ok"))
 
 
 def dividend_income(positions: DataFrame, dividends: DataFrame, *, keys: Sequence[str] = ("curve_id",)) -> DataFrame:

@@ -58,7 +58,7 @@ def test_trades_without_a_market_state_are_counted(spark):
     bars = spark.createDataFrame([(1, day(i), 10.0 + i) for i in range(3)], "asset_id int, dt date, closeunadj double")
     weights = spark.createDataFrame([("a", D, 1, 1.0)], "curve_id string, dt date, asset_id int, weight double")
     nothing = spark.createDataFrame([], "asset_id int, dt date, sigma_d double, v_d double, theta double")
-    opening, _ = costed_nav_path(weights, bars, None, nothing, capital=100.0)
+    opening, _, _ = costed_nav_path(weights, bars, None, nothing, capital=100.0)
     assert [r.n_unquoted for r in opening.collect()] == [1]
     with pytest.raises(Exception, match="no market state: asset 1"):
         costed_nav_path(weights, bars, None, nothing, capital=100.0, strict=True)

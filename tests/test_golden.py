@@ -263,8 +263,9 @@ def test_costed_valuation_equals_sequential_fold(spark):
     assert all(free[d] == pytest.approx(zero[d], rel=1e-12) for d in zero)
 
 
+@pytest.mark.parametrize("ranged", [1 << 18, 4])
 @pytest.mark.parametrize("marked", [True, False])
-def test_impacted_valuation_equals_sequential_fold(spark, marked):
+def test_impacted_valuation_equals_sequential_fold(spark, marked, ranged):
     rng = random.Random(24)
     px, divs, rebals = random_book(rng)
     state = {k: (rng.uniform(0.005, 0.03), rng.uniform(50, 200), 1e4) for k in px}
@@ -286,7 +287,7 @@ def test_impacted_valuation_equals_sequential_fold(spark, marked):
         want[d] = cash + sum(q * (px[(a, d)] + (reg.get(a, 0.0) if marked else 0.0)) for a, q in pos.items())
     bars, paid, w = book_frames(spark, px, divs, rebals)
     ms = spark.createDataFrame([(a, d, *x) for (a, d), x in state.items()], "asset_id int, dt date, sigma_d double, v_d double, theta double")
-    nav = P.portfolio_nav_costed(w, bars, paid, ms, capital=1000.0, impact_on_prices=True, mark_impact=marked)
+    nav = P.portfolio_nav_costed(w, bars, paid, ms, capital=1000.0, impact_on_prices=True, mark_impact=marked, trades_per_range=ranged)
     got = {r.dt: r.nav for r in nav.collect()}
     assert all(got[d] == pytest.approx(want[d], rel=1e-10) for d in want)
 
