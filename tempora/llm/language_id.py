@@ -13,13 +13,13 @@ alphabet.
 
 from __future__ import annotations
 
-import zlib
+import functools
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,45 +32,58 @@ LANDMARKS, SAMPLE = 64, 2000
 RIDGE = 1e-3
 #: Landmarks have that many characters if enough rows do; a text of a few words spans little.
 TELLING = 300
-#: Texts multiplied at once, and words whose columns a worker remembers.
-BATCH, REMEMBERED = 64, 200_000
+#: Texts multiplied at once.
+BATCH = 64
 UNKNOWN = "und"
-LETTERS = regex.compile(r"\p{M}*\p{L}[\p{L}\p{M}]*")
-
-
-class Columns:
-    """The hashed n-grams of texts; those of frequent words are remembered."""
-
-    def __init__(self, longest: int = LONGEST) -> None:
-        self.longest, self.seen = longest, {}
-
-    def of_word(self, word: str) -> np.ndarray:
-        known = self.seen.get(word)
-        if known is None:
-            found = set()
-            for run in LETTERS.findall(word.lower()):
-                run = f" {run} "
-                for n in range(1, self.longest + 1):
-                    found.update(run[i : i + n] for i in range(len(run) - n + 1))
-            found.discard(" ")
-            known = np.fromiter((zlib.crc32(g.encode("utf-8", "surrogatepass")) % WIDTH for g in found), np.int32, len(found))
-            if len(self.seen) < REMEMBERED:
-                self.seen[word] = known
-        return known
-
-    def of_text(self, text: str | None) -> np.ndarray:
-        """Columns of a text, repeats possible; none if it has no letter."""
-        parts = [self.of_word(w) for w in set((text or "").split())]
-        return np.concatenate(parts) if parts else np.empty(0, np.int32)
-
-
-def presences(found: list[np.ndarray], place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """0/1 rows over the ``width`` columns that ``place`` names, and the root of their sums (1 for none)."""
-    x = np.zeros((len(found), width + 1), np.float32)
+
+
+@functools.cache
+def kinds() -> np.ndarray:
+    """For every code point 2 for a letter, 1 for a mark, 0 for all else."""
+    kind = {"L": 2, "M": 1}
+    return np.array([kind.get(unicodedata.category(chr(i))[0], 0) for i in range(0x110000)], np.uint8)
+
+
+def columns_of(text: str | None) -> np.ndarray:
+    """Columns of the n-grams of a text's distinct words, repeats possible; none if it has no letter."""
+    distinct = " ".join(set((text or "").lower().split()))
+    points = np.frombuffer(f" {distinct} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = kinds()[points]
+    if not (kind == 2).any():
+        return np.empty(0, np.uint32)
+    points = np.where(kind > 0, points, np.uint32(32))
+    gap = points == 32
+    points = points[~gap | np.concatenate(([True], ~gap[:-1]))]
+    gap, hashes, found = points == 32, np.zeros(len(points), np.uint32), []
+    # A gap may begin or end an n-gram, but not lie within.
+    whole = np.ones(len(points), bool)
+    for n in range(1, min(LONGEST, len(points)) + 1):
+        last = points[n - 1 :]
+        hashes = (hashes[: len(last)] ^ last) * np.uint32(0x9E3779B1)
+        hashes ^= hashes >> np.uint32(15)
+        if n > 2:
+            whole = whole[: len(last)] & ~gap[n - 2 : n - 2 + len(last)]
+        found.append(hashes[whole[: len(last)] & ~gap] if n == 1 else hashes[whole[: len(last)]])
+    return (np.concatenate(found) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - WIDTH.bit_length() + 1)
+
+
+def products(found: list[np.ndarray], place: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """0/1 rows over the columns that ``place`` names, times ``factor``, over the root of their sums.
+
+    ``factor`` has one more row, of zeros for the columns without a place, and ends with a column of ones.
+    """
+    x = np.zeros((len(found), len(factor)), np.float32)
     for row, columns in zip(x, found, strict=True):
         row[place[columns]] = 1
-    x = x[:, :width]
-    return x, np.sqrt(np.maximum(x.sum(axis=1, dtype=np.float64), 1))
+    out = x @ factor
+    return out[:, :-1] / np.sqrt(np.maximum(out[:, -1:], 1))
+
+
+def factor_of(weights: np.ndarray) -> np.ndarray:
+    """``weights`` as ``products`` takes them."""
+    out = np.ones((len(weights) + 1, weights.shape[1] + 1), np.float32)
+    out[:-1, :-1], out[-1] = weights, 0
+    return out
 
 
 @dataclass
@@ -96,12 +109,11 @@ def landmarks(rows: DataFrame, count: int) -> tuple[list[str], np.ndarray]:
     """Language and packed presences of ``count`` landmarks a language: WIDTH / 8 bytes each."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = Columns()
         for batch in batches:
             bits = []
             for text in batch["text"]:
                 row = np.zeros(WIDTH, np.uint8)
-                row[columns.of_text(text)] = 1
+                row[columns_of(text)] = 1
                 bits.append(np.packbits(row).tobytes())
             yield pd.DataFrame({"lang": batch["lang"], "ticket": batch["ticket"], "bits": bits})
 
@@ -135,13 +147,13 @@ def fit(docs: DataFrame, train: Column, count: int = LANDMARKS, sample: int = SA
         return base
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base, columns, (_, some, place) = spread(), Columns(), shared.value
+        base, place = spread(), shared.value[2]
+        factor = factor_of(base.T)
         square, cross, n = np.zeros((len(base), len(base))), np.zeros((len(base), len(languages))), 0
         for batch in batches:
             for at in range(0, len(batch), BATCH):
                 part = batch.iloc[at : at + BATCH]
-                x, norm = presences([columns.of_text(t) for t in part["text"]], place, len(some))
-                k = (x @ base.T) / norm[:, None]
+                k = products([columns_of(t) for t in part["text"]], place, factor).astype(np.float64)
                 y = (part["lang"].to_numpy()[:, None] == np.array(languages, object)[None]).astype(np.float64)
                 square, cross, n = square + k.T @ k, cross + k.T @ y, n + len(part)
         yield pd.DataFrame({"n": [n], "square": [square.tobytes()], "cross": [cross.tobytes()]})
@@ -172,14 +184,13 @@ def identify(docs: DataFrame, kernel: Kernel) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         languages, place, weights = shared.value
-        columns = Columns()
+        factor = factor_of(weights) if languages else None
         for batch in batches:
             names, scores = [], []
             for at in range(0, len(batch), BATCH):
-                found = [columns.of_text(t) for t in batch["text"].iloc[at : at + BATCH]]
+                found = [columns_of(t) for t in batch["text"].iloc[at : at + BATCH]]
                 if languages:
-                    x, norm = presences(found, place, len(weights))
-                    raw = (x @ weights) / norm[:, None]
+                    raw = products(found, place, factor)
                     best = np.argmax(np.round(raw, 6), axis=1)
                 for i, f in enumerate(found):
                     known = len(f) and languages

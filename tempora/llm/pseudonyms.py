@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-# Patterns of what may be personal; every kind is validated before it is replaced.
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
+# Patterns of what may be personal; every kind is validated before it is replaced.  The repeated
+# group is possessive, as any other is matched by recursion, one level a repeat.
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)++"
 ADDRESS = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)"
 PHONE = r"(?<![\d+])\+\d{1,3}[ -]?\(?\d{2,4}\)?[ -]?\d{3,4}[ -]?\d{4}(?!\d)"
 DATE = r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\d)"
@@ -129,7 +130,7 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = "change me") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """Replaces personal data in whole texts: the columns of ``docs`` and n_email, n_phone, n_address, n_date, n_card, n_token.
 
     ``docs`` needs text; other columns, of any name, are kept.  A null text stays null, with no finds.
@@ -138,6 +139,8 @@ def pseudonymise(docs: DataFrame, key: str = "change me") -> DataFrame:
     lower-case letters and digits by digits; other characters and the host stay.  Of a phone number the
     country code stays.  Key tokens of 32 to 64 hexadecimal digits are permuted as numbers of base 16;
     upper and lower case are one value.  Equal values of a kind get equal pseudonyms in every row.
+    Whoever has ``key`` can undo all of this, so it belongs with the secrets of a deployment.  Texts of
+    any length are read whole; repeated rows are treated alike; an empty table gives an empty result.
     """
     taken = {c.lower() for c in docs.columns}
     mine = {k: k if k not in taken else f"{k}_found" for k in (f"n_{k}" for k in KINDS)}

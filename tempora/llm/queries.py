@@ -40,7 +40,8 @@ def op3_token_counts_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pseudonyms_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(read(spark, sf_dir, "documents")).select("doc_id", "text", *[f"n_{k}" for k in KINDS])
+    # The documents are invented, so their key need not be kept.
+    return pseudonymise(read(spark, sf_dir, "documents"), "key of the synthetic tables").select("doc_id", "text", *[f"n_{k}" for k in KINDS])
 
 
 def op6_decontaminate_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

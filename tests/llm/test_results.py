@@ -70,7 +70,7 @@ def test_pseudonyms_are_permutations_of_their_format(spark):
 
 def test_pseudonyms_link_equal_values_and_leave_the_rest(spark):
     rows = [(1, "card 7536784127813050, bad 9807915762804490, 300.1.1.1 and 1999-02-30"), (2, "7536784127813050 at 97.51.17.173 on 28.02.1999; 1999-02-28"), (3, "A.97@mail1.example.com +1 (974) 555-3436 97.51.17.173")]
-    d = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    d = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     card = re.search(r"card (\d{16})", d[1].text)[1]
     assert card != "7536784127813050" and d[2].text.startswith(card + " at ")
     assert "9807915762804490" in d[1].text and "300.1.1.1" in d[1].text and "1999-02-30" in d[1].text

@@ -125,17 +125,16 @@ def test_language_never_reads_the_label_of_a_row(spark):
 
 def test_language_sums_equal_one_matrix(spark):
     """The dual weights from summed parts equal those of the whole kernel matrix."""
-    from tempora.llm.language_id import RIDGE, WIDTH, Columns, landmarks, training_sample
+    from tempora.llm.language_id import RIDGE, WIDTH, columns_of, landmarks, training_sample
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(120)
     kernel = fit(docs, F.lit(True), count=6, sample=20)
     rows = training_sample(docs, F.lit(True), 20)
     of, bits = landmarks(rows, 6)
     base = np.stack([np.unpackbits(b).astype(float) for b in bits])
     used = base.any(axis=0)
-    columns = Columns()
     x, y = np.zeros((rows.count(), WIDTH)), np.zeros((rows.count(), len(kernel.languages)))
     for i, r in enumerate(rows.collect()):
-        x[i, columns.of_text(r.text)] = 1
+        x[i, columns_of(r.text)] = 1
         y[i, kernel.languages.index(r.lang)] = 1
     x, base = x[:, used], base[:, used]
     base /= np.sqrt(base.sum(axis=1))[:, None]
@@ -144,6 +143,21 @@ def test_language_sums_equal_one_matrix(spark):
     assert np.allclose(base.T @ dual, kernel.weights, atol=1e-3) and sorted(set(of)) == kernel.languages
 
 
+def test_columns_are_the_words_letter_ngrams():
+    from tempora.llm.language_id import columns_of
+    def grams(text):
+        found = set()
+        for word in text.split():
+            for run in "".join(c if c.isalpha() else " " for c in word.lower()).split():
+                run = f" {run} "
+                found |= {run[i : i + n] for n in range(1, 6) for i in range(len(run) - n + 1)} - {" "}
+        return found
+    for text in ("Ab ab, c4d! the-end", "a", "é ß Ø \U00010400x", "one " * 99 + "two"):
+        assert len(set(columns_of(text).tolist())) == len(grams(text))
+    assert set(columns_of("ab cd").tolist()) == set(columns_of("CD\nab ab 77").tolist())
+    assert len(columns_of("12 ² --")) == len(columns_of(None)) == 0
+
+
 def test_language_odd_rows(spark):
     fields = [("doc_id", "long"), ("text", "string"), ("lang", "string"), ("ticket", "string"), ("turn", "string"), ("score", "string"), ("bits", "string")]
     schema = ", ".join(" ".join(f) for f in fields)
