@@ -158,8 +158,8 @@ def fit(docs: DataFrame, train: Column, count: int = LANDMARKS, sample: int = SA
                 square, cross, n = square + k.T @ k, cross + k.T @ y, n + len(part)
         yield pd.DataFrame({"n": [n], "square": [square.tobytes()], "cross": [cross.tobytes()]})
 
-    # At most 8 rows of (landmarks + languages) x landmarks numbers.
-    sums = rows.repartition(8, "ticket").mapInPandas(work, "n long, square binary, cross binary").collect()
+    # At most 8 rows of (landmarks + languages) x landmarks numbers, however many files the sample was written to.
+    sums = rows.coalesce(8).mapInPandas(work, "n long, square binary, cross binary").collect()
     base = spread()
     m = len(base)
     square = sum(np.frombuffer(r.square).reshape(m, m) for r in sums)
