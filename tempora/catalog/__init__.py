@@ -4,17 +4,35 @@ from __future__ import annotations
 
 import importlib
 
+KNOWN: dict = {}
 SECTIONS = ("inputs", "pit", "quality", "dates", "returns", "portfolio", "curves", "validation")
 
 
+def views(spark, sf_dir: str):
+    """The views of a folder, whose shared tables are written once a session."""
+    from tempora.catalog.views import Views
+
+    mine = spark.sparkContext.applicationId
+    for key in [k for k in KNOWN if k[0] != mine]:
+        del KNOWN[key]
+    return KNOWN.setdefault((mine, sf_dir), Views(spark, sf_dir))
+
+
+def forget(spark) -> None:
+    """Drops the views and deletes what they wrote."""
+    from tempora.session import discard
+
+    KNOWN.clear()
+    discard(spark)
+
+
 def load(sections=SECTIONS):
     from tempora.catalog.present import present
-    from tempora.catalog.views import Views
 
     queries, oracle = {}, {}
     for section in sections:
         module = importlib.import_module(f"tempora.catalog.{section}")
         for name, fn in module.QUERIES.items():
-            queries[name] = (lambda f: lambda spark, sf_dir: present(f(Views(spark, sf_dir)), getattr(f, "digits", 6)))(fn)
+            queries[name] = (lambda f: lambda spark, sf_dir: present(f(views(spark, sf_dir)), getattr(f, "digits", 6)))(fn)
         oracle.update(module.ORACLE)
     return queries, oracle

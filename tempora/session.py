@@ -28,6 +28,10 @@ def build_session(app: str = "tempora", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+#: Folders written by `materialise`, until `discard` deletes them.
+WRITTEN: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -48,10 +52,20 @@ def materialise(df: DataFrame) -> DataFrame:
     if any(kind == "void" for _, kind in df.dtypes):
         return df
     folder = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    WRITTEN.append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def discard(spark: SparkSession) -> int:
+    """Deletes the tables that `materialise` wrote, and returns how many; results that still read them are void."""
+    sc, done = spark.sparkContext, 0
+    while WRITTEN:
+        path = sc._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        done += bool(path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True))
+    return done
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of an iterated state table."""
     sc = df.sparkSession.sparkContext

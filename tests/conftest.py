@@ -1,5 +1,6 @@
 import pytest
 
+from tempora.catalog import forget
 from tempora.session import build_session
 
 
@@ -10,4 +11,5 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("OFF")
     yield session
+    forget(session)
     session.stop()
