@@ -10,16 +10,18 @@ from tempora.catalog.views import Views
 from tempora.functions.cleaning import clean_date, clean_percent, clean_ticker
 from tempora.sources import manifest as M
 from tempora.sources import scan as S
+from tempora.sources.sinks import write_curves, write_metrics
 
 QUERIES = {}
 ORACLE = {}
 
 
-def query(name: str, sql: str | None = None, columns: str = ""):
+def query(name: str, sql: str | None = None, columns: str = "", digits: int = 6):
     def add(fn):
+        fn.digits = digits
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = wrap(with_views(sql), columns) if columns else with_views(sql)
+            ORACLE[name] = wrap(with_views(sql), columns, digits) if columns else with_views(sql)
         return fn
 
     return add
@@ -54,11 +56,11 @@ MANIFEST_SQL = """
 
 @query(
     "scan_table",
-    "SELECT ticker, dt AS date, open, high, low, close, closeunadj, volume FROM bars",
+    "SELECT ticker, dt AS date, open, high, low, close, closeunadj, volume FROM bars WHERE volume >= 20",
     "ticker date:d open:f high:f low:f close:f closeunadj:f volume",
 )
 def _(v):
-    return S.conform(sep(v), "sep")
+    return S.conform(v.vendor("sep", [F.col("volume") >= 20]), "sep")
 
 
 @query(
@@ -67,7 +69,7 @@ def _(v):
     "ticker dt:d open:f close:f closeunadj:f volume",
 )
 def _(v):
-    out = S.scan_prices(sep(v), ticker="T7", start="1996-01-01", end="1998-12-31")
+    out = S.scan_prices(v.vendor("sep"), ticker="T7", start="1996-01-01", end="1998-12-31")
     return out.select("ticker", "dt", "open", "close", "closeunadj", "volume")
 
 
@@ -77,7 +79,7 @@ def _(v):
     "ticker ex_date:d amount_per_share:f",
 )
 def _(v):
-    return S.scan_dividends(v.actions, start="1997-03-01")
+    return S.scan_dividends(v.vendor("actions"), start="1997-03-01")
 
 
 @query(
@@ -86,7 +88,7 @@ def _(v):
     "ticker date:d action value:f",
 )
 def _(v):
-    return S.scan_actions(v.actions, end="2000-06-30", allow=["split", "spinoff"])
+    return S.scan_actions(v.vendor("actions"), end="2000-06-30", allow=["split", "spinoff"])
 
 
 @query(
@@ -96,7 +98,7 @@ def _(v):
     "permaticker ticker isdelisted firstpricedate:d lastpricedate:d",
 )
 def _(v):
-    return S.scan_tickers(v.securities, active_at="1999-06-30")
+    return S.scan_tickers(v.vendor("tickers"), active_at="1999-06-30")
 
 
 @query(
@@ -106,7 +108,7 @@ def _(v):
     "ticker dimension calendardate:d datekey:d revenue:f marketcap:f sharesbas:f",
 )
 def _(v):
-    return S.scan_fundamentals(v.filings.drop("asset_id"), dimension="art", start="1996-01-01")
+    return S.scan_fundamentals(v.vendor("sf1"), dimension="art", start="1996-01-01")
 
 
 @query(
@@ -115,7 +117,7 @@ def _(v):
     "ticker date:d action",
 )
 def _(v):
-    return S.scan_membership(v.membership_log, action="added", start="1996-01-01", end="2000-12-31")
+    return S.scan_membership(v.vendor("sp500"), action="added", start="1996-01-01", end="2000-12-31")
 
 
 @query(
@@ -187,6 +189,54 @@ def _(v):
     return M.freshness(manifest(v), "2024-04-05 12:00:00")
 
 
+@query(
+    "missing_bundles",
+    f"""SELECT bundle FROM (SELECT DISTINCT 'daily_' || CAST(DATE '2024-01-01' + CAST(c_custkey % 60 AS INTEGER) AS VARCHAR) AS bundle FROM customer)
+    WHERE bundle NOT IN (SELECT bundle FROM {MANIFEST_SQL})""",
+)
+def _(v):
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % 60).cast("int"))
+    asked = v.table("customer").select(F.concat(F.lit("daily_"), day.cast("string")).alias("bundle"))
+    return M.missing_bundles(asked, manifest(v))
+
+
+@query("write_curves", "SELECT curve_id, dt, nav, year(dt) AS year FROM asset_curves", "curve_id dt:d nav:f year:i", 4)
+def _(v):
+    path = v.folder("curves")
+    write_curves(v.asset_curves, path, rows_per_file=20_000)
+    return v.spark.read.parquet(path)
+
+
+@query("write_metrics", "SELECT curve_id, count(*) AS n_days, max(nav) AS top FROM asset_curves GROUP BY 1", "curve_id n_days top:f", 4)
+def _(v):
+    path = v.folder("metrics")
+    write_metrics(v.asset_curves.groupBy("curve_id").agg(F.count(F.lit(1)).alias("n_days"), F.max("nav").alias("top")), path)
+    return v.spark.read.parquet(path)
+
+
+@query("scan_reference_distributions", "SELECT ex_date, amount_per_share FROM dividends", "ex_date:d amount_per_share:f")
+def _(v):
+    path = v.folder("distributions")
+    v.dividends.select("ex_date", "amount_per_share").write.option("header", True).csv(path)
+    return S.scan_reference_distributions(v.spark, path)
+
+
+@query(
+    "scan_reference_performance",
+    """SELECT period, pct / 100e0 AS annualized_nav_tr, CASE WHEN count(*) OVER (PARTITION BY period) > 1 THEN 'duplicate' ELSE 'ok' END AS status
+    FROM (SELECT lower('P' || CAST(c_custkey % 1000 AS VARCHAR)) AS period, c_acctbal / 100e0 AS pct FROM customer WHERE c_custkey % 7 < 5)""",
+    "period annualized_nav_tr:f status",
+)
+def _(v):
+    path = v.folder("performance")
+    c = v.table("customer").filter(F.col("c_custkey") % 7 < 5)
+    c.select(
+        F.concat(F.lit("P"), (F.col("c_custkey") % 1000).cast("string")).alias("period"), (F.col("c_acctbal") / 100.0).alias("annualized_nav_tr_pct"),
+        F.lit(None).cast("double").alias("annualized_market_price_tr_pct"),
+    ).write.option("header", True).csv(path)
+    return S.scan_reference_performance(v.spark, path)
+
+
 def performance_raw(v: Views):
     c = v.table("customer")
     k = F.col("c_custkey")

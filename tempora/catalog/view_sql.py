@@ -97,7 +97,9 @@ VIEWS["requests"] = """
 SELECT a.asset_id, e.dt FROM (SELECT DISTINCT asset_id, date_trunc('month', dt) AS m FROM daily) a
 JOIN month_ends e ON a.m = e.m"""
 
-VIEWS["ticker_requests"] = "SELECT DISTINCT 'T' || CAST(asset_id % 95 AS VARCHAR) AS ticker, dt FROM requests"
+VIEWS["ticker_requests"] = """
+SELECT DISTINCT CASE WHEN asset_id % 19 = 18 THEN 'U' || CAST(asset_id AS VARCHAR) ELSE 'T' || CAST(asset_id // 100 * 90 + asset_id % 100 % 90 AS VARCHAR) END AS ticker, dt
+FROM requests"""
 
 VIEWS["ranges"] = 'SELECT asset_id, dt - 60 AS "start", dt AS "end" FROM requests WHERE month(dt) % 3 = 0'
 

@@ -11,7 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tempora.session import materialise
+from tempora import session
+from tempora.sources import scan
 
 
 def _day(column) -> F.Column:
@@ -27,10 +28,49 @@ def ticker(asset):
     return F.concat(F.lit("T"), (F.floor(asset / 100) * 90 + asset % 100 % 90).cast("string"))
 
 
+VENDOR_BUNDLE = "daily_2024-01-01"
+#: How the files of the bundle name some of the declared columns.
+VENDOR_NAMES = {
+    "sep": {"symbol": "ticker", "day": "date"}, "actions": {"kind": "action", "amount": "value"}, "tickers": {"symbol": "ticker", "first": "firstpricedate"},
+    "sf1": {"symbol": "ticker", "filed": "datekey"}, "sp500": {"day": "date", "change": "action"},
+}
+
+
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.folders: list[str] = []
+        self.written: set[str] = set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """`df`, worked out once and written."""
+        out = session.materialise(df)
+        self.folders.append(session.WRITTEN[-1])
+        return out
+
+    def folder(self, name: str) -> str:
+        """A new shared folder that `discard` deletes."""
+        path = session.scratch(self.spark, name)
+        self.folders.append(path)
+        return path
+
+    @cached_property
+    def vendor_root(self) -> str:
+        return self.folder("vendor")
+
+    def vendor(self, table: str, filters=()) -> DataFrame:
+        """Scan of one table of a vendor bundle, whose files hold the views under the vendor's own column names and day types."""
+        if table not in self.written:
+            stored = {v: k for k, v in VENDOR_NAMES[table].items()}
+            df = {
+                "sep": lambda: self.bars.drop("asset_id").withColumn("dt", F.col("dt").cast("timestamp")).withColumnRenamed("dt", "date"),
+                "actions": lambda: self.actions.drop("asset_id"), "tickers": lambda: self.securities,
+                "sf1": lambda: self.filings.drop("asset_id"), "sp500": lambda: self.membership_log.drop("asset_id"),
+            }[table]()
+            df.withColumnsRenamed(stored).write.parquet(f"{self.vendor_root}/{VENDOR_BUNDLE}/{table}.parquet")
+            self.written.add(table)
+        return scan.scan_table(self.spark, self.vendor_root, table, bundle=VENDOR_BUNDLE, rename=VENDOR_NAMES[table], filters=filters)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -38,7 +78,7 @@ class Views:
     @cached_property
     def daily(self) -> DataFrame:
         """lineitem per (asset, day); the only aggregation of the big table, done once for all that read it."""
-        return materialise(
+        return self.keep(
             self.table("lineitem")
             .groupBy(F.col("l_suppkey").alias("asset_id"), F.to_date("l_shipdate").alias("dt"))
             .agg(
@@ -176,7 +216,7 @@ class Views:
         top = Window.partitionBy("q").orderBy(F.col("v").desc(), F.col("asset_id"))
         all_of = F.count(F.lit(1)).over(Window.partitionBy("q"))
         kept = traded.select("q", "asset_id", F.row_number().over(top).alias("r"), all_of.alias("n")).filter(2 * F.col("r") <= F.col("n") + 1).drop("r", "n")
-        return materialise(kept.join(ends, "q").select("q", "snapshot_date", "asset_id"))
+        return self.keep(kept.join(ends, "q").select("q", "snapshot_date", "asset_id"))
 
     @cached_property
     def membership(self) -> DataFrame:
@@ -223,7 +263,9 @@ class Views:
 
     @cached_property
     def ticker_requests(self) -> DataFrame:
-        return self.requests.select(F.concat(F.lit("T"), (F.col("asset_id") % 95).cast("string")).alias("ticker"), "dt").distinct()
+        """Every ticker's months, and a share of unknown tickers."""
+        named = F.when(F.col("asset_id") % 19 == 18, F.concat(F.lit("U"), F.col("asset_id").cast("string"))).otherwise(ticker(F.col("asset_id")))
+        return self.requests.select(named.alias("ticker"), "dt").distinct()
 
     @cached_property
     def ranges(self) -> DataFrame:

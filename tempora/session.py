@@ -28,7 +28,7 @@ def build_session(app: str = "tempora", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-#: Folders written by `materialise`, until `discard` deletes them.
+#: Folders given out by `scratch`, until `discard` deletes them.
 WRITTEN: list[str] = []
 
 
@@ -47,18 +47,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, which `discard` deletes."""
+    WRITTEN.append(f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return WRITTEN[-1]
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Writes a table with several readers once to the shared folder and reads it back; lineage ends there."""
     if any(kind == "void" for _, kind in df.dtypes):
         return df
-    folder = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    WRITTEN.append(folder)
+    folder = scratch(df.sparkSession, "table")
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def discard(spark: SparkSession) -> int:
-    """Deletes the tables that `materialise` wrote, and returns how many; results that still read them are void."""
+    """Deletes the folders that `scratch` gave out, and returns how many; results that still read them are void."""
     sc, done = spark.sparkContext, 0
     while WRITTEN:
         path = sc._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HASHED_SUFFIXES = (".parquet", ".xlsx", ".csv")
+#: Bytes of a file that a task holds at a time.
+READ_BYTES = 8 << 20
 
 # Days after which a snapshot is worth refreshing, and stale.
 WARN_DAYS = 30
@@ -20,36 +25,63 @@ def file_row_counts(spark: SparkSession, path: str) -> DataFrame:
     return table.parquet(path).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("row_count"))
 
 
+def _open(path: str):
+    """A file as a stream: by the file system its URI names, a plain path by the local one."""
+    scheme, _, rest = path.partition(":")
+    if not rest or scheme == "file":
+        return open("/" + (rest or path).lstrip("/"), "rb")  # noqa: SIM115
+    from pyarrow import fs
+
+    system, inside = fs.FileSystem.from_uri(path)
+    return system.open_input_stream(inside)
+
+
+def hash_files(files: DataFrame) -> DataFrame:
+    """(path, sha256) of a column of paths; every file is read in blocks into one hash state.
+
+    Files of any size are hashed with READ_BYTES in memory.  Executors open the paths themselves.
+    """
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                state = hashlib.sha256()
+                with _open(path) as stream:
+                    while block := stream.read(READ_BYTES):
+                        state.update(block)
+                yield pd.DataFrame({"path": [path], "sha256": [state.hexdigest()]})
+
+    return files.select("path").mapInPandas(work, "path string, sha256 string")
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size_bytes) of each hashable file below `path`; contents are not read, and large files get tasks of their own."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    wanted = "|".join(s.lstrip(".") for s in HASHED_SUFFIXES)
+    return files.select("path", F.col("length").alias("size_bytes")).filter(F.col("path").rlike(rf"\.({wanted})$"))
+
+
 def fingerprint_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, bundle, file, sha256, size_bytes, row_count) of each hashable file below `path`.
 
     Below `path` lie bundles and in these files, or folders of part files; `file` is the path
     inside the bundle.  If the files lie in `path` itself, it is the bundle.  One row per part
-    file, so a table is hashed file by file and never as one object.
+    file; row_count is NULL for files that are no Parquet.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        .filter(F.col("path").rlike(r"\.(parquet|xlsx|csv)$"))
-    )
+    listed = list_files(spark, path)
     plain = F.regexp_replace("path", "^[a-z]+:/+", "/")
     root = path if "://" not in path else "/" + path.split("://", 1)[1].lstrip("/")
     inside = F.split(F.ltrim(F.substring(plain, F.lit(len(root.rstrip("/")) + 1), F.length("path")), F.lit("/")), "/")
     top = F.when(F.size(inside) > 1, F.get(inside, 0)).otherwise(F.lit(root.rstrip("/").rsplit("/", 1)[-1]))
-    hashed = files.select(
-        F.col("path"),
-        top.alias("bundle"),
-        F.array_join(F.when(F.size(inside) > 1, F.slice(inside, 2, F.size(inside))).otherwise(inside), "/").alias("file"),
-        F.sha2("content", 256).alias("sha256"),
-        F.col("length").alias("size_bytes"),
-    )
-    counts = file_row_counts(spark, path).select(
-        F.regexp_replace("path", "^file:/+", "/").alias("__p"), F.col("row_count")
-    )
-    return (
-        hashed.withColumn("__p", F.regexp_replace("path", "^file:/+", "/"))
-        .join(counts, "__p", "left")
-        .select("path", "bundle", "file", "sha256", "size_bytes", "row_count")
-    )
+    file = F.array_join(F.when(F.size(inside) > 1, F.slice(inside, 2, F.size(inside))).otherwise(inside), "/")
+    named = listed.select("path", top.alias("bundle"), file.alias("file"), "size_bytes")
+    out = named.join(hash_files(listed), "path")
+    if not listed.filter(F.col("path").endswith(".parquet")).isEmpty():
+        counts = file_row_counts(spark, path).select(F.regexp_replace("path", "^file:/+", "/").alias("__p"), "row_count")
+        out = out.withColumn("__p", F.regexp_replace("path", "^file:/+", "/")).join(counts, "__p", "left")
+    else:
+        out = out.withColumn("row_count", F.lit(None).cast("long"))
+    return out.select("path", "bundle", "file", "sha256", "size_bytes", "row_count")
 
 
 def write_manifest(fingerprints: DataFrame, path: str, *, pull_date: str | dt.date, source: str = "") -> None:

@@ -9,7 +9,7 @@ they reach the parquet reader; the column becomes a DATE only after that.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,9 +48,15 @@ def day_bounds(df: DataFrame, column: str, start: Day = None, end: Day = None) -
 
 
 def scan_table(
-    spark: SparkSession, root: str, table: str, *, bundle: str | None = None, filters: Sequence[Column] = ()
+    spark: SparkSession, root: str, table: str, *, bundle: str | None = None, filters: Sequence[Column] = (),
+    rename: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Scan of one vendor table as stored (columns typed by the file, dates not yet cast)."""
+    """Scan of one vendor table as stored (columns typed by the file, dates not yet cast).
+
+    `rename` maps stored column names to declared ones.  It is a projection over the file scan, so
+    filters on declared names, here or in later operators, reach the Parquet reader, and a `bundle`
+    is read from its folder alone.
+    """
     if table not in schemas.TABLES:
         raise KeyError(f"unknown table {table!r}; expected one of {sorted(schemas.TABLES)}")
     folder = f"{root}/{bundle}" if bundle else root
@@ -61,6 +67,11 @@ def scan_table(
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(path) from None
         raise
+    if rename:
+        unknown = sorted(set(rename) - set(df.columns))
+        if unknown:
+            raise KeyError(f"{path} has no columns {unknown}")
+        df = df.select(*[F.col(c).alias(rename.get(c, c)) for c in df.columns])
     for condition in filters:
         df = df.filter(condition)
     return df
@@ -104,11 +115,11 @@ def scan_tickers(
         df = df.filter(F.col("ticker") == ticker)
     if permaticker is not None:
         df = df.filter(F.col("permaticker") == permaticker)
-    df = conform(df, "tickers")
     if active_at is not None:
-        day = F.lit(_literal_day(active_at))
-        df = df.filter((F.col("firstpricedate") <= day) & (F.col("lastpricedate").isNull() | (F.col("lastpricedate") >= day)))
-    return df
+        df = day_bounds(df, "firstpricedate", end=active_at)
+        last = F.col("lastpricedate")
+        df = df.filter(last.isNull() | (last >= F.lit(_literal_day(active_at)).cast(df.schema["lastpricedate"].dataType)))
+    return conform(df, "tickers")
 
 
 def as_reported(dimension: str) -> str:
