@@ -36,7 +36,9 @@ def asof_join(
     ``backward``: greatest right time <= (or <) the left time; ``forward``: the
     smallest >= (or >).  Ties on the right time go to the greatest `tie_break`.
     `matched` adds a boolean telling "no row" apart from "row with NULL fields".
-    `right_unique` skips a reduction the caller knows is not needed.
+    `right_unique` skips a reduction the caller knows is not needed.  Times may be of any ordered type
+    and `by` may be empty; but for keyed dates the scan is cut into even ranges, so no key is one task
+    (`block="ranges"` asks for that with dates too, where one key has very many requests a day).
     """
     if direction not in ("backward", "forward"):
         raise ValueError(f"direction must be backward or forward, got {direction!r}")
@@ -62,8 +64,8 @@ def asof_join(
     stream = stream.unionByName(
         asks.withColumn("__value", F.lit(None).cast(facts.schema["__value"].dataType)).withColumn("__tag", F.lit(ask_tag))
     )
-    if isinstance(block, str):
-        block = auto_block(stream, "__ts")
+    if isinstance(block, str) and block == "auto":
+        block = auto_block(stream, "__ts", keys)
     scanned = running(
         stream, keys=keys, order=["__ts", "__tag"], exprs={"__hit": ("last", F.col("__value"))},
         block=block, descending=forward,

@@ -3,10 +3,12 @@
 A plain window puts one key into one task.  That is fine for daily tables, where
 (key, date) is unique and a key can never hold more rows than there are dates.
 It is not fine for free timestamps or numbers, where one key may hold a third of
-the table.  `block` names an expression that grows with the order column and cuts
-each key into pieces; every piece is scanned on its own, the pieces are summarised
-(one row each), the summaries are scanned per key, and the carry is joined back.
-`auto_block` picks none for dates and a calendar bucket for timestamps.
+the table.  `block` cuts each key into pieces; every piece is scanned on its own, the
+pieces are summarised (one row each), the summaries are scanned per key, and the carry
+is joined back.  It is an expression that grows with the order column, or RANGES: the
+table is range-partitioned by key and order, so pieces are of even size whatever the
+type of the order column, however rows lie on it, and with or without keys.
+`auto_block` picks none for keyed dates and RANGES for all else.
 """
 
 from __future__ import annotations
@@ -22,14 +24,21 @@ from tempora.session import materialise
 BLOCK = "__block"
 
 
-def auto_block(df: DataFrame, order: str, days: int = 7) -> Column | None:
-    """No block for DATE order columns, `days`-wide buckets for timestamps."""
-    kind = df.schema[order].dataType
-    if isinstance(kind, T.DateType):
-        return None
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.floor(F.datediff(F.col(order).cast("date"), F.lit("1970-01-01").cast("date")) / F.lit(days))
-    return None
+RANGES = "ranges"
+
+
+def auto_block(df: DataFrame, order: str, keys: Sequence[str] = ("key",)) -> str | None:
+    """No block for the DATE order column of a keyed table, RANGES for all other types and for tables without keys."""
+    return None if keys and isinstance(df.schema[order].dataType, T.DateType) else RANGES
+
+
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """`df` with BLOCK, the number of its range of (keys, order).
+
+    Equal (keys, order) share a range.  The number is that of the task, so the result has to be
+    written before anything reads it twice.
+    """
+    return df.repartitionByRange(*[F.col(c) for c in (*keys, *order)]).withColumn(BLOCK, F.spark_partition_id().cast("long"))
 
 
 def index_block(index: str, size: int = 1 << 16) -> Column:
@@ -92,7 +101,7 @@ def running(
     keys: Sequence[str],
     order: Sequence[str],
     exprs: Mapping[str, tuple[str, Column | str]],
-    block: Column | None = None,
+    block: Column | str | None = None,
     exclusive: bool = False,
     descending: bool = False,
 ) -> DataFrame:
@@ -115,11 +124,16 @@ def running(
     if block is None:
         return df.select("*", *[finish(n, op, _scan(op, v, _frame(keys, ordering, ex))) for n, (op, v, ex) in plan.items()])
 
+    untyped = [c for c, kind in df.dtypes if kind == "void"]
+    if untyped:
+        # Columns without a type cannot be written.
+        scanned = running(df.drop(*untyped), keys=keys, order=order, exprs=exprs, block=block, exclusive=exclusive, descending=descending)
+        return scanned.select(*[F.lit(None).alias(c) if c in untyped else F.col(c) for c in df.columns], *exprs)
     cut = list(keys) + [BLOCK]
+    blocked = in_ranges(df, keys, order) if isinstance(block, str) else df.withColumn(BLOCK, block.cast("long"))
     # Blocks must follow the scan direction, so a descending scan negates them.
-    step = -block.cast("long") if descending else block.cast("long")
     # Read twice below, so the input is worked out once.
-    base = materialise(df.withColumn(BLOCK, step))
+    base = materialise(blocked.withColumn(BLOCK, -F.col(BLOCK) if descending else F.col(BLOCK)))
     position = F.struct(*[F.col(c) for c in order])
     pick = (lambda v: F.min_by(v, F.when(v.isNotNull(), position))) if descending else (lambda v: _whole("last", v, position))
     summary = base.groupBy(*cut).agg(
@@ -152,7 +166,7 @@ def islands(
     order: Sequence[str],
     flag: Column,
     out: str = "run_id",
-    block: Column | None = None,
+    block: Column | str | None = None,
 ) -> DataFrame:
     """Number maximal runs of consecutive rows with an equal `flag`."""
     marked = df.withColumn("__flag", flag)
@@ -171,7 +185,7 @@ def rolling(
     exprs: Mapping[str, tuple[Column, Column]],
     window: int,
     exclude_current: bool = True,
-    block: Column | None = None,
+    block: Column | str | None = None,
     rows_per_block: int = 1 << 16,
 ) -> DataFrame:
     """Aggregates ``{name: (aggregate, its input)}`` over the `window` rows before

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tempora.plans.asof import asof_join
 from tempora.plans.intervals import active_at, interval_join
 from tempora.plans.ranks import kth_smallest, ranked
-from tempora.plans.running import auto_block, islands, rolling, running
+from tempora.plans.running import BLOCK, RANGES, auto_block, in_ranges, islands, rolling, running
 
 D0 = dt.date(2020, 1, 1)
 
@@ -152,4 +152,35 @@ def test_plans_have_no_nested_loops_and_push_filters(spark):
 
 def test_timestamps_get_a_block_and_dates_do_not(spark):
     df = spark.sql("select date'2020-01-01' d, timestamp'2020-01-01 00:00:00' t")
-    assert auto_block(df, "d") is None and auto_block(df, "t") is not None
+    assert auto_block(df, "d") is None and auto_block(df, "t") == RANGES and auto_block(df, "d", []) == RANGES
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "double", "timestamp", "date"])
+@pytest.mark.parametrize("keys", [["k"], []])
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+def test_asof_on_any_order_type_with_a_hot_key(spark, kind, keys, direction):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rng = random.Random(12)
+    at = lambda n: {"int": n, "string": f"{n:06d}", "double": n / 7, "timestamp": dt.datetime(2024, 1, 1) + dt.timedelta(minutes=n), "date": day(n)}[kind]
+    left = [(0 if rng.random() < 0.9 else rng.randrange(1, 4), n := rng.randrange(900), at(n), i) for i in range(600)]
+    right = [(k, n, at(n), n + k) for k in range(4 if keys else 1) for n in range(k, 900, 13)]
+    L = spark.createDataFrame(left, f"k int, n int, t {kind}, i int")
+    R = spark.createDataFrame(right, f"k int, n int, u {kind}, v int").drop("n")
+    got = asof_join(L, R, by=keys, left_ts="t", right_ts="u", payload=["v"], direction=direction, block=RANGES).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(left)
+    for r in got:
+        fits = [x for x in right if (not keys or x[0] == r.k) and (x[1] <= r.n if direction == "backward" else x[1] >= r.n)]
+        best = (max if direction == "backward" else min)(fits, key=lambda x: x[1], default=None)
+        assert r.v == (best[3] if best else None)
+
+
+def test_ranges_split_a_hot_key_evenly(spark):
+    """One key has 90 percent of the rows, most of them within one week."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.range(40000).select(F.when(F.col("id") % 10 > 0, 0).otherwise(F.col("id") % 97 + 1).alias("k"), F.timestamp_seconds(F.when(F.col("id") % 5 > 0, F.col("id")).otherwise(F.col("id") * 1000)).alias("t"))
+    sizes = [r["count"] for r in in_ranges(df, ["k"], ["t"]).groupBy(BLOCK).count().collect()]
+    out = running(df, keys=["k"], order=["t"], exprs={"n": ("count", F.lit(1)), "before": ("lag", "t")}, block=RANGES)
+    worst = out.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("m"), F.count(F.when(F.col("before").isNull(), 1)).alias("f")).filter("c <> m or f <> 1").count()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) >= 4 and max(sizes) <= 1.5 * 40000 / len(sizes) and worst == 0
