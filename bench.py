@@ -20,7 +20,7 @@ from tempora.session import build_session
 
 HEADLINE = (
     "total_return", "asof_fundamental", "market_cap", "resolve_ticker", "momentum_12_1", "rolling_market_state", "price_fills",
-    "top_quantile", "portfolio_nav", "portfolio_nav_costed", "param_sweep", "scorecard", "nearest_rank_hot_group", "bootstrap_sharpe",
+    "top_quantile", "portfolio_nav", "portfolio_nav_costed", "param_sweep", "scorecard", "nearest_rank_hot_group", "bootstrap_sharpe", "bootstrap_sharpe_1000",
     "purged_kfold_per_asset",
 )
 

@@ -246,10 +246,7 @@ def monthly(v):
 
 
 def weekly_hours(v):
-    h = C.curve_returns(v.hourly_curves)
-    from tempora.plans.running import auto_block
-
-    return RS.indexed(h, keys=["curve_id"], order="dt", block=auto_block(h, "dt")).select("curve_id", "idx", "r")
+    return v.hourly_returns
 
 
 HSERIES = f"(SELECT curve_id, CAST(row_number() OVER (PARTITION BY curve_id ORDER BY dt) - 1 AS BIGINT) AS idx, r FROM {HOURLY_R} WHERE r IS NOT NULL)"
@@ -291,16 +288,20 @@ def _(v):
     return RS.stationary_bootstrap(weekly_hours(v), keys=["curve_id"], value="r", n_paths=5, block_length=4.0, seed=7)
 
 
-@query(
-    "bootstrap_sharpe",
-    f"""WITH s AS (SELECT curve_id, path, avg(r) / stddev_samp(r) AS sharpe FROM ({PATHS.format(paths=40)}) GROUP BY 1, 2),
+def sharpe_sql(paths: int) -> str:
+    low, mid, high = (-(-p * paths // 100) for p in (5, 50, 95))
+    return f"""WITH s AS (SELECT curve_id, path, avg(r) / stddev_samp(r) AS sharpe FROM ({PATHS.format(paths=paths)}) GROUP BY 1, 2),
     k AS (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY sharpe) AS rk FROM s)
-    SELECT k.curve_id, max(sharpe) FILTER (WHERE rk = 2) AS p5, max(sharpe) FILTER (WHERE rk = 20) AS p50, max(sharpe) FILTER (WHERE rk = 38) AS p95,
+    SELECT k.curve_id, max(sharpe) FILTER (WHERE rk = {low}) AS p5, max(sharpe) FILTER (WHERE rk = {mid}) AS p50, max(sharpe) FILTER (WHERE rk = {high}) AS p95,
       count(*) AS n_paths, max(realized) AS realized_sharpe
-    FROM k JOIN (SELECT curve_id, avg(r) / stddev_samp(r) AS realized FROM {HSERIES} GROUP BY 1) z ON z.curve_id = k.curve_id GROUP BY 1""",
-    "curve_id p5:f p50:f p95:f n_paths realized_sharpe:f",
-)
+    FROM k JOIN (SELECT curve_id, avg(r) / stddev_samp(r) AS realized FROM {HSERIES} GROUP BY 1) z ON z.curve_id = k.curve_id GROUP BY 1"""
+
+
+@query("bootstrap_sharpe", sharpe_sql(40), "curve_id p5:f p50:f p95:f n_paths realized_sharpe:f")
+def _(v):
+    return RS.bootstrap_sharpe_blocks(weekly_hours(v), keys=["curve_id"], value="r", n_paths=40, block_length=4.0, seed=7)
+
+
+@query("bootstrap_sharpe_1000", sharpe_sql(1000), "curve_id p5:f p50:f p95:f n_paths realized_sharpe:f")
 def _(v):
-    series = weekly_hours(v)
-    paths = RS.stationary_bootstrap(series, keys=["curve_id"], value="r", n_paths=40, block_length=4.0, seed=7)
-    return RS.bootstrap_sharpe(paths, series, keys=["curve_id"], value="r")
+    return RS.bootstrap_sharpe_blocks(weekly_hours(v), keys=["curve_id"], value="r", n_paths=1000, block_length=4.0, seed=7)

@@ -109,7 +109,7 @@ class Views:
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return self.table("lineitem").select(F.to_date("l_shipdate").alias("dt")).distinct()
+        return self.keep(self.daily.select("dt").distinct())
 
     @cached_property
     def dividends(self) -> DataFrame:
@@ -259,7 +259,7 @@ class Views:
     def requests(self) -> DataFrame:
         """Last session of every month an asset traded in."""
         months = self.daily.select("asset_id", F.trunc("dt", "month").alias("m")).distinct()
-        return months.join(self.month_ends, "m").select("asset_id", "dt")
+        return self.keep(months.join(self.month_ends, "m").select("asset_id", "dt"))
 
     @cached_property
     def ticker_requests(self) -> DataFrame:
@@ -297,9 +297,9 @@ class Views:
         from tempora.operators.returns import rolling_market_state
 
         state = rolling_market_state(self.bars, window=20, keys=["asset_id"], order="dt", price="closeunadj")
-        return state.filter(F.col("sigma_d").isNotNull()).join(self.theta, "asset_id").select(
+        return self.keep(state.filter(F.col("sigma_d").isNotNull()).join(self.theta, "asset_id").select(
             "asset_id", "dt", "sigma_d", "v_d", "theta"
-        )
+        ))
 
     @cached_property
     def hourly_curves(self) -> DataFrame:
@@ -312,7 +312,17 @@ class Views:
             .withColumn("m", F.lit(1.0) + F.round(F.col("s") / F.lit(100.0) / F.col("n") - F.lit(50.0), 6) / F.lit(5000.0))
         )
         nav = running(hours, keys=["curve_id"], order=["dt"], exprs={"g": ("product", "m")}, block=auto_block(hours, "dt"))
-        return nav.select("curve_id", "dt", F.round(F.lit(100.0) * F.col("g"), 8).alias("nav"))
+        return self.keep(nav.select("curve_id", "dt", F.round(F.lit(100.0) * F.col("g"), 8).alias("nav")))
+
+    @cached_property
+    def hourly_returns(self) -> DataFrame:
+        """(curve_id, idx, r): returns of the hourly curves by position."""
+        from tempora.operators.curves import curve_returns
+        from tempora.operators.resample import indexed
+        from tempora.plans.running import auto_block
+
+        h = curve_returns(self.hourly_curves)
+        return self.keep(indexed(h, keys=["curve_id"], order="dt", block=auto_block(h, "dt")).select("curve_id", "idx", "r"))
 
     @cached_property
     def asset_curves(self) -> DataFrame:
@@ -320,7 +330,7 @@ class Views:
         from tempora.operators.returns import total_return
 
         tr = total_return(self.bars, self.dividends, price="closeunadj")
-        return tr.select(F.col("asset_id").alias("curve_id"), "dt", F.round(F.lit(100.0) * F.col("tr"), 8).alias("nav"))
+        return self.keep(tr.select(F.col("asset_id").alias("curve_id"), "dt", F.round(F.lit(100.0) * F.col("tr"), 8).alias("nav")))
 
     @cached_property
     def observations(self) -> DataFrame:

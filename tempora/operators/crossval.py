@@ -12,7 +12,7 @@ import itertools
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tempora.operators.curves import scorecard
@@ -52,25 +52,26 @@ def fold_bounds(folds: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _splits(folds: DataFrame, combos: Sequence[tuple[int, ...]], embargo_pct: float, keys: Sequence[str]) -> DataFrame:
+def _splits(folds: DataFrame, splits: DataFrame, embargo_pct: float, keys: Sequence[str]) -> DataFrame:
+    """Roles of every observation in every split; `splits` has split_id (0, 1, ...) and groups."""
     bounds = fold_bounds(folds, keys=keys).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("fold", "dt_start", "dt_end", "idx_end"))).alias("__b")
     )
-    laid = F.array(*[F.struct(F.lit(i).alias("id"), F.array(*[F.lit(g) for g in c]).alias("groups")) for i, c in enumerate(combos)])
-    rows = attach(folds, bounds, list(keys)).withColumn("__s", F.explode(laid))
+    every = F.explode(F.sequence(F.lit(0), splits.agg(F.max("split_id")).scalar()))
+    rows = attach(folds, bounds, list(keys)).withColumn("split_id", every).join(splits, "split_id")
     gap = F.floor(F.col("n_obs") * F.lit(float(embargo_pct)))
-    groups = F.col("__s.groups")
+    groups = F.col("groups")
     block = lambda g: F.get("__b", g)
     overlaps = F.exists(groups, lambda g: (F.col("dt") <= block(g)["dt_end"]) & (F.col("label_end") >= block(g)["dt_start"]))
     after = F.exists(groups, lambda g: (F.col("obs_idx") > block(g)["idx_end"]) & (F.col("obs_idx") <= block(g)["idx_end"] + gap))
     role = F.when(F.array_contains(groups, F.col("fold")), "test").when(overlaps, "purged").when(after, "embargo").otherwise("train")
-    return rows.select(*keys, F.col("__s.id").alias("split_id"), "obs_idx", "dt", role.alias("role"))
+    return rows.select(*keys, "split_id", "obs_idx", "dt", role.alias("role"))
 
 
 def purged_kfold(obs: DataFrame, *, k: int, embargo_pct: float = 0.05, keys: Sequence[str] = (), order: Sequence[str] = ("dt",)) -> DataFrame:
     """(split_id, obs_idx, dt, role) of k contiguous test folds."""
     _check(k, 1, embargo_pct)
-    return _splits(contiguous_folds(obs, k, keys=keys, order=order), [(i,) for i in range(k)], embargo_pct, keys)
+    return _splits(contiguous_folds(obs, k, keys=keys, order=order), split_table(obs.sparkSession, k, 1), embargo_pct, keys)
 
 
 def walk_forward(obs: DataFrame, *, train_end: str, test_start: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -83,22 +84,48 @@ def walk_forward(obs: DataFrame, *, train_end: str, test_start: str, keys: Seque
 
 
 def combinations(n_groups: int, k_test: int) -> list[tuple[int, ...]]:
-    """Test-group choices in lexicographic order (parameter-sized)."""
+    """Test-group choices in lexicographic order, as `split_table` numbers them; for small choices."""
     return list(itertools.combinations(range(n_groups), k_test))
 
 
+def unrank(number: Column, n_groups: int, k_test: int) -> Column:
+    """The `number`-th (from 0) of the ascending choices of k_test of n_groups groups, in lexicographic order.
+
+    Groups are passed in turn: as many choices take a group next as there are ways to fill the places
+    after it from the groups after it; a number below that takes the group, a larger one is less by that.
+    """
+    ways = F.array(*[F.array(*[F.lit(math.comb(m, j)).cast("long") for j in range(k_test)]) for m in range(n_groups)])
+    start = F.struct(number.cast("long").alias("left"), F.lit(k_test).alias("need"), F.array().cast("array<int>").alias("taken"))
+
+    def look(state: Column, group: Column) -> Column:
+        here = F.get(F.get(ways, F.lit(n_groups - 1) - group), F.greatest(state["need"] - 1, F.lit(0)))
+        take = (state["need"] > 0) & (state["left"] < here)
+        left = F.when((state["need"] > 0) & ~take, state["left"] - here).otherwise(state["left"])
+        taken = F.when(take, F.concat(state["taken"], F.array(group))).otherwise(state["taken"])
+        return F.struct(left.alias("left"), (state["need"] - take.cast("int")).alias("need"), taken.alias("taken"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n_groups - 1)), start, look, lambda state: state["taken"])
+
+
+def split_table(spark: SparkSession, n_groups: int, k_test: int) -> DataFrame:
+    """(split_id, groups) of every choice, worked out from its number; the plan does not grow with their number."""
+    total = math.comb(n_groups, k_test)
+    if total >= 1 << 31:
+        raise ValueError(f"{total} splits are more than can be numbered")
+    return spark.range(total).select(F.col("id").cast("int").alias("split_id"), unrank(F.col("id"), n_groups, k_test).alias("groups"))
+
+
 def cpcv_splits(
     obs: DataFrame, *, n_groups: int, k_test: int, embargo_pct: float = 0.05, keys: Sequence[str] = (), order: Sequence[str] = ("dt",)
 ) -> DataFrame:
     """(split_id, obs_idx, dt, role) of every choice of k_test test groups."""
     _check(n_groups, k_test, embargo_pct)
-    return _splits(contiguous_folds(obs, n_groups, keys=keys, order=order), combinations(n_groups, k_test), embargo_pct, keys)
+    return _splits(contiguous_folds(obs, n_groups, keys=keys, order=order), split_table(obs.sparkSession, n_groups, k_test), embargo_pct, keys)
 
 
 def split_groups(spark: SparkSession, n_groups: int, k_test: int) -> DataFrame:
     """(split_id, group): the test groups of each split."""
-    rows = [(i, g) for i, c in enumerate(combinations(n_groups, k_test)) for g in c]
-    return spark.createDataFrame(rows, "split_id int, `group` int")
+    return split_table(spark, n_groups, k_test).select("split_id", F.explode("groups").alias("group"))
 
 
 def path_count(n_groups: int, k_test: int) -> int:

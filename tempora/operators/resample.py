@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.plans.ranks import kth_smallest
+from tempora.plans.ranks import attach, kth_smallest
 from tempora.plans.running import index_block, running
 
 # Fixed value: below this many paths a distribution is called a small sample.
 STABLE_COUNT = 30
+#: Positions of a series that one task sums lag products over.
+LAG_BLOCK = 1 << 12
 
 
 def nearest_rank(df: DataFrame, *, keys: Sequence[str], value: str, pcts: Sequence[float]) -> DataFrame:
@@ -52,22 +54,36 @@ def indexed(series: DataFrame, *, keys: Sequence[str], order: str, block: Column
 
 
 def autocorrelation(
-    series: DataFrame, *, keys: Sequence[str], value: str, max_lag: int, index: str = "idx"
+    series: DataFrame, *, keys: Sequence[str], value: str, max_lag: int, index: str = "idx", rows_per_block: int = LAG_BLOCK
 ) -> DataFrame:
-    """cov(lag)/var with the full-sample mean; `series` has a position column.
+    """cov(lag)/var with the full-sample mean; `series` has a position column without gaps.
 
-    Each value meets its lagged partners by an equi join on position + lag.
+    Positions are cut into blocks, and a block gets the first `max_lag` values of the next one as a
+    halo, so it sums all its lag products by itself: the series is exchanged once, whatever the lags.
     """
     keys = list(keys)
+    size = max(rows_per_block, max_lag)
     stats = series.groupBy(*keys).agg(
         F.avg(value).alias("__m"), F.count(value).alias("n"), (F.var_pop(value) * F.count(value)).alias("__v")
     )
-    centred = series.join(stats, keys).select(*keys, index, (F.col(value) - F.col("__m")).alias("__x"))
-    lags = F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("lag")
-    ahead = centred.select(*keys, F.col(index).alias("__i"), F.col("__x").alias("__y"))
-    pairs = centred.select(*keys, index, "__x", lags).select(*keys, "lag", "__x", (F.col(index) + F.col("lag")).alias("__i"))
-    cov = pairs.join(ahead, keys + ["__i"]).groupBy(*keys, "lag").agg(F.sum(F.col("__x") * F.col("__y")).alias("__c"))
-    every = stats.select(*keys, "n", "__v", lags)
+    home = F.floor(F.col(index) / size)
+    centred = attach(series.select(*keys, index, value), stats.select(*keys, "__m"), keys).select(
+        *keys, index, (F.col(value) - F.col("__m")).alias("x"), home.alias("__home")
+    )
+    lent = (F.col("__home") > 0) & (F.col(index) % size < max_lag)
+    dealt = centred.withColumn("__b", F.explode(F.when(lent, F.array("__home", F.col("__home") - 1)).otherwise(F.array("__home"))))
+    blocks = dealt.groupBy(*keys, "__b").agg(
+        F.sort_array(F.collect_list(F.struct(index, "x"))).alias("__x"), F.count(F.when(F.col("__home") == F.col("__b"), 1)).cast("int").alias("__own")
+    )
+
+    def product(lag: Column):
+        pair = lambda i: F.get("__x", i)["x"] * F.get("__x", i + lag)["x"]
+        return F.aggregate(F.sequence(F.lit(0), F.col("__own") - 1), F.lit(0.0), lambda acc, i: acc + F.coalesce(pair(i), F.lit(0.0)))
+
+    lags = F.sequence(F.lit(1), F.lit(max_lag))
+    sums = blocks.select(*keys, F.posexplode(F.transform(lags, product)).alias("__at", "__c"))
+    cov = sums.groupBy(*keys, (F.col("__at") + 1).alias("lag")).agg(F.sum("__c").alias("__c"))
+    every = stats.select(*keys, "n", "__v", F.explode(lags).alias("lag"))
     value_ = F.when((F.col("__v") > 0) & (F.col("n") > F.col("lag")), F.coalesce("__c", F.lit(0.0)) / F.col("__v")).otherwise(0.0)
     return every.join(cov, keys + ["lag"], "left").select(*keys, "lag", value_.alias("acf"), "n")
 
@@ -118,18 +134,89 @@ def stationary_bootstrap(
     return placed.join(series.select(*keys, index, value), keys + [index]).select(*keys, "path", "step", index, value)
 
 
+def bootstrap_blocks(
+    series: DataFrame, *, keys: Sequence[str], n_paths: int, block_length: float | Column, seed: int, index: str = "idx"
+) -> DataFrame:
+    """(keys, path, at, start, length, size): the blocks that the paths of `stationary_bootstrap` are made of.
+
+    A block is the steps from a restart up to the next one; they are consecutive values of the series
+    from `start` on, wrapping around.  A path has about 1/L as many blocks as steps.
+    """
+    if not isinstance(block_length, Column):
+        if block_length <= 1.0:
+            raise ValueError(f"block_length must exceed 1, got {block_length}")
+        block_length = F.lit(float(block_length))
+    if n_paths < 1:
+        raise ValueError(f"n_paths must be >= 1, got {n_paths}")
+    keys = list(keys)
+    sizes = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
+    steps = attach(series.select(*keys, F.col(index).alias("at")), sizes, keys).withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1))))
+    labels = [F.col(k) for k in keys] + [F.col("path"), F.col("at")]
+    fresh = (F.col("at") == 0) | (hashed_uniform(seed, *labels, F.lit("r")) < 1.0 / block_length)
+    start = F.floor(hashed_uniform(seed, *labels, F.lit("s")) * F.col("size")).cast("long")
+    begun = steps.filter(fresh).select(*keys, "path", "at", start.alias("start"), "size")
+    ended = running(begun, keys=[*keys, "path"], order=["at"], exprs={"__next": ("lag", "at")}, block=index_block("at"), descending=True)
+    return ended.select(*keys, "path", "at", "start", (F.coalesce("__next", "size") - F.col("at")).alias("length"), "size")
+
+
+def path_moments(series: DataFrame, blocks: DataFrame, *, keys: Sequence[str], value: str, index: str = "idx") -> DataFrame:
+    """(keys, path, n, mean, std) of resampled paths, std the sample deviation.
+
+    A block's sum and sum of squares are differences of prefix sums at its ends, so a path costs two
+    or three lookups a block and its steps are never written out.  Sums are taken about the series'
+    mean; a deviation below rounding (1e-6 of the series' own) is 0.
+    """
+    keys = list(keys)
+    whole = series.groupBy(*keys).agg(F.avg(value).alias("__m"), F.var_samp(value).alias("__v"))
+    y = F.col(value) - F.col("__m")
+    prefix = running(
+        attach(series.select(*keys, index, value), whole, keys), keys=keys, order=[index], block=index_block(index),
+        exprs={"__0": ("count", value), "__1": ("sum", y), "__2": ("sum", y * y)},
+    ).select(*keys, F.col(index).alias("__at"), "__0", F.coalesce("__1", F.lit(0.0)).alias("__1"), F.coalesce("__2", F.lit(0.0)).alias("__2"))
+    last = F.col("start") + F.col("length") - 1
+    ends = F.array(
+        F.struct(F.least(last, F.col("size") - 1).alias("at"), F.lit(1).alias("sign")),
+        F.when(F.col("start") > 0, F.struct((F.col("start") - 1).alias("at"), F.lit(-1).alias("sign"))),
+        F.when(last >= F.col("size"), F.struct((last - F.col("size")).alias("at"), F.lit(1).alias("sign"))),
+    )
+    asked = blocks.select(*keys, "path", F.explode(F.filter(ends, lambda e: e.isNotNull())).alias("__e"))
+    # Ends at one place of a path add up before they are looked up.
+    asked = asked.groupBy(*keys, "path", F.col("__e.at").alias("__at")).agg(F.sum("__e.sign").alias("__s"))
+    sums = asked.join(prefix, [*keys, "__at"]).groupBy(*keys, "path").agg(*[F.sum(F.col("__s") * F.col(f"__{i}")).alias(f"__{i}") for i in range(3)])
+    n = F.col("__0")
+    var = F.when(n > 1, F.greatest(F.lit(0.0), (F.col("__2") - F.col("__1") * F.col("__1") / n) / (n - 1)))
+    out = attach(sums, whole, keys)
+    return out.select(
+        *keys, "path", n.alias("n"), F.when(n > 0, F.col("__m") + F.col("__1") / n).alias("mean"),
+        F.when(var <= 1e-12 * F.col("__v"), 0.0).otherwise(F.sqrt(var)).alias("std"),
+    )
+
+
+def bootstrap_sharpe_blocks(
+    series: DataFrame, *, keys: Sequence[str], value: str, n_paths: int, block_length: float | Column, seed: int,
+    pcts: Sequence[float] = (5.0, 50.0, 95.0), index: str = "idx",
+) -> DataFrame:
+    """`bootstrap_sharpe` of the paths `stationary_bootstrap` would draw, without writing them out."""
+    blocks = bootstrap_blocks(series, keys=keys, n_paths=n_paths, block_length=block_length, seed=seed, index=index)
+    moments = path_moments(series, blocks, keys=keys, value=value, index=index)
+    sharpe = F.when(F.col("std") > 0, F.col("mean") / F.col("std")).otherwise(0.0)
+    return _sharpe_summary(moments.select(*keys, "path", sharpe.alias("sharpe")), series, keys=list(keys), value=value, pcts=pcts)
+
+
 def bootstrap_sharpe(paths: DataFrame, series: DataFrame, *, keys: Sequence[str], value: str, pcts: Sequence[float] = (5.0, 50.0, 95.0)) -> DataFrame:
     """Nearest-rank percentiles of the per-path Sharpe ratio next to the realised one."""
-    keys = list(keys)
+    return _sharpe_summary(_ratio(paths, [*keys, "path"], value, "sharpe"), series, keys=list(keys), value=value, pcts=pcts)
+
+
+def _ratio(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+    agg = df.groupBy(*by).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"))
+    return agg.select(*by, F.when(F.col("__s") > 0, F.col("__m") / F.col("__s")).otherwise(0.0).alias(name))
 
-    def ratio(df: DataFrame, by: Sequence[str], name: str) -> DataFrame:
-        agg = df.groupBy(*by).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"))
-        return agg.select(*by, F.when(F.col("__s") > 0, F.col("__m") / F.col("__s")).otherwise(0.0).alias(name))
 
-    per_path = ratio(paths, keys + ["path"], "sharpe")
+def _sharpe_summary(per_path: DataFrame, series: DataFrame, *, keys: list[str], value: str, pcts: Sequence[float]) -> DataFrame:
     # One value per path: the group size is the number of paths asked for.
     cut = per_path.groupBy(*keys).agg(
         *[F.expr(f"percentile_disc({p / 100.0}) WITHIN GROUP (ORDER BY sharpe)").alias(f"p{p:g}") for p in pcts],
         F.count(F.lit(1)).alias("n_paths"),
     )
-    return cut.join(ratio(series, keys, "realized_sharpe"), keys)
+    return cut.join(_ratio(series, keys, value, "realized_sharpe"), keys)

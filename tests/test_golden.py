@@ -328,3 +328,51 @@ def test_trials(spark, tmp_path):
     assert log.count() == 2 and {r.status for r in spark.read.parquet(str(tmp_path / "bad")).collect()} == {"no_fingerprint", "not_finite"}
     got = one(T.trial_variance(log, declared_n=30))
     assert (got.n_recorded, got.n_trials, got.status) == (2, 30, "ok") and got.v_sr == pytest.approx(0.02)
+
+
+def test_unranked_splits_equal_the_listed_choices(spark):
+    for n, k in ((2, 1), (6, 2), (7, 3), (9, 8), (10, 5)):
+        got = [tuple(r.groups) for r in CV.split_table(spark, n, k).orderBy("split_id").collect()]
+        assert got == CV.combinations(n, k)
+    assert CV.split_groups(spark, 20, 10).filter("split_id >= 184750").groupBy("split_id").count().count() == 6
+    obs = spark.createDataFrame([(day(i), day(i + 2)) for i in range(40)], "dt date, label_end date")
+    wide = CV.cpcv_splits(obs, n_groups=20, k_test=10)
+    assert len(wide._jdf.queryExecution().executedPlan().toString()) < 200_000
+    with pytest.raises(ValueError):
+        CV.split_table(spark, 60, 30)
+
+
+def test_blocks_give_the_moments_of_written_out_paths(spark):
+    from tempora.operators import resample as RS
+    rng = random.Random(31)
+    rows = [("a", i, rng.gauss(0.001, 0.02)) for i in range(150)] + [("b", i, 0.5) for i in range(40)] + [("c", 0, 1.0)]
+    series = spark.createDataFrame(rows, "curve_id string, idx long, r double")
+    args = dict(keys=["curve_id"], n_paths=25, block_length=6.0, seed=3)
+    paths = RS.stationary_bootstrap(series, value="r", **args)
+    want = {(r.curve_id, r.path): r for r in paths.groupBy("curve_id", "path").agg(F.count("r").alias("n"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s")).collect()}
+    got = {(r.curve_id, r.path): r for r in RS.path_moments(series, RS.bootstrap_blocks(series, **args), keys=["curve_id"], value="r").collect()}
+    assert got.keys() == want.keys()
+    for k, w in want.items():
+        assert got[k].n == w.n and got[k].mean == pytest.approx(w.m, rel=1e-9, abs=1e-12)
+        assert (got[k].std is None) == (w.s is None) and (w.s is None or got[k].std == pytest.approx(w.s, rel=1e-8, abs=1e-12))
+    one_way = {r.curve_id: r for r in RS.bootstrap_sharpe(paths, series, keys=["curve_id"], value="r").collect()}
+    other = {r.curve_id: r for r in RS.bootstrap_sharpe_blocks(series, value="r", **args).collect()}
+    for k, w in one_way.items():
+        assert (other[k].p5, other[k].p50, other[k].p95) == pytest.approx((w.p5, w.p50, w.p95), rel=1e-8, abs=1e-12)
+
+
+def test_autocorrelation_by_blocks_equals_plain_sums(spark):
+    from tempora.operators import resample as RS
+    rng = random.Random(32)
+    rows = [("a", i, rng.gauss(0, 1)) for i in range(77)] + [("b", i, 2.0) for i in range(9)] + [("c", i, float(i % 3)) for i in range(4)]
+    series = spark.createDataFrame(rows, "k string, idx long, r double")
+    got = {(r.k, r.lag): (r.acf, r.n) for r in RS.autocorrelation(series, keys=["k"], value="r", max_lag=6, rows_per_block=10).collect()}
+    for k in "abc":
+        x = [r for kk, _, r in rows if kk == k]
+        m = sum(x) / len(x)
+        v = sum((a - m) ** 2 for a in x)
+        for lag in range(1, 7):
+            want = sum((x[i] - m) * (x[i + lag] - m) for i in range(len(x) - lag)) / v if v > 0 and len(x) > lag else 0.0
+            assert got[(k, lag)] == (pytest.approx(want, abs=1e-12), len(x))
+    plan = RS.autocorrelation(series, keys=["k"], value="r", max_lag=6)._jdf.queryExecution().executedPlan().toString()
+    assert "idx" not in "".join(line for line in plan.splitlines() if "Join" in line)
