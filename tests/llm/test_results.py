@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import re
 import zlib
 from collections import Counter
@@ -92,7 +93,53 @@ def test_reparameterised_questions_are_caught(spark):
         (4, "the farmer sold apples"), (5, item.upper().replace(" ", "!! ")), (6, "completely other words that share nothing with any question at all here"),
     ]
     got = decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
-    assert {r.doc_id for r in got if r.contaminated} >= {1, 2} and not {4, 6, 3} & {r.doc_id for r in got if r.contaminated}
+    assert {r.doc_id for r in got if r.contaminated} >= {1, 2, 5} and not {4, 6, 3} & {r.doc_id for r in got if r.contaminated}
+
+
+ITEMS = {
+    "a": "A train leaves Boston at 9 and reaches New York at 13 after 340 km. How fast does the train go between Boston and New York on average?",
+    "b": "Natalia sold clips to 48 of her friends in April and then she sold half as many clips in May. How many clips did Natalia sell in April and May?",
+    "c": "3 17 24 5 98 61 12 45 77 20 31 8",
+}
+
+
+def shapes_of(text):
+    w = text.split()
+    yield from (text, text.lower(), text.upper())
+    for n in (3, 8, 9):
+        yield "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+
+
+def test_copies_in_any_case_and_with_any_line_breaks(spark):
+    rows, want = [], {}
+    for item, text in ITEMS.items():
+        for shape in shapes_of(text):
+            want[len(rows)] = item
+            rows.append((len(rows), f"Some words come before it. {shape} And some after that"))
+    clean = [
+        "The train from Boston was late and nobody in New York knew how fast it would go between the two", " ".join(map(str, range(100, 400))),
+        "Natalia sold her house in May and moved to the sea with 48 of her books and half as many plants",
+        # The template of an item, one of whose names stands for two others.
+        ITEMS["b"].replace("April and May", "June and July"),
+    ]
+    other = ITEMS["b"].replace("Natalia", "Marta").replace("April", "June").replace("May", "July").replace("48", "96")
+    rows += [(100 + i, t) for i, t in enumerate(clean)] + [(200, f"So: {other}")]
+    bench = spark.createDataFrame([*ITEMS.items(), (None, "one item that has no name but as many words as it takes to be found"), ("a", ITEMS["a"]), ("d", None)], "item_id string, text string")
+    rows.append((300, "one item that has no name but as many words as it takes to be found"))
+    got = {r.doc_id: r for r in decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert {i: got[i].item_ids for i in want} == {i: [item] for i, item in want.items()}
+    assert not any(got[100 + i].contaminated for i in range(4)) and got[200].item_ids == ["b"]
+    assert got[300].contaminated and got[300].item_ids == [] and len(got) == len(rows)
+
+
+def test_tables_of_numbers_meet_in_few_rows(spark):
+    numbers = " ".join(str(i % 991) for i in range(20_000))
+    same = "7 " * 20_000
+    bench = spark.createDataFrame([(1, " ".join(str(3 * i) for i in range(200))), (2, "7 " * 200)], "item_id long, text string")
+    decontaminate(spark.createDataFrame([(0, "warm up")], "doc_id long, text string"), bench).collect()
+    began = time.time()
+    got = {r.doc_id: r.item_ids for r in decontaminate(spark.createDataFrame([(1, numbers), (2, same), (3, "x " + "7 " * 20)], "doc_id long, text string"), bench).collect()}
+    assert got == {1: [], 2: [2], 3: [2]} and time.time() - began < 20
 
 
 def jaccard_components(rows, percent):
