@@ -107,8 +107,7 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count() > 0
 
 
-@pytest.mark.parametrize("text", ["mail a@b" + ".c" * 500_000, "a." * 500_000 + "@b.c", "a@" * 400_000, "1" * 1_000_000, "f" * 1_000_000, "1.2." * 500, "+1 234 " * 500, "12/" * 5_000, "4111 " * 500])
-def test_pseudonyms_of_a_million_characters(spark, text):
-    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    row = pseudonymise(d, "k").first()
-    assert len(row.text) >= len(text) - 1 and pseudonymise(d, "k").first() == row
+def test_pseudonyms_of_a_million_characters(spark):
+    texts = ["mail a@b" + ".c" * 500_000, "a." * 500_000 + "@b.c", "a@" * 400_000, "1" * 1_000_000, "f" * 1_000_000, "1.2." * 500, "+1 234 " * 500, "4111 " * 500]
+    got = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8), "k").collect()}
+    assert all(len(got[i].text) == len(t) for i, t in enumerate(texts)) and got[0].n_email == 1 and got[3].text == texts[3]
