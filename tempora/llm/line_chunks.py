@@ -1,9 +1,13 @@
 """Removal of passages of lines that repeat across documents.
 
-A text is cut behind every line whose hash, rolled with the hash of the line before, is a multiple
-of ``spread``: the cuts depend on the lines around them only, so an insertion shifts none of the
-later ones.  Chunks of several lines whose hash occurs more than once are compared by their bytes;
-the first copy stays and the others go.
+A hash is rolled over every line and the one before it.  A line is a boundary when its rolled hash
+is the least of some three in a row: that depends on the lines around it only, so an insertion
+shifts no later boundary, and any four lines in a row hold one that all their copies share.  The
+two lines that a boundary was rolled over are a chunk; so is every line of ``LONG_LINE`` words,
+as a passage of fewer than four lines may have no boundary of its own.  Chunks that occur more
+than once are compared by their bytes, and each copy is extended into the two lines before and
+behind it as far as they equal those of the first copy.  Neighbouring chunks are three lines apart
+at most, so together these cover a repeated passage from its first line to its last.
 """
 
 from __future__ import annotations
@@ -11,59 +15,105 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import stage
+from tempora.llm.common import WORD, stage
 
-SPREAD = 3
+#: A passage of more than 50 words in fewer than four lines has a line of 17.
+LONG_LINE, MIN_WORDS = 17, 50
 
 
-def chunks(lines: Column, spread: int) -> Column:
-    """Arrays of (first, last) line numbers from 1 on, covering all lines."""
-    h = F.transform(lines, lambda x: F.xxhash64(x))
-    rolled = F.slice(F.zip_with(F.concat(F.array(F.lit(0).cast("long")), h), h, lambda a, b: F.xxhash64(a, b)), 1, F.size(lines))
-    cuts = F.filter(F.transform(rolled, lambda r, i: F.when((F.pmod(r, F.lit(spread)) == 0) | (i + 1 == F.size(lines)), i + 1)), lambda i: i.isNotNull())
-    return F.zip_with(F.concat(F.array(F.lit(0)), F.slice(cuts, 1, F.size(cuts) - 1)), cuts, lambda a, b: F.struct((a + 1).alias("first"), b.alias("last")))
+def n_words(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(WORD))
 
 
-def text_of(lines: Column, first: Column, last: Column) -> Column:
-    return F.array_join(F.slice(lines, first, last - first + 1), "\n")
+def with_chunks(d: DataFrame) -> DataFrame:
+    """Adds ``chunks``, structs of first and last line (from 1 on) and hash, for the column ``lines``."""
+    hashes = F.transform("lines", lambda x: F.xxhash64(x))
+    d = d.withColumn("hashes", hashes)
+    rolled = F.zip_with(F.concat(F.array(F.lit(None).cast("long")), "hashes"), "hashes", lambda a, b: F.when(a.isNotNull(), F.xxhash64(a, b)))
+    d = d.withColumn("rolled", F.slice(rolled, F.lit(1), F.size("hashes")))
 
+    def least(r: Column, k: Column) -> Column:
+        two_before, before, behind, two_behind = (F.coalesce(r <= F.get("rolled", k + j), F.lit(True)) for j in (-2, -1, 1, 2))
+        return r.isNotNull() & ((two_before & before) | (before & behind) | (behind & two_behind))
 
-def dedup_line_chunks(docs: DataFrame, spread: int = SPREAD) -> DataFrame:
-    """Every row without the repeated chunks: doc_id, text, n_lines, n_chunks, n_removed_chunks, n_removed_lines.
+    def has_word(k: Column) -> Column:
+        return F.coalesce(F.regexp_like(F.get("lines", k), F.lit(WORD)), F.lit(False))
 
-    ``docs`` needs doc_id and text; other columns are ignored.  Chunks of one line, and chunks of
-    blank lines only, are never removed.  Of equal chunks the one with the least doc_id (null first)
-    and then line stays.  A null text stays null and has no lines; an empty text is one empty line.
-    Rows that repeat doc_id and text are one document and lose the same lines.  An empty table gives
-    an empty result.
+    pair = F.transform("rolled", lambda r, k: F.when(least(r, k) & (has_word(k) | has_word(k - 1)), F.struct(k.alias("first"), (k + 1).alias("last"), r.alias("h"))))
+    single = F.transform("lines", lambda x, k: F.when(n_words(x) >= LONG_LINE, F.struct((k + 1).alias("first"), (k + 1).alias("last"), F.get("hashes", k).alias("h"))))
+    return d.withColumn("chunks", F.filter(F.concat(pair, single), lambda c: c.isNotNull())).drop("hashes", "rolled")
+
+
+def runs(numbers: str) -> Column:
+    """A column of sorted line numbers as structs (first, last) of consecutive ones."""
+    first = F.filter(numbers, lambda x, k: F.coalesce(F.get(numbers, k - 1) < x - 1, F.lit(True)))
+    last = F.filter(numbers, lambda x, k: F.coalesce(F.get(numbers, k + 1) > x + 1, F.lit(True)))
+    return F.zip_with(first, last, lambda a, b: F.struct(a.alias("first"), b.alias("last")))
+
+
+def dedup_line_chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Every row without the repeated passages: doc_id, text, n_lines, n_chunks, n_removed_chunks, n_removed_lines.
+
+    ``docs`` needs doc_id and text; other columns are ignored.  A passage goes when it has two lines
+    with words, or one line of ``min_words`` words; n_removed_chunks counts passages, and those
+    that adjoin are one.  Blank lines go only inside or beside one.  Of equal chunks the one with the least doc_id (null first) and then
+    line stays, so a line goes only if an earlier equal one stays.  Lines beside a chunk are compared
+    with those of its first copy by 128 bits of SHA-256.  A null text stays null and has no lines; an
+    empty text is one empty line.  Rows that repeat doc_id and text are one document and lose the
+    same lines.  An empty table gives an empty result.
     """
     row = F.xxhash64("doc_id", "text")
     lines = F.split(F.col("text"), "\n")
-    d = docs.where(F.col("text").contains("\n")).select("doc_id", row.alias("row"), lines.alias("lines"))
-    d = d.select("doc_id", "row", "lines", chunks(F.col("lines"), spread).alias("chunks"))
-    several = F.filter("chunks", lambda c: c["last"] > c["first"])
-    hashed = F.transform(several, lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last"), F.xxhash64(F.slice("lines", c["first"], c["last"] - c["first"] + 1)).alias("h")))
-    found = stage(d.select("doc_id", "row", F.explode(hashed).alias("c")).select("doc_id", "row", "c.*").distinct())
-    repeated = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    suspects = stage(found.join(repeated, "h", "left_semi").groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "last", "h")).alias("cs")))
+    d = with_chunks(docs.select("doc_id", row.alias("row"), lines.alias("lines")))
+    found = stage(d.select("doc_id", "row", F.explode("chunks").alias("c")).select("doc_id", "row", "c.*"))
+    # Numbers of places, so that a frequent chunk is reduced before the shuffle by hash aggregation.
+    place = F.xxhash64("doc_id", "row", "first", "last")
+    repeated = found.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select("h")
+    suspects = stage(found.join(repeated, "h", "left_semi").groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "last", "h")).alias("cs")))
     # The bytes of suspected chunks only; the chunks of one document are few.  Joins with texts are
     # merge joins at every size, as what they are joined with grows with the input.
     s = suspects.withColumnsRenamed({"doc_id": "__d", "row": "__r"}).hint("merge")
     texts = docs.select("doc_id", "text", row.alias("row")).join(s, (F.col("row") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__d")))
-    each = texts.select("doc_id", "row", lines.alias("lines"), "cs").select("doc_id", "row", F.explode(F.transform("cs", lambda c: F.struct(c["first"].alias("first"), c["last"].alias("last"), c["h"].alias("h"), text_of(F.col("lines"), c["first"], c["last"]).alias("body")))).alias("c"))
-    each = each.select("doc_id", "row", "c.*").where(F.col("body").rlike(r"[^\x20\x09-\x0D]"))
+    texts = texts.select("doc_id", "row", lines.alias("lines"), "cs")
+    texts = texts.withColumn("digests", F.transform("lines", lambda x: F.unhex(F.substring(F.sha2(x, 256), 1, 32))))
+    beside = {"before": -2, "before_it": -3, "behind": 0, "behind_it": 1}
+
+    def chunk(c: Column) -> Column:
+        around = [F.get("digests", (c["first"] if name.startswith("before") else c["last"]) + j).alias(name) for name, j in beside.items()]
+        body = F.array_join(F.slice("lines", c["first"], c["last"] - c["first"] + 1), "\n")
+        return F.struct(c["first"].alias("first"), c["last"].alias("last"), c["h"].alias("h"), body.alias("body"), *around)
+
+    each = texts.select("doc_id", "row", F.explode(F.transform("cs", chunk)).alias("c")).select("doc_id", "row", "c.*")
     at = F.struct("doc_id", "first", "row")
-    copies = each.groupBy("h", "body").agg(F.min(at).alias("keeps"), F.max(at).alias("last_one")).where(~F.col("keeps").eqNullSafe(F.col("last_one"))).drop("last_one")
-    gone = each.join(copies, ["h", "body"]).where(~at.eqNullSafe(F.col("keeps"))).select("doc_id", "row", "first", "last").distinct()
-    gone = stage(gone.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "last")).alias("gone")).withColumnsRenamed({"doc_id": "__d", "row": "__r"}))
+    first_copy = F.struct("doc_id", "first", "row", *beside)
+    copies = each.groupBy("h", "body").agg(F.min(first_copy).alias("keeps"), F.max(at).alias("last_one"))
+    kept_at = F.struct("keeps.doc_id", "keeps.first", "keeps.row")
+    copies = copies.where(~kept_at.eqNullSafe(F.col("last_one"))).select("h", "body", "keeps")
+    gone = each.join(copies, ["h", "body"]).where(~at.eqNullSafe(kept_at))
+
+    def reach(one: str, two: str) -> Column:
+        equal = [F.coalesce(F.col(x) == F.col(f"keeps.{x}"), F.lit(False)) for x in (one, two)]
+        return F.when(~equal[0], 0).when(~equal[1], 1).otherwise(2)
+
+    gone = gone.select("doc_id", "row", (F.col("first") - reach("before", "before_it")).alias("first"), (F.col("last") + reach("behind", "behind_it")).alias("last"))
+    gone = gone.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
+    gone = stage(gone.withColumnsRenamed({"doc_id": "__d", "row": "__r"}))
     out = docs.select("doc_id", "text", row.alias("row")).join(gone.hint("merge"), (F.col("row") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left")
-    out = out.select("doc_id", "text", lines.alias("lines"), F.coalesce("gone", F.array().cast("array<struct<first:int,last:int>>")).alias("gone"))
-    out = out.select("doc_id", "text", "lines", "gone", chunks(F.col("lines"), spread).alias("chunks"))
-    left = F.filter("chunks", lambda c: ~F.array_contains("gone", F.struct(c["first"].alias("first"), c["last"].alias("last"))))
-    kept = F.array_join(F.transform(left, lambda c: text_of(F.col("lines"), c["first"], c["last"])), "\n")
-    n_gone = F.aggregate("gone", F.lit(0), lambda n, c: n + c["last"] - c["first"] + 1)
+    out = with_chunks(out.select("doc_id", "text", lines.alias("lines"), F.coalesce("gone", F.array().cast("array<struct<first:int,last:int>>")).alias("gone")))
+    numbers = F.array_sort(F.array_distinct(F.flatten(F.transform("gone", lambda g: F.sequence(g["first"], g["last"])))))
+    out = out.withColumn("numbers", numbers)
+
+    def is_passage(r: Column) -> Column:
+        counts = F.transform(F.slice("lines", r["first"], r["last"] - r["first"] + 1), n_words)
+        return (F.size(F.filter(counts, lambda n: n > 0)) > 1) | (F.aggregate(counts, F.lit(0), lambda a, n: a + n) >= min_words)
+
+    out = out.withColumn("passages", F.filter(runs("numbers"), is_passage))
+    starts = F.concat(F.array(F.lit(1)), F.transform("passages", lambda r: r["last"] + 1))
+    ends = F.concat(F.transform("passages", lambda r: r["first"] - 1), F.array(F.size("lines")))
+    left = F.zip_with(starts, ends, lambda a, b: F.slice("lines", a, F.greatest(b - a + 1, F.lit(0))))
+    n_gone = F.aggregate("passages", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
     return out.select(
-        "doc_id", F.when(F.size("gone") > 0, kept).otherwise(F.col("text")).alias("text"),
+        "doc_id", F.when(F.size("passages") > 0, F.array_join(F.flatten(left), "\n")).otherwise(F.col("text")).alias("text"),
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("chunks"), F.lit(0)).cast("long").alias("n_chunks"),
-        F.size("gone").cast("long").alias("n_removed_chunks"), n_gone.cast("long").alias("n_removed_lines"),
+        F.size("passages").cast("long").alias("n_removed_chunks"), n_gone.cast("long").alias("n_removed_lines"),
     )
