@@ -3,11 +3,11 @@
 A hash is rolled over every line and the one before it.  A line is a boundary when its rolled hash
 is the least of some three in a row: that depends on the lines around it only, so an insertion
 shifts no later boundary, and any four lines in a row hold one that all their copies share.  The
-two lines that a boundary was rolled over are a chunk; so is every line of ``LONG_LINE`` words,
-as a passage of fewer than four lines may have no boundary of its own.  Chunks that occur more
-than once are compared by their bytes, and each copy is extended into the two lines before and
-behind it as far as they equal those of the first copy.  Neighbouring chunks are three lines apart
-at most, so together these cover a repeated passage from its first line to its last.
+two lines that a boundary was rolled over are a chunk.  A line of ``LONG_LINE`` words is a chunk
+of its own, instead of the pairs with it: a passage of fewer than four lines may have no boundary.
+Chunks that occur more than once are compared by their bytes, and each copy is extended into the
+three lines before and behind it as far as they equal those of the first copy.  As chunks follow
+each other that closely, these cover a repeated passage from its first line to its last.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from tempora.llm.common import WORD, stage
 
 #: A passage of more than 50 words in fewer than four lines has a line of 17.
 LONG_LINE, MIN_WORDS = 17, 50
+#: Lines looked at on either side of a chunk.
+REACH = 3
 
 
 def n_words(line: Column) -> Column:
@@ -27,8 +29,7 @@ def n_words(line: Column) -> Column:
 
 def with_chunks(d: DataFrame) -> DataFrame:
     """Adds ``chunks``, structs of first and last line (from 1 on) and hash, for the column ``lines``."""
-    hashes = F.transform("lines", lambda x: F.xxhash64(x))
-    d = d.withColumn("hashes", hashes)
+    d = d.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x))).withColumn("counts", F.transform("lines", n_words))
     rolled = F.zip_with(F.concat(F.array(F.lit(None).cast("long")), "hashes"), "hashes", lambda a, b: F.when(a.isNotNull(), F.xxhash64(a, b)))
     d = d.withColumn("rolled", F.slice(rolled, F.lit(1), F.size("hashes")))
 
@@ -36,12 +37,13 @@ def with_chunks(d: DataFrame) -> DataFrame:
         two_before, before, behind, two_behind = (F.coalesce(r <= F.get("rolled", k + j), F.lit(True)) for j in (-2, -1, 1, 2))
         return r.isNotNull() & ((two_before & before) | (before & behind) | (behind & two_behind))
 
-    def has_word(k: Column) -> Column:
-        return F.coalesce(F.regexp_like(F.get("lines", k), F.lit(WORD)), F.lit(False))
+    def short_pair(k: Column) -> Column:
+        a, b = F.get("counts", k - 1), F.get("counts", k)
+        return (a + b > 0) & (F.greatest(a, b) < LONG_LINE)
 
-    pair = F.transform("rolled", lambda r, k: F.when(least(r, k) & (has_word(k) | has_word(k - 1)), F.struct(k.alias("first"), (k + 1).alias("last"), r.alias("h"))))
-    single = F.transform("lines", lambda x, k: F.when(n_words(x) >= LONG_LINE, F.struct((k + 1).alias("first"), (k + 1).alias("last"), F.get("hashes", k).alias("h"))))
-    return d.withColumn("chunks", F.filter(F.concat(pair, single), lambda c: c.isNotNull())).drop("hashes", "rolled")
+    pair = F.transform("rolled", lambda r, k: F.when(least(r, k) & short_pair(k), F.struct(k.alias("first"), (k + 1).alias("last"), r.alias("h"))))
+    single = F.transform("hashes", lambda h, k: F.when(F.get("counts", k) >= LONG_LINE, F.struct((k + 1).alias("first"), (k + 1).alias("last"), h.alias("h"))))
+    return d.withColumn("chunks", F.filter(F.concat(pair, single), lambda c: c.isNotNull())).drop("hashes", "rolled", "counts")
 
 
 def runs(numbers: str) -> Column:
@@ -65,7 +67,8 @@ def dedup_line_chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     row = F.xxhash64("doc_id", "text")
     lines = F.split(F.col("text"), "\n")
     d = with_chunks(docs.select("doc_id", row.alias("row"), lines.alias("lines")))
-    found = stage(d.select("doc_id", "row", F.explode("chunks").alias("c")).select("doc_id", "row", "c.*"))
+    # A plain explode would filter by its array first, worked out anew from the text within each lambda.
+    found = stage(d.select("doc_id", "row", F.explode_outer("chunks").alias("c")).where("c is not null").select("doc_id", "row", "c.*"))
     # Numbers of places, so that a frequent chunk is reduced before the shuffle by hash aggregation.
     place = F.xxhash64("doc_id", "row", "first", "last")
     repeated = found.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select("h")
@@ -76,26 +79,28 @@ def dedup_line_chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     texts = docs.select("doc_id", "text", row.alias("row")).join(s, (F.col("row") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__d")))
     texts = texts.select("doc_id", "row", lines.alias("lines"), "cs")
     texts = texts.withColumn("digests", F.transform("lines", lambda x: F.unhex(F.substring(F.sha2(x, 256), 1, 32))))
-    beside = {"before": -2, "before_it": -3, "behind": 0, "behind_it": 1}
+    before, behind = [f"before_{j}" for j in range(REACH)], [f"behind_{j}" for j in range(REACH)]
 
     def chunk(c: Column) -> Column:
-        around = [F.get("digests", (c["first"] if name.startswith("before") else c["last"]) + j).alias(name) for name, j in beside.items()]
+        around = [F.get("digests", c["first"] - 2 - j).alias(x) for j, x in enumerate(before)] + [F.get("digests", c["last"] + j).alias(x) for j, x in enumerate(behind)]
         body = F.array_join(F.slice("lines", c["first"], c["last"] - c["first"] + 1), "\n")
         return F.struct(c["first"].alias("first"), c["last"].alias("last"), c["h"].alias("h"), body.alias("body"), *around)
 
-    each = texts.select("doc_id", "row", F.explode(F.transform("cs", chunk)).alias("c")).select("doc_id", "row", "c.*")
+    each = texts.select("doc_id", "row", F.explode_outer(F.transform("cs", chunk)).alias("c")).where("c is not null").select("doc_id", "row", "c.*")
     at = F.struct("doc_id", "first", "row")
-    first_copy = F.struct("doc_id", "first", "row", *beside)
+    first_copy = F.struct("doc_id", "first", "row", *before, *behind)
     copies = each.groupBy("h", "body").agg(F.min(first_copy).alias("keeps"), F.max(at).alias("last_one"))
     kept_at = F.struct("keeps.doc_id", "keeps.first", "keeps.row")
     copies = copies.where(~kept_at.eqNullSafe(F.col("last_one"))).select("h", "body", "keeps")
     gone = each.join(copies, ["h", "body"]).where(~at.eqNullSafe(kept_at))
 
-    def reach(one: str, two: str) -> Column:
-        equal = [F.coalesce(F.col(x) == F.col(f"keeps.{x}"), F.lit(False)) for x in (one, two)]
-        return F.when(~equal[0], 0).when(~equal[1], 1).otherwise(2)
+    def reach(names: list[str]) -> Column:
+        n = F.lit(len(names))
+        for j, x in reversed(list(enumerate(names))):
+            n = F.when(F.col(x) == F.col(f"keeps.{x}"), n).otherwise(j)
+        return n
 
-    gone = gone.select("doc_id", "row", (F.col("first") - reach("before", "before_it")).alias("first"), (F.col("last") + reach("behind", "behind_it")).alias("last"))
+    gone = gone.select("doc_id", "row", (F.col("first") - reach(before)).alias("first"), (F.col("last") + reach(behind)).alias("last"))
     gone = gone.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
     gone = stage(gone.withColumnsRenamed({"doc_id": "__d", "row": "__r"}))
     out = docs.select("doc_id", "text", row.alias("row")).join(gone.hint("merge"), (F.col("row") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("__d")), "left")
