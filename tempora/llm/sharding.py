@@ -1,5 +1,7 @@
 """Shards of even size that keep linked documents together, by balanced label propagation.
 
+Documents are linked if their texts are equal and, on request, if they share one of the least
+hashes of their word windows, as documents with a common passage are likely to.
 Every document starts with a pseudo-random shard as its label.  In each round a document looks at
 its neighbours' labels and asks to move to the most frequent one if more neighbours are there
 than on its own shard.  A shard admits no more than its free capacity: each asking document is
@@ -13,9 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.common import stage
+from tempora.llm.common import stage, words
+from tempora.llm.decontamination import window_hashes
 
-ROWS_PER_BUCKET = 512
+ROWS_PER_BUCKET, SHINGLE = 512, 5
 
 
 def chance(*cols: Column) -> Column:
@@ -60,8 +63,8 @@ def propagate(vertices: DataFrame, links: DataFrame, shards: int, rounds: int, s
     return linked.select("vid", "label")
 
 
-def text_links(rows: DataFrame, most: Column) -> DataFrame:
-    """Star links between documents of equal text; a group larger than ``most`` becomes linked stars of at most about that size."""
+def group_links(rows: DataFrame, most: Column) -> DataFrame:
+    """Star links between the documents (vid) of a group; one larger than ``most`` becomes linked stars of at most about that size."""
     sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     member = rows.join(sizes, "group").withColumn("part", F.floor(chance(F.col("vid"), F.lit("part")) * F.ceil(F.col("n") / most)))
     hubs = stage(member.groupBy("group", "part").agg(F.min("vid").alias("hub")))
@@ -70,10 +73,16 @@ def text_links(rows: DataFrame, most: Column) -> DataFrame:
     return stars.union(chain.select(F.col("hub").alias("a"), F.col("before").alias("b"))).where("a != b").distinct()
 
 
-def shard(docs: DataFrame, shards: int = 40, law: str = "rows", rounds: int = 8, slack: float = 1.2) -> DataFrame:
+def least_hashes(text: Column, count: int) -> Column:
+    """The ``count`` least hashes of a text's windows of five lower-case words (all, if fewer)."""
+    return F.slice(F.sort_array(F.array_distinct(window_hashes(words(F.lower(text)), SHINGLE))), 1, count)
+
+
+def shard(docs: DataFrame, shards: int = 40, law: str = "rows", rounds: int = 8, slack: float = 1.2, passages: int = 0) -> DataFrame:
     """Shard and slot of every row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    ``docs`` needs doc_id and text; other columns are ignored.  law "rows": shards differ by one row
+    ``docs`` needs doc_id and text; other columns are ignored.  Documents of equal text are linked,
+    and those that share one of the ``passages`` least hashes of their windows.  law "rows": shards differ by one row
     at most; "bytes": each shard holds an equal share of the bytes, to the size of one document.  Null
     texts count 16 bytes, have a null checksum and form a group; so do empty ones.  Equal rows (and
     null doc_ids) are rows of their own, and which of them gets which slot does not matter.  With
@@ -83,20 +92,27 @@ def shard(docs: DataFrame, shards: int = 40, law: str = "rows", rounds: int = 8,
         raise ValueError(f"unknown law {law}")
     text = F.col("text")
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
-    rows = docs.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.coalesce(F.unhex(F.md5(text)), F.lit(b"")).alias("group"))
+    least = [least_hashes(text, passages).alias("__least")] if passages else []
+    rows = docs.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.coalesce(F.unhex(F.md5(text)), F.lit(b"")).alias("group"), *least)
+    rows = rows.withColumn("near", F.coalesce(F.unhex(F.hex(F.get("__least", F.lit(0)))), "group") if passages else F.col("group"))
     rows = stage(rows.withColumn("vid", F.xxhash64("doc_id", "group")))
     weight = F.col("size") if law == "bytes" else F.lit(1).cast("long")
     n_rows = rows.agg(F.count(F.lit(1)).alias("n"))
     vertices = rows.groupBy("vid").agg(F.sum(weight).alias("weight"))
     quarter = F.greatest(n_rows.scalar() / F.lit(4 * shards), F.lit(2))
-    labels = propagate(vertices, text_links(rows.select("vid", "group").distinct(), quarter), shards, rounds, slack)
+    links = group_links(rows.select("vid", "group").distinct(), quarter)
+    if passages:
+        links = links.union(group_links(rows.select("vid", F.explode("__least").alias("group")).distinct(), quarter)).distinct()
+        rows = rows.drop("__least")
+    labels = propagate(vertices, links, shards, rounds, slack)
     first = F.floor(chance(F.col("vid"), F.lit("first")) * shards).cast("int")
-    copies = rows.groupBy("group").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    d = rows.join(labels, "vid", "left").join(copies, "group", "left").withColumn("label", F.coalesce("label", first)).withColumn("copies", F.coalesce("copies", F.lit(1)))
-    # The order is cut into buckets of groups, and large groups into several, so that no window holds a shard or group.
-    d = d.withColumn("zone", F.floor(chance(F.col("group"), F.lit("zone")) * F.ceil(n_rows.scalar() / (shards * ROWS_PER_BUCKET))))
+    copies = rows.groupBy("near").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    d = rows.join(labels, "vid", "left").join(copies, "near", "left").withColumn("label", F.coalesce("label", first)).withColumn("copies", F.coalesce("copies", F.lit(1)))
+    # The order, in which documents with the least hash in common are neighbours, is cut into buckets of these,
+    # and large ones into several, so that no window holds a shard or group.
+    d = d.withColumn("zone", F.floor(chance(F.col("near"), F.lit("zone")) * F.ceil(n_rows.scalar() / (shards * ROWS_PER_BUCKET))))
     d = d.withColumn("part", F.floor(chance(F.col("vid"), F.lit("order")) * F.ceil(F.col("copies") / ROWS_PER_BUCKET)))
-    d = stage(d.select("doc_id", "size", "text_crc32", "group", "label", "zone", "part"))
+    d = stage(d.select("doc_id", "size", "text_crc32", "near", "group", "label", "zone", "part"))
     place = ["label", "zone", "part"]
     sums = d.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     before = Window.partitionBy("label").orderBy("zone", "part").rowsBetween(Window.unboundedPreceding, -1)
@@ -109,7 +125,7 @@ def shard(docs: DataFrame, shards: int = 40, law: str = "rows", rounds: int = 8,
         F.sum("n").over(everything).alias("all_rows"), F.sum("bytes").over(everything).alias("all_bytes"),
     )
     sums = sums.join(by_label, "label").select(*place, (F.col("rank") + F.col("rank0")).alias("rank0"), (F.col("offset") + F.col("offset0")).alias("offset0"), "all_rows", "all_bytes")
-    inside = Window.partitionBy(*place).orderBy("group", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*place).orderBy("near", "group", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     d = d.join(sums, place).withColumn("rank", F.col("rank0") + F.row_number().over(inside) - 1).withColumn("end", F.col("offset0") + F.sum("size").over(inside))
     if law == "rows":
         d = d.withColumn("shard", F.expr(f"(rank * {shards}) div all_rows").cast("int"))
