@@ -56,11 +56,11 @@ MANIFEST_SQL = """
 
 @query(
     "scan_table",
-    "SELECT ticker, dt AS date, open, high, low, close, closeunadj, volume FROM bars WHERE volume >= 20",
+    "SELECT ticker, dt AS date, open, high, low, close, closeunadj, volume FROM bars",
     "ticker date:d open:f high:f low:f close:f closeunadj:f volume",
 )
 def _(v):
-    return S.conform(v.vendor("sep", [F.col("volume") >= 20]), "sep")
+    return S.conform(v.vendor("sep"), "sep")
 
 
 @query(
