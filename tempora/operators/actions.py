@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.plans.intervals import interval_join
+from tempora.session import materialise
 
 # What each vendor action code means here.
 DISPATCHED = {"dividend": "cash_dividend", "spinoff": "spinoff_cash_equivalent", "split": "split"}
@@ -49,8 +50,10 @@ def delisting_proceeds(securities: DataFrame, bars: DataFrame) -> DataFrame:
     """
     recency = F.struct(F.col("lastpricedate").isNull(), "lastpricedate", "ticker")
     last = securities.groupBy("permaticker").agg(F.max_by(F.struct("ticker", "isdelisted", "lastpricedate"), recency).alias("__l"))
-    gone = last.select("permaticker", "__l.*").filter((F.col("isdelisted") == "Y") & F.col("lastpricedate").isNotNull())
-    px = bars.groupBy("ticker", F.col("dt").alias("lastpricedate")).agg(
+    # Read twice: only the bars of these days are counted.
+    gone = materialise(last.select("permaticker", "__l.*").filter((F.col("isdelisted") == "Y") & F.col("lastpricedate").isNotNull()))
+    asked = bars.select("ticker", F.col("dt").alias("lastpricedate"), "closeunadj").join(gone, ["ticker", "lastpricedate"], "left_semi")
+    px = asked.groupBy("ticker", "lastpricedate").agg(
         F.count(F.lit(1)).alias("__n"), F.max("closeunadj").alias("__px")
     )
     status = (
