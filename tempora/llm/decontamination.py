@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import SPACE, stage
+from tempora.llm.common import SPACE, let, stage
 
 WINDOW, NEEDED, SHORTEST = 8, 6, 5
 # Words that are units when they follow a number.
@@ -36,15 +36,21 @@ def templates(text: Column) -> tuple[Column, Column]:
 
 
 def window_hashes(words: Column, size: int) -> Column:
-    """Hashes of all windows of ``size`` words; the widths double, so a window costs a few hashes."""
-    def wider(h: Column, by: int) -> Column:
-        return F.zip_with(h, F.slice(h, by + 1, F.greatest(F.size(h), F.lit(1))), lambda a, b: F.xxhash64(a, b))
-
-    h, width = F.transform(words, lambda w: F.xxhash64(w)), 1
-    while width < size:
-        by = min(width, size - width)
-        h, width = wider(h, by), width + by
-    return F.slice(h, 1, F.greatest(F.size(words) - (size - 1), F.lit(0)))
+    """Hashes of all windows of ``size`` words; the widths double, so a window costs a few hashes.
+
+    Every width names the one before it several times, so each is bound by ``let`` and worked out once.
+    """
+    def wider(by: int):
+        return lambda h: F.zip_with(h, F.slice(h, by + 1, F.greatest(F.size(h), F.lit(1))), lambda a, b: F.xxhash64(a, b))
+
+    def hashes(words: Column) -> Column:
+        h, width = F.transform(words, lambda w: F.xxhash64(w)), 1
+        while width < size:
+            by = min(width, size - width)
+            h, width = let(h, wider(by)), width + by
+        return F.slice(h, 1, F.greatest(F.size(words) - (size - 1), F.lit(0)))
+
+    return let(words, hashes)
 
 
 def with_names(canon: Column, names: list[str]) -> Column:
