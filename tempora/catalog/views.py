@@ -20,7 +20,10 @@ def _day(column) -> F.Column:
 
 
 def _cents(name: str):
-    return F.round(F.col(name) * 100).cast("long")
+    """Hundredths, halves away from zero as in `round`, which would go through a decimal of every value."""
+    x = F.col(name) * 100
+    whole = x.cast("long")
+    return whole + F.when(x - whole >= 0.5, 1).when(x - whole <= -0.5, -1).otherwise(0)
 
 
 def ticker(asset):
@@ -90,6 +93,8 @@ class Views:
                 F.sum(F.when(F.col("l_linestatus") == "O", 1).otherwise(-1) * F.col("l_quantity").cast("long")).alias("net"),
                 F.max(F.col("l_returnflag") == "R").alias("has_r"),
             )
+            # Scans by asset and day then merge sorted pieces instead of sorting their input anew.
+            .sortWithinPartitions("asset_id", "dt")
         )
 
     @cached_property

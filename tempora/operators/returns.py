@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.plans.asof import asof_join
-from tempora.plans.running import rolling, running
+from tempora.plans.running import rolling, rolling_moments, running
 
 TRADING_DAYS_PER_YEAR = 252
 
@@ -142,6 +142,11 @@ def rolling_market_state(
     on its own date without looking ahead.
     """
     with_ret = pct_change(bars, keys=keys, order=order, value=price, out="ret", block=block)
+    if block is None:
+        return rolling_moments(
+            with_ret, keys=list(keys), order=[order], window=window, exclude_current=exclude_current,
+            exprs={"v_d": ("avg", "volume"), "sigma_d": ("stddev_pop", "ret")},
+        )
     return rolling(
         with_ret, keys=list(keys), order=[order], window=window, exclude_current=exclude_current, block=block,
         exprs={

@@ -122,7 +122,9 @@ def running(
         return (F.coalesce(column, F.lit(0)) if op == "count" else column).alias(name)
 
     if block is None:
-        return df.select("*", *[finish(n, op, _scan(op, v, _frame(keys, ordering, ex))) for n, (op, v, ex) in plan.items()])
+        before = Window.partitionBy(*keys).orderBy(*ordering)
+        scan = lambda n, op, v, ex: F.lag(v["v"]).over(before).alias(n) if op == "lag" else finish(n, op, _scan(op, v, _frame(keys, ordering, ex)))
+        return df.select("*", *[scan(n, *item) for n, item in plan.items()])
 
     untyped = [c for c, kind in df.dtypes if kind == "void"]
     if untyped:
@@ -216,3 +218,50 @@ def rolling(
     if block is not None:
         out = out.filter(F.col(BLOCK) == F.col("__home")).drop("__n", "__home", BLOCK)
     return out
+
+
+def rolling_moments(
+    df: DataFrame,
+    *,
+    keys: Sequence[str],
+    order: Sequence[str],
+    exprs: Mapping[str, tuple[str, Column | str]],
+    window: int,
+    exclude_current: bool = True,
+) -> DataFrame:
+    """`rolling` of ``{name: (op, value)}`` with the ops avg and stddev_pop, without a block.
+
+    A frame of 2n rows is two frames of n rows, one of them lagged by n, so a row merges about log2(window) pairs of
+    frames (mean and squared deviations) instead of adding up its whole frame.  A missing row or value leaves NULL.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    first = 1 if exclude_current else 0
+    value = {n: f"__v_{n}" for n in exprs}
+    mean, dev = {n: f"__m_{n}" for n in exprs}, {n: f"__q_{n}" for n, (op, _) in exprs.items() if op == "stddev_pop"}
+    if any(op not in ("avg", "stddev_pop") for op, _ in exprs.values()):
+        raise ValueError("rolling_moments knows avg and stddev_pop")
+    back = lambda c, by: F.lag(c, by).over(w) if by else F.col(c)
+
+    def merged(rows: DataFrame, n: int, more: int, other_mean, other_dev) -> DataFrame:
+        """Frames of n rows and, before them, of `more`; the other frames' columns are taken first."""
+        rows = rows.select("*", *[other_mean(i).alias(f"__om_{i}") for i in exprs], *[other_dev(i).alias(f"__oq_{i}") for i in dev])
+        gap = {i: F.col(f"__om_{i}") - F.col(mean[i]) for i in exprs}
+        return rows.select(
+            *df.columns, *value.values(),
+            *[(F.col(mean[i]) + gap[i] * (more / (n + more))).alias(mean[i]) for i in exprs],
+            *[(F.col(dev[i]) + F.col(f"__oq_{i}") + gap[i] * gap[i] * (n * more / (n + more))).alias(dev[i]) for i in dev],
+        )
+
+    out = df.select("*", *[_as_column(v).cast("double").alias(value[n]) for n, (_, v) in exprs.items()])
+    out = out.select("*", *[back(value[n], first).alias(mean[n]) for n in exprs])
+    # The deviation of one value is 0, of a missing one NULL.
+    out = out.select("*", *[(F.col(mean[n]) * 0.0).alias(dev[n]) for n in dev])
+    n = 1
+    for bit in f"{window:b}"[1:]:
+        out = merged(out, n, n, lambda i: back(mean[i], n), lambda i: back(dev[i], n))
+        n *= 2
+        if bit == "1":
+            out = merged(out, n, 1, lambda i: back(value[i], first + n), lambda i: back(value[i], first + n) * 0.0)
+            n += 1
+    last = lambda i, op: F.sqrt(F.col(dev[i]) / window) if op == "stddev_pop" else F.col(mean[i])
+    return out.select(*df.columns, *[last(i, op).alias(i) for i, (op, _) in exprs.items()])
