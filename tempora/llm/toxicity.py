@@ -21,6 +21,9 @@ from tempora.llm.common import stage
 
 #: Most labelled documents that a chain is fitted on, most stems that it knows, and folds.
 SAMPLE, VOCABULARY, FOLDS = 10_000, 1 << 16, 3
+#: Documents of a partition while fitting.  Every step of every fit is a job over all partitions, and the driver
+#: keeps a record of each task, so their number follows the sample and not the cluster's shuffle partitions.
+PART = 2_500
 #: A word that every text has, so that there is a vocabulary whatever the texts are.
 ALWAYS = "\u0001"
 STEMS = (4, 5)
@@ -47,9 +50,20 @@ def terms(text: Column) -> Column:
     return F.concat(F.array(F.lit(ALWAYS)), F.array_distinct(F.concat(*[_starts(found, n) for n in STEMS])))
 
 
-def with_inputs(df: DataFrame, before: Sequence[str]) -> DataFrame:
+def sized(df: DataFrame, column: str, n: int) -> DataFrame:
+    """States the length of a vector column in place of a list of its attributes, which would go out with every job that reads it."""
+    return df.withColumn(column, F.col(column).alias(column, metadata={"ml_attr": {"num_attrs": n}}))
+
+
+def with_words(df: DataFrame, words: CountVectorizerModel) -> DataFrame:
+    """Replaces __terms by __words, the vector of the stems that a row has."""
+    return sized(words.transform(df).drop("__terms"), "__words", len(words.vocabulary))
+
+
+def with_inputs(df: DataFrame, before: Sequence[str], words: CountVectorizerModel) -> DataFrame:
     """Adds __inputs: the word vector and the probabilities of the categories before."""
-    return VectorAssembler(inputCols=["__words", *[f"p_{c}" for c in before]], outputCol="__inputs").transform(df)
+    joined = VectorAssembler(inputCols=["__words", *[f"p_{c}" for c in before]], outputCol="__inputs").transform(df)
+    return sized(joined, "__inputs", len(words.vocabulary) + len(before))
 
 
 def predict(df: DataFrame, model: LogisticRegressionModel, category: str) -> DataFrame:
@@ -93,17 +107,18 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: i
     d = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
     d = stage(d.select("doc_id", "__fold", *categories, terms(F.col("text")).alias("__terms")).repartition(folds * 4, "doc_id"))
     words = CountVectorizer(inputCol="__terms", outputCol="__words", vocabSize=VOCABULARY, minDF=float(max(1, min(10, d.count() // 50))), binary=True).fit(d)
-    d = stage(words.transform(d).drop("__terms")).cache()
+    parts = -(-sample // PART)
+    d = stage(with_words(d, words)).coalesce(parts).cache()
     chain = Chain(categories, words)
     for k, category in enumerate(categories):
-        inputs = with_inputs(d, categories[:k]).cache()
+        inputs = with_inputs(d, categories[:k], words).cache()
         unseen = None
         for fold in range(folds):
             model = train(inputs.where(F.col("__fold") != fold), category, reg, rounds)
             part = predict(inputs.where(F.col("__fold") == fold), model, category)
             unseen = part if unseen is None else unseen.union(part)
         chain.models.append(train(inputs, category, reg, rounds))
-        nxt = stage(unseen).cache()
+        nxt = stage(unseen).coalesce(parts).cache()
         chain.thresholds.append(best_threshold(nxt, category))
         inputs.unpersist()
         d.unpersist()
@@ -121,9 +136,9 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """
     if chain.words is None:
         return docs.select("doc_id", *[F.lit(None).cast("double").alias(f"p_{c}") for c in chain.categories], *[F.lit(False).alias(f"is_{c}") for c in chain.categories])
-    d = chain.words.transform(docs.select("doc_id", terms(F.col("text")).alias("__terms"))).drop("__terms")
+    d = with_words(docs.select("doc_id", terms(F.col("text")).alias("__terms")), chain.words)
     for k, (category, model) in enumerate(zip(chain.categories, chain.models, strict=True)):
-        d = predict(with_inputs(d, chain.categories[:k]), model, category)
+        d = predict(with_inputs(d, chain.categories[:k], chain.words), model, category)
     return d.select("doc_id", *[f"p_{c}" for c in chain.categories], *[(F.col(f"p_{c}") >= t).alias(f"is_{c}") for c, t in zip(chain.categories, chain.thresholds, strict=True)])
 
 
